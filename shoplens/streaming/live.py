@@ -18,9 +18,13 @@ def live_reviews(stream: DataFrame, text: str, taxonomy: Taxonomy, lexicon: Lexi
 
 def live_daily_counts(stream: DataFrame, ts: str, late: str = "1 hour") -> DataFrame:
     """``(day, n)`` per calendar day, final once ``late`` has passed after midnight."""
-    timed = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late)
-    counts = timed.groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n"))
-    return counts.select(F.to_date("w.start").alias("day"), "n")
+    utc, here = F.lit("UTC"), F.current_timezone()
+    # Watermarks need an instant: the wall-clock time is read as UTC, whose days windows follow.
+    instant = F.convert_timezone(utc, here, F.col(ts).cast("timestamp_ntz")).cast("timestamp")
+    timed = stream.select(instant.alias("instant")).where("instant IS NOT NULL").withWatermark("instant", late)
+    counts = timed.groupBy(F.window("instant", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    start = F.convert_timezone(here, utc, F.col("w.start").cast("timestamp_ntz"))
+    return counts.select(F.to_date(start).alias("day"), "n")
 
 
 def live_daily_orders(stream: DataFrame, roles: Mapping[str, str], late: str = "1 hour") -> DataFrame:
