@@ -371,12 +371,12 @@ def trigrams(spark, folder):
 @query
 def lda_topics(spark, folder):
     # Two passes keep the check short; the operator's default is twenty.
-    return topics.lda_topics(topics.fit_topics(tokens(spark, folder), "doc_id", passes=2, max_steps=8))
+    return topics.lda_topics(topics.fit_topics(tokens_twice(spark, folder), "doc_id", passes=2, max_steps=8))
 
 
 @query
 def topic_share(spark, folder):
-    fitted = topics.fit_topics(tokens(spark, folder), "doc_id", passes=2, max_steps=8)
+    fitted = topics.fit_topics(tokens_twice(spark, folder), "doc_id", passes=2, max_steps=8)
     return topics.topic_share(fitted, "doc_id")
 
 

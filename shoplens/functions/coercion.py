@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+# Dates begin with one of these; the rest (a time of day) is left to the cast.
+_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]|\s*$)"
+_REORDERED = (
+    (r"^\s*(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"),
+    (r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+    (r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3"),
+)
+# A cast reads "1d" and "1f" as numbers.
+_TYPE_SUFFIX = r"[\d.][dDfF]\s*$"
 
 
 def _typed(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
@@ -15,12 +22,10 @@ def _typed(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
 
 
 def _string_to_ts(c: Column) -> Column:
-    s = F.trim(c)
-    s = F.regexp_replace(s, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
-    s = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    s = F.regexp_replace(s, r"([ T]\d{1,2}:\d{2})$", "$1:00")
-    return F.when(s.rlike(_ISO), s.try_cast("timestamp_ntz"))
+    result = F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz"))
+    for pattern, iso in _REORDERED:
+        result = result.when(c.rlike(pattern), F.regexp_replace(c, pattern, iso).try_cast("timestamp_ntz"))
+    return result
 
 
 def to_ts(df: DataFrame, name: str) -> Column:
@@ -35,8 +40,8 @@ def to_ts(df: DataFrame, name: str) -> Column:
 def to_num(df: DataFrame, name: str) -> Column:
     c, dtype = _typed(df, name)
     if isinstance(dtype, T.StringType):
-        return F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        c = F.when(~c.rlike(_TYPE_SUFFIX), c.try_cast("double"))
+    if isinstance(dtype, (T.StringType, T.FloatType, T.DoubleType)):
         return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, T.NumericType):
         return c.cast("double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -169,26 +169,43 @@ def daily_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return days.groupBy("column", "day").agg(F.count("*").alias("n")).orderBy("column", "day")
 
 
+def _pair_measures(clean: DataFrame, pairs: list[tuple[str, str]], aligned: bool) -> list[tuple]:
+    """Per pair ``(n, n_x, n_y, covariance, sd_x, sd_y)``, all pairs in one aggregation.
+
+    ``aligned`` takes each deviation over the whole column, which one aggregate per
+    column provides; it is right where both columns miss the same rows.
+    """
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = _number(a), _number(b)
+        both = x.isNotNull() & y.isNotNull()
+        over = (lambda v: v) if aligned else (lambda v: F.when(both, v))
+        measures = (F.count_if(both), F.count(x), F.count(y), F.covar_pop(x, y),
+                    F.stddev_pop(over(x)), F.stddev_pop(over(y)))
+        aggs.append(F.struct(*[m.alias(f"m{j}") for j, m in enumerate(measures)]).alias(f"p{i}"))
+    return [tuple(p) for p in clean.agg(*aggs).first()]
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(x, y, r)``: Pearson over the rows where both are present; NULL where undefined."""
+    """``(x, y, r)``: Pearson over the rows where both are present; NULL where undefined.
+
+    Runs one aggregation, and a second one only for pairs that miss different rows.
+    """
     columns = list(columns or numeric_columns(df))
+    schema = "x string, y string, r double"
     if len(columns) < 2:
-        return _rows(df, [], "x string, y string, r double")
+        return _rows(df, [], schema)
     clean = nan_to_null(df)
-    aggs = []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            x, y = _number(a), _number(columns[j])
-            both = x.isNotNull() & y.isNotNull()
-            spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-            aggs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r_{i}_{j}"))
-    pairs = list(product(range(len(columns)), repeat=2))
-    cells = F.array(
-        *[F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"),
-                   F.round(F.col(f"r_{min(i, j)}_{max(i, j)}"), 4).alias("r"))
-          for i, j in pairs]
-    )
-    return clean.agg(*aggs).select(F.inline(cells))
+    pairs = list(combinations_with_replacement(columns, 2))
+    measured = dict(zip(pairs, _pair_measures(clean, pairs, aligned=True)))
+    apart = [p for p, (n, n_x, n_y, *_) in measured.items() if not n == n_x == n_y]
+    if apart:
+        measured.update(zip(apart, _pair_measures(clean, apart, aligned=False)))
+    rows = []
+    for (x, y), (*_, covariance, sd_x, sd_y) in measured.items():
+        r = round(covariance / (sd_x * sd_y), 4) if sd_x and sd_y else None
+        rows += [(x, y, r), (y, x, r)] if x != y else [(x, y, r)]
+    return _rows(df, rows, schema)
 
 
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float]]:

@@ -22,16 +22,6 @@ def word_freq(tok: DataFrame, k: int | None = None) -> DataFrame:
     return counts if k is None else ordered.limit(k)
 
 
-def word_stats(tok: DataFrame) -> DataFrame:
-    """``(word, n, n_docs)`` in one shuffle: each document emits its tokens and its distinct words."""
-    def marked(words: Column, occurrence: int) -> Column:
-        return F.transform(words, lambda w: F.struct(
-            w.alias("word"), F.lit(occurrence).alias("occ"), F.lit(1 - occurrence).alias("doc")))
-
-    both = F.concat(marked(F.col("tokens"), 1), marked(F.array_distinct("tokens"), 0))
-    return tok.select(F.inline(both)).groupBy("word").agg(F.sum("occ").alias("n"), F.sum("doc").alias("n_docs"))
-
-
 def corpus_overview(df: DataFrame, tok: DataFrame, text: str | None = None, order_by: str | None = None) -> DataFrame:
     """One row ``(n_docs, n_words, text_column, language)``."""
     text = text or detect_text_column(df)
@@ -48,20 +38,25 @@ def tfidf_keywords(tok: DataFrame, id: str, vocab: int = VOCABULARY, k: int = 20
     """``(rank, term, score)``: mean TF-IDF over all documents, rounded to 4.
 
     Raw term counts, idf = ln((1 + N) / (1 + df)) + 1, every document scaled to length 1.
-    The vocabulary (``vocab`` words, collected) is applied before the one shuffle by
-    document, which serves both the term counts and the lengths.
+    Only the vocabulary (``vocab`` words, collected) enters the one shuffle by document,
+    which serves both the term counts and the lengths.
     """
-    terms = [tuple(r) for r in word_stats(tok).orderBy(F.desc("n"), "word").limit(vocab).select("word", "n_docs").collect()]
-    spark = tok.sparkSession
+    terms = [r["word"] for r in word_freq(tok, vocab).collect()]
     if not terms:
-        return spark.createDataFrame([], "rank int, term string, score double")
+        return tok.sparkSession.createDataFrame([], "rank int, term string, score double")
     n_docs = F.lit(tok.count())
-    weights = spark.createDataFrame(terms, "term string, n_docs long").select(
-        "term", (F.log((n_docs + 1) / (F.col("n_docs") + 1)) + 1).alias("idf")
+    known = tok.select(id, F.filter("tokens", lambda t: t.isin(terms)).alias("known")).where(F.size("known") > 0)
+    weights = (
+        known.select(F.explode(F.array_distinct("known")).alias("term"))
+        .groupBy("term")
+        .agg((F.log((n_docs + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    )
+    tf = (
+        known.repartition(id)
+        .select(id, F.explode("known").alias("term"))
+        .groupBy(id, "term")
+        .agg(F.count("*").alias("tf"))
     )
-    known = F.filter("tokens", lambda t: t.isin([t for t, _ in terms]))
-    words = tok.select(id, known.alias("known")).where(F.size("known") > 0).repartition(id)
-    tf = words.select(id, F.explode("known").alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
     # ``weights`` has at most ``vocab`` rows.
     weighted = tf.join(F.broadcast(weights), "term").select(id, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # A group holds one document's vocabulary words, at most ``vocab``.

@@ -11,104 +11,91 @@ from pyspark.sql import functions as F
 from shoplens.session import materialize
 
 ACCURACY = 10_000
-FINAL_VALUES = 10_000
+FINAL_VALUES = 20_000
 
 
 @dataclass
-class _Target:
-    """Order statistics ``first..last`` (0-based) of one column, still inside ``(low, high)``."""
+class _Interval:
+    """Open interval ``(low, high)`` of one column and the order statistics (0-based) in it."""
 
     column: str
-    first: int
-    last: int
     before: int  # rows at or below low
     inside: int  # rows strictly between low and high
+    ranks: set[int]
     low: float | None = None
     high: float | None = None
 
-    def within(self) -> Column:
+    def test(self) -> Column:
         v = F.col(f"`{self.column}`")
-        test = v.isNotNull()
+        found = v.isNotNull()
         if self.low is not None:
-            test = test & (v > self.low)
+            found = found & (v > self.low)
         if self.high is not None:
-            test = test & (v < self.high)
-        return test
-
-
-def _brackets(values: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
-    """Approximate values just below and just above every target's ranks."""
-    slack = 2 / ACCURACY
-    aggs = []
-    for i, t in enumerate(targets):
-        lo = max(0.0, (t.first - t.before) / t.inside - slack)
-        hi = min(1.0, (t.last - t.before + 1) / t.inside + slack)
-        inside = F.when(t.within(), F.col(f"`{t.column}`"))
-        aggs.append(F.percentile_approx(inside, [lo, hi], ACCURACY).alias(f"t{i}"))
+            found = found & (v < self.high)
+        return found
+
+
+def _brackets(values: DataFrame, intervals: list[_Interval]) -> dict[str, list[float]]:
+    """Column -> interval ends and approximate values just below and above each wanted rank."""
+    slack = 3 / ACCURACY
+    aggs, cuts = [], {}
+    for i, t in enumerate(intervals):
+        at = [(k - t.before) / t.inside for k in sorted(t.ranks)]
+        probs = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)})
+        inside = F.when(t.test(), F.col(f"`{t.column}`"))
+        aggs.append(F.percentile_approx(inside, probs, ACCURACY).alias(f"t{i}"))
     row = values.agg(*aggs).first()
-    return [tuple(row[f"t{i}"]) for i in range(len(targets))]
+    for i, t in enumerate(intervals):
+        ends = [x for x in (t.low, t.high) if x is not None]
+        cuts.setdefault(t.column, set()).update(row[f"t{i}"], ends)
+    return {c: sorted(x) for c, x in cuts.items()}
 
 
-def _narrow(values: DataFrame, targets: list[_Target], known: dict) -> list[_Target]:
-    """One counting pass; settles targets that fall on a bracket value, shrinks the others.
+def _narrow(values: DataFrame, intervals: list[_Interval], known: dict) -> list[_Interval]:
+    """One counting pass; settles ranks that fall on a bracket value, shrinks the other intervals.
 
     The counts are exact, so a poor approximation costs another pass, not a wrong result.
-    Rows equal to a bracket value leave the interval: a value held by a third of all rows
-    cannot keep it large.
+    Rows equal to a bracket value leave the intervals: a value held by a third of all rows
+    cannot keep one large.
     """
-    brackets = _brackets(values, targets)
-    aggs = []
-    for i, (t, (lo, hi)) in enumerate(zip(targets, brackets)):
-        v = F.col(f"`{t.column}`")
-        for name, test in (("lt_lo", v < lo), ("le_lo", v <= lo), ("lt_hi", v < hi), ("le_hi", v <= hi)):
-            aggs.append(F.count_if(test).alias(f"{name}{i}"))
-    row = values.agg(*aggs).first()
-    open_targets = []
-    for i, (t, (lo, hi)) in enumerate(zip(targets, brackets)):
-        c = {name: row[f"{name}{i}"] for name in ("lt_lo", "le_lo", "lt_hi", "le_hi")}
-        spans = [
-            (t.low, lo, t.before, c["lt_lo"]),
-            (lo, hi, c["le_lo"], c["lt_hi"]),
-            (hi, t.high, c["le_hi"], t.before + t.inside),
-        ]
-        for k in range(t.first, t.last + 1):
-            if c["lt_lo"] <= k < c["le_lo"]:
-                known[t.column, k] = lo
-            elif c["lt_hi"] <= k < c["le_hi"]:
-                known[t.column, k] = hi
-            else:
-                low, high, before, end = next(s for s in spans if s[2] <= k < s[3])
-                last = open_targets[-1] if open_targets else None
-                if last and (last.column, last.before, last.inside) == (t.column, before, end - before):
-                    last.last = k
-                else:
-                    open_targets.append(_Target(t.column, k, k, before, end - before, low, high))
-    return open_targets
-
-
-def _merge(targets: list[_Target]) -> list[_Target]:
-    """Targets that share an interval are read together."""
-    merged: dict[tuple, _Target] = {}
-    for t in targets:
-        m = merged.setdefault((t.column, t.low, t.high), t)
-        m.first, m.last = min(m.first, t.first), max(m.last, t.last)
-    return list(merged.values())
-
-
-def _finish(values: DataFrame, targets: list[_Target], known: dict) -> None:
-    """Read the few distinct values left inside each interval."""
+    cuts = _brackets(values, intervals)
+    # Place of a value among the sorted cuts: 2i between cuts i and i + 1, 2i + 1 on cut i + 1.
+    places = []
+    for c, edges in cuts.items():
+        v = F.col(f"`{c}`")
+        place = sum(((v > e).cast("int") + (v >= e).cast("int") for e in edges), F.lit(0))
+        places.append(F.struct(F.lit(c).alias("c"), place.alias("place")))
+    present = F.filter(F.array(*places), lambda x: x["place"].isNotNull())
+    counts = values.select(F.inline(present)).groupBy("c", "place").count().collect()
+    smaller: dict[tuple, _Interval] = {}
+    for c, edges in cuts.items():
+        ranks = sorted({k for t in intervals if t.column == c for k in t.ranks})
+        start = 0
+        for place, n in sorted((r["place"], r["count"]) for r in counts if r["c"] == c):
+            here = [k for k in ranks if start <= k < start + n]
+            if here and place % 2:
+                known.update({(c, k): edges[place // 2] for k in here})
+            elif here:
+                low = edges[place // 2 - 1] if place else None
+                high = edges[place // 2] if place // 2 < len(edges) else None
+                smaller[c, place] = _Interval(c, start, n, set(here), low, high)
+            start += n
+    return list(smaller.values())
+
+
+def _finish(values: DataFrame, intervals: list[_Interval], known: dict) -> None:
+    """Read the few values left inside each interval."""
     tagged = F.array_compact(
-        F.array(*[F.when(t.within(), F.struct(F.lit(i).alias("t"), F.col(f"`{t.column}`").alias("v")))
-                  for i, t in enumerate(targets)])
+        F.array(*[F.when(t.test(), F.struct(F.lit(i).alias("t"), F.col(f"`{t.column}`").alias("v")))
+                  for i, t in enumerate(intervals)])
     )
-    counts = values.select(F.inline(tagged)).groupBy("t", "v").count().orderBy("t", "v").collect()
-    position = {i: t.before for i, t in enumerate(targets)}
-    for r in counts:
-        t = targets[r["t"]]
-        start, end = position[r["t"]], position[r["t"]] + r["count"]
-        for k in range(max(start, t.first), min(end - 1, t.last) + 1):
-            known[t.column, k] = r["v"]
-        position[r["t"]] = end
+    counts = values.select(F.inline(tagged)).groupBy("t", "v").count().collect()
+    position = [t.before for t in intervals]
+    for i, v, n in sorted(counts):
+        for k in intervals[i].ranks:
+            if position[i] <= k < position[i] + n:
+                known[intervals[i].column, k] = v
+        position[i] += n
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
@@ -116,27 +103,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
 
     Runs jobs when called: an approximate sketch brackets each rank, exact counts
     confirm the bracket, and only values inside it are read. Every pass cuts the open
-    interval to about 1/2000, so 10^12 rows need three. The driver receives at most
-    FINAL_VALUES values per quantile.
+    intervals to about 1/1000, so 10^12 rows need three. The driver receives at most
+    FINAL_VALUES values per interval.
     """
     values = df.select(
         *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     )
     n = values.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first().asDict()
-    targets: dict[tuple[str, int], _Target] = {}
-    for c in columns:
-        for p in probs:
-            if n[c]:
-                k = math.floor(p * (n[c] - 1))
-                last = min(k + 1, n[c] - 1)
-                targets[c, k] = _Target(c, k, last, 0, n[c])
     known: dict[tuple[str, int], float] = {}
-    waiting = list(targets.values())
+    waiting = []
+    for c in columns:
+        if n[c]:
+            below = {math.floor(p * (n[c] - 1)) for p in probs}
+            ranks = below | {min(k + 1, n[c] - 1) for k in below}
+            waiting.append(_Interval(c, 0, n[c], ranks))
     while waiting:
         small = [t for t in waiting if t.inside <= FINAL_VALUES]
         large = [t for t in waiting if t.inside > FINAL_VALUES]
         if small:
-            _finish(values, _merge(small), known)
+            _finish(values, small, known)
         waiting = _narrow(values, large, known) if large else []
 
     def value(c: str, p: float) -> float | None:

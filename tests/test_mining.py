@@ -71,7 +71,6 @@ def test_token_sentiment(spark, rows):
 def test_word_counts(spark, rows):
     df = docs(spark, "b a b", "b c", "")
     assert rows(mining.word_freq(df, 2), ordered=True) == [("b", 3), ("a", 1)]
-    assert rows(mining.word_stats(df)) == [("a", 1, 1), ("b", 3, 2), ("c", 1, 1)]
     assert rows(mining.cloud_weights(mining.word_freq(df), [("a", -2)], 2)) == [("a", 1, "negative"), ("b", 3, "neutral")]
 
 
