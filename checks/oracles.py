@@ -28,8 +28,8 @@ PURCHASES = """sales AS (
   FROM events WHERE event_type = 'purchase' AND value > 0)"""
 
 EVENTS = """gaps AS (
-  SELECT event_id, ts, user_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type,
-         CASE WHEN event_id % 7 <> 0 THEN value END AS value, props
+  SELECT event_id, ts, user_id, CASE WHEN value <= 80 THEN event_type END AS event_type,
+         CASE WHEN event_type <> 'error' THEN value END AS value, props
   FROM events)"""
 
 # -- typing and roles ----------------------------------------------------------------
@@ -417,13 +417,33 @@ pairs AS (SELECT a.word AS w1, b.word AS w2, count(*) AS weight
           FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL HAVING count(*) >= 2)"""
 GRAPH = f"""{PAIRS},
 edges AS (SELECT * FROM pairs WHERE weight * 20 >= (SELECT count(*) FROM documents)),
-links AS (SELECT w1 AS node, w2 AS other FROM edges UNION ALL SELECT w2, w1 FROM edges)"""
+links AS (SELECT w1 AS node, w2 AS other, weight FROM edges UNION ALL SELECT w2, w1, weight FROM edges)"""
 
 ORACLES["cooccurrence"] = f"WITH {PAIRS} SELECT w1, w2, weight FROM pairs"
 
 ORACLES["degree_centrality"] = f"""WITH {GRAPH}
 SELECT node, round(count(*) / (SELECT count(DISTINCT node) - 1.0 FROM links), 4) AS degree FROM links GROUP BY node"""
 
+# Distances over at most 1, 2, 4 ... 32 edges; the graph has at most 20 words. All shortest
+# paths are then listed along edges that lengthen a distance by exactly their weight.
+DISTANCES = "d0 AS (SELECT DISTINCT node AS s, node AS t, 0 AS d FROM links UNION ALL SELECT * FROM links)" + "".join(
+    f""",
+d{i} AS (SELECT a.s, b.t, min(a.d + b.d) AS d FROM d{i - 1} a JOIN d{i - 1} b ON a.t = b.s GROUP BY ALL)"""
+    for i in range(1, 6))
+
+ORACLES["betweenness"] = f"""WITH RECURSIVE {GRAPH}, {DISTANCES},
+tight AS (SELECT a.s, l.node, l.other FROM d5 a JOIN links l ON a.t = l.node
+          JOIN d5 b ON b.s = a.s AND b.t = l.other WHERE a.d + l.weight = b.d),
+paths AS (SELECT DISTINCT node AS s, node AS t, CAST([] AS VARCHAR[]) AS inner_nodes FROM links
+          UNION ALL SELECT p.s, k.other, CASE WHEN p.s = p.t THEN inner_nodes ELSE list_append(inner_nodes, p.t) END
+          FROM paths p JOIN tight k ON k.s = p.s AND k.node = p.t),
+n AS (SELECT s, t, count(*) AS n FROM paths GROUP BY ALL),
+passed AS (SELECT s, t, unnest(inner_nodes) AS node FROM paths),
+load AS (SELECT node, sum(1.0 / n) AS load FROM passed JOIN n USING (s, t) GROUP BY node),
+nodes AS (SELECT DISTINCT node, (SELECT count(DISTINCT node) FROM links) AS k FROM links)
+SELECT node, round(coalesce(load, 0.0) / greatest((k - 1) * (k - 2), 1), 4) AS betweenness
+FROM nodes LEFT JOIN load USING (node)"""
+
 ORACLES["components"] = f"""WITH RECURSIVE {GRAPH},
 reach AS (SELECT node AS source, node FROM links
           UNION SELECT source, other FROM reach JOIN links USING (node))

@@ -109,11 +109,10 @@ def distinct_key(df: DataFrame, name: str) -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(idx, value, n)``: all columns in one shuffle, combined before it."""
-    cells = F.array(*[F.struct(F.lit(df.columns.index(c)).alias("idx"), distinct_key(df, c).alias("value"))
-                      for c in columns])
-    present = F.filter(cells, lambda x: x["value"].isNotNull())
-    return df.select(F.inline(present)).groupBy("idx", "value").agg(F.count("*").alias("n"))
+    """``(column, value, n)``: all columns in one shuffle, combined before it."""
+    keys = df.select(*[distinct_key(df, c).alias(c) for c in columns])
+    cells = keys.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
+    return cells.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def _column_counts(df: DataFrame) -> DataFrame:
@@ -140,11 +139,10 @@ def _column_counts(df: DataFrame) -> DataFrame:
 def _typed(df: DataFrame, counted: Sequence[str]) -> DataFrame:
     """Counts plus distinct values of the ``counted`` columns plus the role."""
     stats = _column_counts(df)
-    index = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     if counted:
-        distinct = value_counts(df, counted).groupBy("idx").agg(F.count("*").alias("n_unique"))
+        distinct = value_counts(df, counted).groupBy("column").agg(F.count("*").alias("n_unique"))
         # One row per column on both sides.
-        stats = stats.withColumn("idx", index[F.col("column")]).join(F.broadcast(distinct), "idx", "left").drop("idx")
+        stats = stats.join(F.broadcast(distinct), "column", "left")
     else:
         stats = stats.withColumn("n_unique", F.lit(0).cast("long"))
     stats = stats.withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
@@ -161,10 +159,14 @@ def _typed(df: DataFrame, counted: Sequence[str]) -> DataFrame:
     return stats.withColumn("role", role)
 
 
+def open_types(df: DataFrame) -> DataFrame:
+    """Counts and roles; distinct values are counted only where the type does not decide."""
+    return _typed(df, [f.name for f in df.schema if not is_numeric(f.dataType) and not is_datetime(f.dataType)])
+
+
 def column_types(df: DataFrame) -> DataFrame:
-    """``(column, dtype, role)``; distinct values are counted where the type does not decide."""
-    open_columns = [f.name for f in df.schema if not is_numeric(f.dataType) and not is_datetime(f.dataType)]
-    return _typed(df, open_columns).select("column", "dtype", "role")
+    """``(column, dtype, role)``."""
+    return open_types(df).select("column", "dtype", "role")
 
 
 def profile(df: DataFrame) -> DataFrame:

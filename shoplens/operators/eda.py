@@ -14,7 +14,7 @@ from shoplens.operators.columns import (
     column_types,
     distinct_key,
     numeric_columns,
-    profile,
+    open_types,
     quoted,
     roles_by_column,
     unstack,
@@ -28,10 +28,20 @@ def _number(name: str) -> Column:
     return quoted(name).cast("double")
 
 
-def _unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``(keep..., column, value)`` for the non-null numbers."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("value")) for c in columns])
-    return df.select(*keep, F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+def _unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value)`` for the non-null numbers.
+
+    A few aggregates over long rows stay small generated code however many columns
+    there are; the same aggregates side by side soon exceed what the JVM compiles.
+    """
+    numbers = df.select(*[_number(c).alias(c) for c in columns])
+    return numbers.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
+
+
+def _per_column(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row for each of ``columns``, also for those without values."""
+    names = _rows(summary, [(c,) for c in columns], "column string")
+    return names.join(F.broadcast(summary), "column", "left")
 
 
 def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -40,13 +50,10 @@ def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: size, missing cells, repeated rows, number of columns per role."""
-    types = column_types(df)
-    role_counts = types.agg(
-        F.count_if(F.col("role") == "numeric").alias("n_numeric"),
-        F.count_if(F.col("role") == "categorical").alias("n_categorical"),
-        F.count_if(F.col("role") == "datetime").alias("n_datetime"),
-        F.count_if(F.col("role").isin("text", "high_cardinality")).alias("n_text"),
-    )
+    shown = {"n_numeric": ["numeric"], "n_categorical": ["categorical"], "n_datetime": ["datetime"],
+             "n_text": ["text", "high_cardinality"]}
+    counts = [F.count_if(F.col("role").isin(roles)).alias(name) for name, roles in shown.items()]
+    role_counts = column_types(df).agg(F.struct(*counts).alias("roles")).scalar()
     clean = nan_to_null(df)
     nulls = sum((F.when(quoted(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     # Rows are compared by short keys; equal keys are combined before the shuffle.
@@ -66,8 +73,20 @@ def overview(df: DataFrame) -> DataFrame:
         "n_missing",
         F.round(F.try_divide(F.col("n_missing") * 100.0, cells), 2).alias("missing_pct"),
         "n_duplicates",
-        *[role_counts.select(c).scalar().alias(c) for c in role_counts.columns],
-    )
+        role_counts.alias("roles"),
+    ).select("*", "roles.*").drop("roles")
+
+
+def _rounded(q: dict[str, list[float | None]], names: Sequence[str], digits: int) -> list[Column]:
+    """Looked-up quantiles of the row's ``column``, one result column per name."""
+    column = F.col("column")
+    picks = []
+    for i, name in enumerate(names):
+        value = F.lit(None).cast("double")
+        for c, values in q.items():
+            value = F.when(column == c, F.lit(values[i]).cast("double")).otherwise(value)
+        picks.append(F.round(value, digits).alias(name))
+    return picks
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -75,20 +94,18 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
     clean = nan_to_null(df)
     quartiles = exact_quantiles(clean, columns, QUARTILES)
-    aggs = []
-    for i, c in enumerate(columns):
-        v = _number(c)
-        aggs += [
-            F.count(v).alias(f"n_{i}"),
-            F.round(F.avg(v), 2).alias(f"mean_{i}"),
-            F.round(F.stddev_samp(v), 2).alias(f"std_{i}"),
-            F.round(F.min(v), 2).alias(f"min_{i}"),
-        ]
-        aggs += [F.round(F.lit(q).cast("double"), 2).alias(f"p{p}_{i}") for p, q in zip((25, 50, 75), quartiles[c])]
-        aggs.append(F.round(F.max(v), 2).alias(f"max_{i}"))
-    fields = ("n", "mean", "std", "min", "p25", "p50", "p75", "max")
-    types = "n:bigint," + ",".join(f"{f}:double" for f in fields[1:])
-    return unstack(clean.agg(*aggs), columns, fields, types)
+    v = F.col("value")
+    summary = _unpivot(clean, columns).groupBy("column").agg(
+        F.count(v).alias("n"),
+        F.round(F.avg(v), 2).alias("mean"),
+        F.round(F.stddev_samp(v), 2).alias("std"),
+        F.round(F.min(v), 2).alias("min"),
+        F.round(F.max(v), 2).alias("max"),
+    )
+    return _per_column(summary, columns).select(
+        "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min",
+        *_rounded(quartiles, ("p25", "p50", "p75"), 2), "max",
+    )
 
 
 def top_variance(df: DataFrame, k: int = 3) -> DataFrame:
@@ -140,18 +157,15 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 3, k: int = 15) -> DataFrame:
     """``(column, rank, value, n)``: the most frequent values of the widest categorical columns."""
     if columns is None:
-        typed = profile(df).where("role = 'categorical'").select("column", "n_unique").collect()
+        typed = open_types(df).where("role = 'categorical'").select("column", "n_unique").collect()
         columns = [r["column"] for r in sorted(typed, key=lambda r: (-r["n_unique"], df.columns.index(r["column"])))]
     columns = list(columns)[:max_cols]
     if not columns:
         return _rows(df, [], "column string, rank int, value string, n bigint")
     clean = nan_to_null(df)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
-    counts = (
-        clean.select(F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    texts = clean.select(*[quoted(c).cast("string").alias(c) for c in columns])
+    cells = texts.unpivot([], columns, "column", "value").where("value IS NOT NULL")
+    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
     order = W.partitionBy("column").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "column", "rank", "value", "n"
@@ -164,48 +178,27 @@ def daily_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         columns = [c for c, role in roles_by_column(df).items() if role == "datetime"]
     if not columns:
         return _rows(df, [], "column string, day date, n bigint")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.to_date(to_ts(df, c)).alias("day")) for c in columns])
-    days = df.select(F.inline(F.filter(cells, lambda x: x["day"].isNotNull())))
+    dates = df.select(*[F.to_date(to_ts(df, c)).alias(c) for c in columns])
+    days = dates.unpivot([], list(columns), "column", "day").where("day IS NOT NULL")
     return days.groupBy("column", "day").agg(F.count("*").alias("n")).orderBy("column", "day")
 
 
-def _pair_measures(clean: DataFrame, pairs: list[tuple[str, str]], aligned: bool) -> list[tuple]:
-    """Per pair ``(n, n_x, n_y, covariance, sd_x, sd_y)``, all pairs in one aggregation.
-
-    ``aligned`` takes each deviation over the whole column, which one aggregate per
-    column provides; it is right where both columns miss the same rows.
-    """
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = _number(a), _number(b)
-        both = x.isNotNull() & y.isNotNull()
-        over = (lambda v: v) if aligned else (lambda v: F.when(both, v))
-        measures = (F.count_if(both), F.count(x), F.count(y), F.covar_pop(x, y),
-                    F.stddev_pop(over(x)), F.stddev_pop(over(y)))
-        aggs.append(F.struct(*[m.alias(f"m{j}") for j, m in enumerate(measures)]).alias(f"p{i}"))
-    return [tuple(p) for p in clean.agg(*aggs).first()]
-
-
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(x, y, r)``: Pearson over the rows where both are present; NULL where undefined.
-
-    Runs one aggregation, and a second one only for pairs that miss different rows.
-    """
+    """``(x, y, r)``: Pearson over the rows where both are present; NULL where undefined."""
     columns = list(columns or numeric_columns(df))
-    schema = "x string, y string, r double"
     if len(columns) < 2:
-        return _rows(df, [], schema)
-    clean = nan_to_null(df)
+        return _rows(df, [], "x string, y string, r double")
     pairs = list(combinations_with_replacement(columns, 2))
-    measured = dict(zip(pairs, _pair_measures(clean, pairs, aligned=True)))
-    apart = [p for p, (n, n_x, n_y, *_) in measured.items() if not n == n_x == n_y]
-    if apart:
-        measured.update(zip(apart, _pair_measures(clean, apart, aligned=False)))
-    rows = []
-    for (x, y), (*_, covariance, sd_x, sd_y) in measured.items():
-        r = round(covariance / (sd_x * sd_y), 4) if sd_x and sd_y else None
-        rows += [(x, y, r), (y, x, r)] if x != y else [(x, y, r)]
-    return _rows(df, rows, schema)
+    cells = [c for x, y in pairs for c in (F.lit(x), F.lit(y), _number(x), _number(y))]
+    long = nan_to_null(df).select(F.stack(F.lit(len(pairs)), *cells).alias("x", "y", "a", "b"))
+    both = long.where("a IS NOT NULL AND b IS NOT NULL")
+    # One row per pair; constant columns have no correlation.
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    found = both.groupBy("x", "y").agg(F.round(F.try_divide(F.covar_pop("a", "b"), spread), 4).alias("r"))
+    names = _rows(df, pairs, "x string, y string").join(F.broadcast(found), ["x", "y"], "left")
+    return names.unionByName(
+        names.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    )
 
 
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float]]:
@@ -222,28 +215,27 @@ def _outside(v: Column, lower: float, upper: float) -> Column:
     return (v < F.lit(lower)) | (v > F.lit(upper))
 
 
-def _outlier_table(clean: DataFrame, fences: dict[str, tuple[float, float, float, float]]) -> DataFrame:
-    aggs = []
-    for i, (c, (q1, q3, lower, upper)) in enumerate(fences.items()):
-        n = F.count_if(_outside(_number(c), lower, upper))
-        aggs += [F.lit(x).alias(f"{f}_{i}") for f, x in zip(("q1", "q3", "lower", "upper"), (q1, q3, lower, upper))]
-        aggs += [n.alias(f"n_outliers_{i}"), F.try_divide(n * 100.0, F.count("*")).alias(f"pct_{i}")]
-    fields = ("q1", "q3", "lower", "upper", "n_outliers", "pct")
-    types = "q1:double,q3:double,lower:double,upper:double,n_outliers:bigint,pct:double"
-    return unstack(clean.agg(*aggs), list(fences), fields, types)
-
-
-OUTLIER_SCHEMA = "column string, q1 double, q3 double, lower double, upper double, n_outliers bigint, pct double"
+def _outlier_counts(clean: DataFrame, fences: dict[str, tuple[float, float, float, float]]) -> dict[str, int]:
+    tests = [F.count_if(_outside(_number(c), *f[2:])).alias(f"n_{i}") for i, (c, f) in enumerate(fences.items())]
+    return dict(zip(fences, clean.agg(*tests).first()))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Values strictly outside q1 - 1.5 IQR .. q3 + 1.5 IQR, per numeric column."""
+    """``(column, q1, q3, lower, upper, n_outliers, pct)``: values strictly outside
+    q1 - 1.5 IQR .. q3 + 1.5 IQR, and their share of all rows, per numeric column.
+    """
     clean = nan_to_null(df)
     fences = iqr_fences(clean, columns or numeric_columns(df))
     if not fences:
-        return _rows(df, [], OUTLIER_SCHEMA)
-    rounded = [F.round(c, 4).alias(c) for c in ("q1", "q3", "lower", "upper")]
-    return _outlier_table(clean, fences).select("column", *rounded, "n_outliers", F.round("pct", 2).alias("pct"))
+        schema = "column string, q1 double, q3 double, lower double, upper double, n_outliers bigint, pct double"
+        return _rows(df, [], schema)
+    aggs = []
+    for i, (c, f) in enumerate(fences.items()):
+        n = F.count_if(_outside(_number(c), *f[2:]))
+        aggs += [n.alias(f"n_outliers_{i}"), F.round(F.try_divide(n * 100.0, F.count("*")), 2).alias(f"pct_{i}")]
+    table = unstack(clean.agg(*aggs), list(fences), ("n_outliers", "pct"), "n_outliers:bigint,pct:double")
+    limits = _rounded({c: list(f) for c, f in fences.items()}, ("q1", "q3", "lower", "upper"), 4)
+    return table.select("column", *limits, "n_outliers", "pct")
 
 
 def outlier_examples(
@@ -258,7 +250,7 @@ def outlier_examples(
     fences = iqr_fences(clean, columns or numeric_columns(df))
     if not fences:
         return _rows(df, [], schema + ", rank int, value double")
-    counts = {r["column"]: r["n_outliers"] for r in _outlier_table(clean, fences).collect()}
+    counts = _outlier_counts(clean, fences)
     worst = sorted((c for c in fences if counts[c] > 0), key=lambda c: -counts[c])[:top]
     listed = _rows(df, [(c, counts[c], *fences[c][2:]) for c in worst or fences], schema)
     listed = listed.select("column", "n_outliers", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
@@ -294,17 +286,24 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Quartiles, whiskers (last values inside the fences), mean and deviation per column."""
+    """``(column, q1, median, q3, whisker_low, whisker_high, mean, std)``; whiskers are
+    the last values inside the fences.
+    """
     columns = list(columns or numeric_columns(df))
     clean = nan_to_null(df)
     quartiles = {c: q for c, q in exact_quantiles(clean, columns, QUARTILES).items() if q[0] is not None}
     fields = ("q1", "median", "q3", "whisker_low", "whisker_high", "mean", "std")
     if not quartiles:
         return _rows(df, [], "column string, " + ", ".join(f"{f} double" for f in fields))
-    aggs = []
-    for i, (c, (q1, q2, q3)) in enumerate(quartiles.items()):
-        v, reach = _number(c), 1.5 * (q3 - q1)
-        inside = F.when(~_outside(v, q1 - reach, q3 + reach), v)
-        values = (F.lit(q1), F.lit(q2), F.lit(q3), F.min(inside), F.max(inside), F.avg(v), F.stddev_samp(v))
-        aggs += [F.round(x, 4).alias(f"{f}_{i}") for f, x in zip(fields, values)]
-    return unstack(clean.agg(*aggs), list(quartiles), fields, ",".join(f"{f}:double" for f in fields))
+    inside = F.lit(False)
+    for c, (q1, _, q3) in quartiles.items():
+        reach = 1.5 * (q3 - q1)
+        inside = inside | ((F.col("column") == c) & F.col("value").between(q1 - reach, q3 + reach))
+    kept = F.when(inside, F.col("value"))
+    summary = _unpivot(clean, list(quartiles)).groupBy("column").agg(
+        F.round(F.min(kept), 4).alias("whisker_low"),
+        F.round(F.max(kept), 4).alias("whisker_high"),
+        F.round(F.avg("value"), 4).alias("mean"),
+        F.round(F.stddev_samp("value"), 4).alias("std"),
+    )
+    return summary.select("column", *_rounded(quartiles, fields[:3], 4), *fields[3:])

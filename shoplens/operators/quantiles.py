@@ -25,8 +25,7 @@ class _Interval:
     low: float | None = None
     high: float | None = None
 
-    def test(self) -> Column:
-        v = F.col(f"`{self.column}`")
+    def holds(self, v: Column) -> Column:
         found = v.isNotNull()
         if self.low is not None:
             found = found & (v > self.low)
@@ -40,9 +39,11 @@ def _brackets(values: DataFrame, intervals: list[_Interval]) -> dict[str, list[f
     slack = 3 / ACCURACY
     aggs, cuts = [], {}
     for i, t in enumerate(intervals):
-        at = [(k - t.before) / t.inside for k in sorted(t.ranks)]
+        # The slack covers a rank and the next one, which interpolation needs as well.
+        at = [(k - t.before) / t.inside for k in t.ranks if k - 1 not in t.ranks]
         probs = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)})
-        inside = F.when(t.test(), F.col(f"`{t.column}`"))
+        v = F.col(f"`{t.column}`")
+        inside = F.when(t.holds(v), v)
         aggs.append(F.percentile_approx(inside, probs, ACCURACY).alias(f"t{i}"))
     row = values.agg(*aggs).first()
     for i, t in enumerate(intervals):
@@ -64,9 +65,9 @@ def _narrow(values: DataFrame, intervals: list[_Interval], known: dict) -> list[
     for c, edges in cuts.items():
         v = F.col(f"`{c}`")
         place = sum(((v > e).cast("int") + (v >= e).cast("int") for e in edges), F.lit(0))
-        places.append(F.struct(F.lit(c).alias("c"), place.alias("place")))
-    present = F.filter(F.array(*places), lambda x: x["place"].isNotNull())
-    counts = values.select(F.inline(present)).groupBy("c", "place").count().collect()
+        places.append(place.alias(c))
+    long = values.select(*places).unpivot([], list(cuts), "c", "place").where("place IS NOT NULL")
+    counts = long.groupBy("c", "place").count().collect()
     smaller: dict[tuple, _Interval] = {}
     for c, edges in cuts.items():
         ranks = sorted({k for t in intervals if t.column == c for k in t.ranks})
@@ -84,18 +85,20 @@ def _narrow(values: DataFrame, intervals: list[_Interval], known: dict) -> list[
 
 
 def _finish(values: DataFrame, intervals: list[_Interval], known: dict) -> None:
-    """Read the few values left inside each interval."""
-    tagged = F.array_compact(
-        F.array(*[F.when(t.test(), F.struct(F.lit(i).alias("t"), F.col(f"`{t.column}`").alias("v")))
-                  for i, t in enumerate(intervals)])
-    )
-    counts = values.select(F.inline(tagged)).groupBy("t", "v").count().collect()
-    position = [t.before for t in intervals]
-    for i, v, n in sorted(counts):
-        for k in intervals[i].ranks:
-            if position[i] <= k < position[i] + n:
-                known[intervals[i].column, k] = v
-        position[i] += n
+    """Read the few values left inside each interval; intervals of a column do not overlap."""
+    column, v = F.col("c"), F.col("v")
+    wanted = F.lit(False)
+    for t in intervals:
+        wanted = wanted | ((column == t.column) & t.holds(v))
+    names = list(dict.fromkeys(t.column for t in intervals))
+    long = values.select(*[F.col(f"`{c}`") for c in names]).unpivot([], names, "c", "v").where(wanted)
+    counts = sorted(tuple(r) for r in long.groupBy("c", "v").count().collect())
+    for t in intervals:
+        start = t.before
+        for c, value, n in counts:
+            if c == t.column and (t.low is None or value > t.low) and (t.high is None or value < t.high):
+                known.update({(c, k): value for k in t.ranks if start <= k < start + n})
+                start += n
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:

@@ -107,6 +107,9 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     Files of one load share the header of the first file (by path).
     """
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx"))
+    first = files.agg(F.min("path").alias("path")).first()["path"]
+    if first is None:
+        raise ValueError(f"no spreadsheets under {path}")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,9 +118,10 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                     cells = list(_sheet_rows(archive))
                 yield pd.DataFrame({"path": name, "row_no": range(len(cells)), "cells": cells})
 
-    sheet = files.select("path", "content").mapInPandas(rows, "path string, row_no long, cells array<string>")
-    header = sheet.where("row_no = 0").orderBy("path").first()
-    if header is None:
-        raise ValueError(f"no spreadsheet rows under {path}")
-    names = [name or f"column_{i}" for i, name in enumerate(header["cells"])]
-    return sheet.where("row_no > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    def sheets(found: DataFrame) -> DataFrame:
+        return found.select("path", "content").mapInPandas(rows, "path string, row_no long, cells array<string>")
+
+    header = sheets(spark.read.format("binaryFile").load(first)).where("row_no = 0").first()
+    names = [name or f"column_{i}" for i, name in enumerate(header["cells"] if header else [])]
+    body = sheets(files).where("row_no > 0")
+    return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -41,12 +41,16 @@ def _infer(df: DataFrame) -> DataFrame:
     return df.select(*typed)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+) -> DataFrame:
     """CSV with a header row; NA tokens become NULL and types are inferred after that.
 
-    Inference reads the file once more; give ``schema`` to avoid it on large inputs.
+    Inference reads the files once more; give ``schema`` to avoid it on large inputs.
+    With ``multiline`` (line breaks inside quoted cells) a file is read by one task;
+    without it large files are split.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     raw = reader.option("inferSchema", False).csv(path)
     raw = raw.select(*[_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is None:
