@@ -13,6 +13,10 @@ def values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 
 
+def half_even(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10**digits}, 0) / {10**digits}"
+
+
 def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -226,11 +230,13 @@ ORACLES["eda_profile"] = f'WITH {EVENT_PROFILE} SELECT "column", dtype, role, n_
 
 
 def describe(table: str, columns) -> str:
+    measures = {"mean": "avg({})", "std": "stddev_samp({})", "min": "CAST(min({}) AS DOUBLE)",
+                "p25": "quantile_cont({}, 0.25)", "p50": "quantile_cont({}, 0.5)", "p75": "quantile_cont({}, 0.75)",
+                "max": "CAST(max({}) AS DOUBLE)"}
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std,
-  round(CAST(min({c}) AS DOUBLE), 2) AS min, round(quantile_cont({c}, 0.25), 2) AS p25,
-  round(quantile_cont({c}, 0.5), 2) AS p50, round(quantile_cont({c}, 0.75), 2) AS p75,
-  round(CAST(max({c}) AS DOUBLE), 2) AS max FROM {table}""" for c in columns)
+        f"""SELECT '{c}' AS "column", count({c}) AS n, """
+        + ", ".join(f"{half_even(sql.format(c), 2)} AS {name}" for name, sql in measures.items())
+        + f" FROM {table}" for c in columns)
 
 
 ORACLES["eda_describe"] = f"WITH {EVENTS} {describe('gaps', EVENT_NUMBERS)}"
@@ -278,7 +284,7 @@ o AS (SELECT "column", any_value(q1) AS q1, any_value(q3) AS q3, any_value(lower
       FROM x JOIN f USING ("column") GROUP BY "column")"""
 
 ORACLES["iqr_outliers"] = f"""WITH {FENCES}
-SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper,
+SELECT "column", {", ".join(f"{half_even(c, 4)} AS {c}" for c in ("q1", "q3", "lower", "upper"))},
        n_outliers, round(n_outliers * 100.0 / n_rows, 2) AS pct FROM o"""
 
 ORACLES["outlier_examples"] = f"""WITH {FENCES},
@@ -286,15 +292,17 @@ worst AS (SELECT * FROM o WHERE n_outliers > 0 ORDER BY n_outliers DESC LIMIT 3)
 e AS (SELECT "column", n_outliers, lower, upper, value,
         CAST(row_number() OVER (PARTITION BY "column" ORDER BY event_id) AS INTEGER) AS rank
       FROM worst JOIN x USING ("column") WHERE value < lower OR value > upper)
-SELECT "column", n_outliers, round(lower, 4) AS lower, round(upper, 4) AS upper, rank, value FROM e WHERE rank <= 5"""
+SELECT "column", n_outliers, {half_even("lower", 4)} AS lower, {half_even("upper", 4)} AS upper, rank, value
+FROM e WHERE rank <= 5"""
 
 ORACLES["missing_summary"] = f'WITH {EVENT_PROFILE} SELECT "column", n_null, null_pct FROM roles WHERE n_null > 0'
 
 ORACLES["box_stats"] = f"""WITH {FENCES}
-SELECT "column", round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median, round(any_value(q3), 4) AS q3,
-  round(min(value) FILTER (value >= lower AND value <= upper), 4) AS whisker_low,
-  round(max(value) FILTER (value >= lower AND value <= upper), 4) AS whisker_high,
-  round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std
+SELECT "column", {half_even("any_value(q1)", 4)} AS q1, {half_even("any_value(q2)", 4)} AS median,
+  {half_even("any_value(q3)", 4)} AS q3,
+  {half_even("min(value) FILTER (value >= lower AND value <= upper)", 4)} AS whisker_low,
+  {half_even("max(value) FILTER (value >= lower AND value <= upper)", 4)} AS whisker_high,
+  {half_even("avg(value)", 4)} AS mean, {half_even("stddev_samp(value)", 4)} AS std
 FROM x JOIN f USING ("column") GROUP BY "column" """
 
 # -- sales ---------------------------------------------------------------------------

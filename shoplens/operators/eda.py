@@ -44,6 +44,11 @@ def _per_column(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
     return names.join(F.broadcast(summary), "column", "left")
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Round as statistics packages do: the scaled value to the nearest integer, halves to even."""
+    return F.rint(x * 10**digits) / 10**digits
+
+
 def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -85,7 +90,7 @@ def _rounded(q: dict[str, list[float | None]], names: Sequence[str], digits: int
         value = F.lit(None).cast("double")
         for c, values in q.items():
             value = F.when(column == c, F.lit(values[i]).cast("double")).otherwise(value)
-        picks.append(F.round(value, digits).alias(name))
+        picks.append(half_even(value, digits).alias(name))
     return picks
 
 
@@ -97,10 +102,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     v = F.col("value")
     summary = _unpivot(clean, columns).groupBy("column").agg(
         F.count(v).alias("n"),
-        F.round(F.avg(v), 2).alias("mean"),
-        F.round(F.stddev_samp(v), 2).alias("std"),
-        F.round(F.min(v), 2).alias("min"),
-        F.round(F.max(v), 2).alias("max"),
+        half_even(F.avg(v), 2).alias("mean"),
+        half_even(F.stddev_samp(v), 2).alias("std"),
+        half_even(F.min(v), 2).alias("min"),
+        half_even(F.max(v), 2).alias("max"),
     )
     return _per_column(summary, columns).select(
         "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min",
@@ -123,33 +128,40 @@ def _most_variable(df: DataFrame, k: int = 3) -> list[str]:
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
-    """``(column, bin, lo, hi, n)``: equal-width bins on [min, max], empty ones included."""
+    """``(column, bin, lo, hi, n)``: equal-width bins on [min, max], empty ones included.
+
+    One aggregation finds the limits, a second one counts; a constant column is one bin.
+    """
     columns = list(columns or _most_variable(df))
     clean = nan_to_null(df)
-    wide = clean.agg(
-        *[f(_number(c)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]
-    )
-    # One row per column.
-    limits = unstack(wide, columns, ("lo", "hi"), "lo:double,hi:double").where("lo IS NOT NULL")
-    width = F.col("hi") - F.col("lo")
-    place = F.floor((F.col("value") - F.col("lo")) / width * bins)
-    bin_no = F.when(width == 0, F.lit(0).cast("long")).otherwise(F.least(F.lit(bins - 1).cast("long"), place))
+    limits = clean.agg(*[f(_number(c)) for c in columns for f in (F.min, F.max)]).first()
+    places, edges = [], []
+    for c, lo, hi in zip(columns, limits[::2], limits[1::2]):
+        if lo is None:
+            continue
+        if lo == hi:
+            places.append(F.when(_number(c).isNotNull(), F.lit(0).cast("long")).alias(c))
+            edges.append((c, 0, lo, hi))
+            continue
+        place = F.floor((_number(c) - F.lit(lo)) / F.lit(hi - lo) * bins)
+        # least() would skip a NULL.
+        places.append(F.when(place < bins, place).when(place >= bins, F.lit(bins - 1).cast("long")).alias(c))
+        step = (hi - lo) / bins
+        edges += [(c, b, lo + b * step, hi if b == bins - 1 else lo + (b + 1) * step) for b in range(bins)]
+    frame = _rows(df, edges, "column string, bin bigint, lo double, hi double")
+    if not edges:
+        return frame.withColumn("n", F.lit(0).cast("long"))
+    filled = list(dict.fromkeys(e[0] for e in edges))
     counts = (
-        _unpivot(clean, columns)
-        .join(F.broadcast(limits), "column")
-        .select("column", bin_no.alias("bin"))
+        clean.select(*places)
+        .unpivot([], filled, "column", "bin")
+        .where("bin IS NOT NULL")
         .groupBy("column", "bin")
         .agg(F.count("*").alias("n"))
     )
-    last = F.when(width == 0, 0).otherwise(bins - 1)
-    bin_numbers = F.sequence(F.lit(0).cast("long"), last.cast("long"))
-    frame = limits.select("column", "lo", "hi", F.explode(bin_numbers).alias("bin"))
-    step = width / bins
-    return frame.join(counts, ["column", "bin"], "left").select(
-        "column",
-        "bin",
-        F.round(F.col("lo") + F.col("bin") * step, 4).alias("lo"),
-        F.round(F.when(F.col("bin") == last, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * step), 4).alias("hi"),
+    # At most ``bins`` rows per column on both sides.
+    return frame.join(F.broadcast(counts), ["column", "bin"], "left").select(
+        "column", "bin", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
 
@@ -253,7 +265,7 @@ def outlier_examples(
     counts = _outlier_counts(clean, fences)
     worst = sorted((c for c in fences if counts[c] > 0), key=lambda c: -counts[c])[:top]
     listed = _rows(df, [(c, counts[c], *fences[c][2:]) for c in worst or fences], schema)
-    listed = listed.select("column", "n_outliers", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+    listed = listed.select("column", "n_outliers", half_even(F.col("lower"), 4).alias("lower"), half_even(F.col("upper"), 4).alias("upper"))
     if not worst:
         return listed.withColumns({"rank": F.lit(None).cast("int"), "value": F.lit(None).cast("double")})
     cells = F.array_compact(
@@ -301,9 +313,9 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         inside = inside | ((F.col("column") == c) & F.col("value").between(q1 - reach, q3 + reach))
     kept = F.when(inside, F.col("value"))
     summary = _unpivot(clean, list(quartiles)).groupBy("column").agg(
-        F.round(F.min(kept), 4).alias("whisker_low"),
-        F.round(F.max(kept), 4).alias("whisker_high"),
-        F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.stddev_samp("value"), 4).alias("std"),
+        half_even(F.min(kept), 4).alias("whisker_low"),
+        half_even(F.max(kept), 4).alias("whisker_high"),
+        half_even(F.avg("value"), 4).alias("mean"),
+        half_even(F.stddev_samp("value"), 4).alias("std"),
     )
     return summary.select("column", *_rounded(quartiles, fields[:3], 4), *fields[3:])

@@ -112,10 +112,10 @@ def sample_docs(df: DataFrame, id: str, threshold: int = 5000, n: int = 3000, se
 def cooccurrence(tok: DataFrame, top_n: int = 20, min_count: int = 2) -> DataFrame:
     """``(w1, w2, weight)``: documents holding both words, for the ``top_n`` most frequent words.
 
-    Documents are first reduced to their set of top words and equal sets are counted
-    together; pairs are formed from the distinct sets only.
+    Documents are first reduced to their set of top words (collected: ``top_n`` words)
+    and equal sets are counted together; pairs are formed from the distinct sets only.
     """
-    top = word_freq(tok, top_n).agg(F.collect_list("word").alias("words")).scalar()
+    top = F.array(*[F.lit(r["word"]) for r in word_freq(tok, top_n).collect()]).cast("array<string>")
     sets = (
         tok.select(F.sort_array(F.array_intersect("tokens", top)).alias("words"))
         .where(F.size("words") > 1)

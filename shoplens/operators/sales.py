@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.functions.coercion import calendar, to_num, to_ts
 from shoplens.operators.columns import quoted
@@ -13,26 +14,30 @@ from shoplens.operators.columns import quoted
 TOP_PRODUCTS = 15
 
 
+def _amount(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return quoted(name).cast("double")
+    return to_num(df, name)
+
+
 def clean_sales(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """Valid sales only, with canonical names.
 
     ``roles`` comes from ``resolve_roles``. Result: ``order_date, customer, product
     (if known), quantity, price, revenue`` and the other columns of ``df`` unchanged.
     """
-    converted = {
-        "order_date": to_ts(df, roles["date"]),
-        "customer": quoted(roles["customer"]),
-        "quantity": to_num(df, roles["quantity"]),
-        "price": to_num(df, roles["price"]),
-    }
+    amounts = {name: _amount(df, roles[name]) for name in ("quantity", "price")}
+    converted = {"order_date": to_ts(df, roles["date"]), "customer": quoted(roles["customer"]), **amounts}
     if "product" in roles:
         converted["product"] = quoted(roles["product"])
     taken = set(roles.values()) | set(converted)
     others = [quoted(c) for c in df.columns if c not in taken]
     sales = df.select(*others, *[c.alias(name) for name, c in converted.items()])
-    return sales.where(
-        "order_date IS NOT NULL AND customer IS NOT NULL AND quantity > 0 AND price > 0"
-    ).withColumn("revenue", F.col("quantity") * F.col("price"))
+    valid = F.col("order_date").isNotNull() & F.col("customer").isNotNull()
+    for name in amounts:
+        # NaN is above zero for Spark; two plain conditions let "> 0" reach the files.
+        valid = valid & (F.col(name) > 0) & ~F.isnan(name)
+    return sales.where(valid).withColumn("revenue", F.col("quantity") * F.col("price"))
 
 
 def require_rows(sales: DataFrame) -> DataFrame:
