@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import sys
@@ -24,6 +25,10 @@ SLIDE = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+# Built-in number formats that show a date or time, and the day numbers count from.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+DAY_ZERO = dt.datetime(1899, 12, 30)
+
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
     return ElementTree.fromstring(archive.read(name))
@@ -81,11 +86,41 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
+def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    styles = _xml(archive, "xl/styles.xml")
+    dates = set(DATE_FORMATS)
+    for fmt in styles.findall(f"{SHEET}numFmts/{SHEET}numFmt"):
+        shown = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", fmt.get("formatCode", "")).lower()
+        if re.search("[ymdh]", shown):
+            dates.add(int(fmt.get("numFmtId")))
+    return {i for i, xf in enumerate(styles.findall(f"{SHEET}cellXfs/{SHEET}xf")) if int(xf.get("numFmtId", 0)) in dates}
+
+
+def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
+    kind, value = cell.get("t", "n"), cell.find(f"{SHEET}v")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
+    if value is None or value.text is None or kind == "e":
+        return None
+    if kind == "s":
+        return shared[int(value.text)]
+    if kind == "b":
+        return "true" if value.text == "1" else "false"
+    if kind == "n" and int(cell.get("s", 0)) in dates:
+        moment = DAY_ZERO + dt.timedelta(seconds=round(float(value.text) * 86400))
+        return moment.isoformat(" ")
+    return value.text
+
+
 def _sheet_rows(archive: zipfile.ZipFile) -> Iterator[list[str | None]]:
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         for item in _xml(archive, "xl/sharedStrings.xml").findall(f"{SHEET}si"):
             shared.append("".join(t.text or "" for t in item.iter(f"{SHEET}t")))
+    dates = _date_styles(archive)
     first = _xml(archive, "xl/workbook.xml").find(f"{SHEET}sheets/{SHEET}sheet")
     path = _targets(archive, "xl", "workbook.xml")[first.get(f"{RELATION}id")]
     for row in _xml(archive, path).iter(f"{SHEET}row"):
@@ -93,11 +128,7 @@ def _sheet_rows(archive: zipfile.ZipFile) -> Iterator[list[str | None]]:
         for cell in row.findall(f"{SHEET}c"):
             at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
             cells += [None] * (at + 1 - len(cells))
-            value = cell.find(f"{SHEET}v")
-            if cell.get("t") == "inlineStr":
-                cells[at] = "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
-            elif value is not None:
-                cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+            cells[at] = _cell_text(cell, shared, dates)
         yield cells
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shoplens.functions.coercion import nan_to_null
 from shoplens.functions.text import strip_blanks
+from shoplens.sources.office import read_office_lines, read_xlsx
 
 # Cell texts that mean "missing" in a CSV file.
 NA_TOKENS = (
@@ -22,7 +23,7 @@ def _missing(c):
     return F.when(~c.isin(list(NA_TOKENS)), c)
 
 
-def _infer(df: DataFrame) -> DataFrame:
+def infer_types(df: DataFrame) -> DataFrame:
     """Give string columns the type all their values fit, found in one aggregation."""
     candidates = {
         "bigint": r"^\s*[+-]?\d{1,18}\s*$",
@@ -54,7 +55,7 @@ def read_table(
     raw = reader.option("inferSchema", False).csv(path)
     raw = raw.select(*[_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is None:
-        return _infer(raw)
+        return infer_types(raw)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     typed = [F.trim(F.col(f"`{c}`")).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
@@ -71,6 +72,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("text != ''")
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A file or pattern by its extension: csv and xlsx as tables, txt, docx and pptx as
+    one row ``(path, text)`` per line.
+    """
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return read_table(spark, path)
+    if kind == "xlsx":
+        sheet = read_xlsx(spark, path)
+        return infer_types(sheet.select(*[_missing(F.col(f"`{c}`")).alias(c) for c in sheet.columns]))
+    if kind == "txt":
+        lines = read_lines(spark, path)
+    elif kind in ("docx", "pptx"):
+        lines = read_office_lines(spark, path)
+    else:
+        raise ValueError(f"unsupported file type: {kind}")
+    if lines.isEmpty():
+        raise ValueError("the file holds no text")
+    return lines
+
+
 def read_lexicon(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Parameter file: a JSON object of word -> score, in file order."""
     body = spark.read.text(path, wholetext=True).first()["value"]

@@ -1,10 +1,9 @@
-import io
 import zipfile
 
 import pytest
 
 from shoplens.sources.office import read_office_lines, read_xlsx
-from shoplens.sources.readers import read_lexicon, read_lines, read_table, read_words
+from shoplens.sources.readers import read_any, read_lexicon, read_lines, read_table, read_words
 from shoplens.sources.writers import save_results, write_csv
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -87,6 +86,34 @@ def test_xlsx(spark, tmp_path, rows):
     assert rows(df) == [("apple", "3"), (None, "4.5")]
 
 
+def test_typed_cells_of_a_spreadsheet(spark, tmp_path, rows):
+    styles = (f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>'
+              '<numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
+              '<xf numFmtId="22"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+    sheet = (f'<worksheet {S}><sheetData>'
+             '<row>' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABCDE", ("at", "day", "n", "ok", "bad"))) + '</row>'
+             '<row><c r="A2" s="1"><v>40513.3513888889</v></c><c r="B2" s="2"><v>45292</v></c><c r="C2" s="3"><v>2.5</v></c>'
+             '<c r="D2" t="b"><v>1</v></c><c r="E2" t="e"><v>#N/A</v></c></row></sheetData></worksheet>')
+    pack(tmp_path / "t.xlsx", **{
+        "xl/workbook.xml": f'<workbook {S} {R}><sheets><sheet name="x" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": relations(("rId1", "worksheets/sheet1.xml")),
+        "xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet})
+    df = read_any(spark, str(tmp_path / "t.xlsx"))
+    assert rows(df) == [("2010-12-01 08:26:00", "2024-01-01 00:00:00", 2.5, True, None)]
+
+
+def test_dispatch(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "a.txt").write_text("one\n")
+    (tmp_path / "b.txt").write_text(" \n")
+    assert read_any(spark, str(tmp_path / "a.csv")).first().x == 1
+    assert read_any(spark, str(tmp_path / "a.txt")).first().text == "one"
+    with pytest.raises(ValueError, match="no text"):
+        read_any(spark, str(tmp_path / "b.txt"))
+    with pytest.raises(ValueError, match="unsupported"):
+        read_any(spark, str(tmp_path / "a.pdf"))
+
+
 def test_result_store(spark, tmp_path, rows):
     tables = {"a": spark.range(3), "b": spark.range(0)}
     manifest = save_results(tables, str(tmp_path), "job1")
