@@ -31,7 +31,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(documents(spark, folder).select("doc_id", "text"))
+    return spread(documents(spark, folder).select("doc_id", "text"), "doc_id")
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +119,7 @@ def strip_html_pages(spark, folder):
 @query
 def clean_sales(spark, folder):
     """Sales typed as text, with unreadable, missing and negative cells."""
-    lines = spread(load_table(spark, folder, "lineitem"))
+    lines = spread(load_table(spark, folder, "lineitem"), "l_orderkey")
     orders = load_table(spark, folder, "orders")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     quantity = F.when(F.col("l_returnflag") == "R", "-1").otherwise(F.col("l_quantity").cast("int").cast("string"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import heapq
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -66,17 +67,19 @@ def _shortest_path_loads(source: str, neighbours: dict[str, list[tuple[str, floa
 def betweenness(edges: DataFrame, distance: str = "weight") -> DataFrame:
     """``(node, betweenness)``: share of shortest paths between other nodes that pass a node.
 
-    The weight is the length of an edge (``distance="inverse"``: 1 / weight). Source
-    nodes are spread over tasks; each task holds the edges, whose number is checked.
+    The weight is the length of an edge (``distance="inverse"``: 1 / weight). Up to
+    MAX_TASK_EDGES edges the source nodes are spread over tasks that hold the whole
+    graph; a larger graph is worked off by joins.
     """
-    rows = edges.select("w1", "w2", "weight").limit(MAX_TASK_EDGES + 1).collect()
+    step = F.lit(1.0) / F.col("weight") if distance == "inverse" else F.col("weight")
+    graph = edges.select("w1", "w2", step.alias("step"))
+    rows = graph.limit(MAX_TASK_EDGES + 1).collect()
     if len(rows) > MAX_TASK_EDGES:
-        raise ValueError(f"betweenness takes at most {MAX_TASK_EDGES} edges; choose a smaller top_n")
+        return _joined_betweenness(graph)
     neighbours: dict[str, list[tuple[str, float]]] = {}
-    for w1, w2, weight in rows:
-        step = 1 / weight if distance == "inverse" else weight
-        neighbours.setdefault(w1, []).append((w2, step))
-        neighbours.setdefault(w2, []).append((w1, step))
+    for w1, w2, length in rows:
+        neighbours.setdefault(w1, []).append((w2, length))
+        neighbours.setdefault(w2, []).append((w1, length))
     spark, n = edges.sparkSession, len(neighbours)
     schema = "node string, betweenness double"
     if n == 0:
@@ -99,6 +102,61 @@ def betweenness(edges: DataFrame, distance: str = "weight") -> DataFrame:
     )
 
 
+def _until_empty(first: DataFrame, following: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rounds of a table that each round derives from the last one, until none is left."""
+    rounds = [materialize(first)]
+    while not rounds[-1].isEmpty():
+        rounds.append(materialize(following(rounds[-1])))
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _joined_betweenness(graph: DataFrame) -> DataFrame:
+    """Distances by relaxation, then paths counted forwards and their shares summed backwards.
+
+    All tables are keyed by source and node; a round follows one more edge.
+    """
+    links = graph.select(F.col("w1").alias("u"), F.col("w2").alias("v"), "step")
+    links = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "step")))
+    nodes = links.select(F.col("u").alias("node")).distinct()
+    start = nodes.select(F.col("node").alias("s"), F.col("node").alias("u"))
+
+    zero = F.lit(0).cast(links.schema["step"].dataType)
+    distance = materialize(start.select("s", "u", zero.alias("d"), F.lit(True).alias("moved")))
+    while not (moved := distance.where("moved")).isEmpty():
+        reached = moved.join(links, "u").select("s", F.col("v").alias("u"), (F.col("d") + F.col("step")).alias("d"))
+        best = distance.select("s", "u", "d", F.col("d").alias("old")).unionByName(reached, allowMissingColumns=True)
+        best = best.groupBy("s", "u").agg(F.min("d").alias("d"), F.min("old").alias("old"))
+        changed = F.col("old").isNull() | (F.col("d") < F.col("old"))
+        distance = materialize(best.select("s", "u", "d", changed.alias("moved")))
+    distance = distance.drop("moved")
+
+    ends = distance.select("s", F.col("u").alias("v"), F.col("d").alias("end"))
+    tight = materialize(
+        distance.join(links, "u").join(ends, ["s", "v"]).where(F.col("d") + F.col("step") == F.col("end")).select("s", "u", "v")
+    )
+    counted = _until_empty(
+        start.withColumn("paths", F.lit(1.0)),
+        lambda last: last.join(tight, ["s", "u"]).groupBy("s", F.col("v").alias("u")).agg(F.sum("paths").alias("paths")),
+    )
+    paths = counted.groupBy("s", "u").agg(F.sum("paths").alias("paths"))
+    share = materialize(
+        tight.join(paths.withColumnRenamed("paths", "to_u"), ["s", "u"])
+        .join(paths.select("s", F.col("u").alias("v"), F.col("paths").alias("to_v")), ["s", "v"])
+        .select("s", "u", "v", (F.col("to_u") / F.col("to_v")).alias("share"))
+    )
+
+    def back(last: DataFrame) -> DataFrame:
+        moved = last.withColumnRenamed("u", "v").join(share.where("s != u"), ["s", "v"])
+        return moved.groupBy("s", "u").agg(F.sum(F.col("load") * F.col("share")).alias("load"))
+
+    ones = distance.where("s != u").select("s", "u", F.lit(1.0).alias("load"))
+    summed = _until_empty(back(ones), back).groupBy(F.col("u").alias("node")).agg(F.sum("load").alias("load"))
+    n = nodes.count()
+    return nodes.join(summed, "node", "left").select(
+        "node", (F.coalesce("load", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness")
+    )
+
+
 # -- communities ---------------------------------------------------------------------
 
 

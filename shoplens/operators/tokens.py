@@ -19,9 +19,12 @@ def _without(tokens: Column, words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
 
 
-def english_words(text: Column) -> Column:
+def english_words(text: Column, dropped: Sequence[str] = ()) -> Column:
     """Runs of three and more Latin letters, in lower case."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= 3)
+    def kept(t: Column) -> Column:
+        return (F.length(t) >= 3) & ~t.isin(list(dropped)) if dropped else F.length(t) >= 3
+
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), kept)
 
 
 def analyzed_words(tagged: Column, pos_tags: Sequence[str] | None, min_len: int) -> Column:
@@ -80,13 +83,13 @@ def tokenize(
         tokens = _without(tokens, stopwords)
     else:
         dropped = [*ENGLISH_STOPWORDS, *stopwords]
-        tokens = english_words(body)
-        if lemmas is not None:
-            if id is None:
-                raise ValueError("lemmas need the document id column")
-            df = lemmatize(df.withColumn("tokens", tokens), lemmas, id)
-            tokens = F.col("tokens")
-        tokens = _without(tokens, dropped)
+        if lemmas is None:
+            tokens = english_words(body, dropped)
+        elif id is None:
+            raise ValueError("lemmas need the document id column")
+        else:
+            df = lemmatize(df.withColumn("tokens", english_words(body)), lemmas, id)
+            tokens = _without(F.col("tokens"), dropped)
     return df.withColumn("tokens", tokens)
 
 

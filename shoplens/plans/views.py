@@ -13,14 +13,14 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for CPU-heavy row work on a table of few files.
 
     A file of one row group is one task. A table with at least one file per core is
-    left as it is scanned, without a shuffle.
+    left as it is scanned, without a shuffle; others are hashed on ``key`` (unique ids).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores, key)
 
 
 def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
