@@ -169,6 +169,9 @@ def column_types(df: DataFrame) -> DataFrame:
     return open_types(df).select("column", "dtype", "role")
 
 
+PROFILE_SCHEMA = "column string, dtype string, role string, n_null bigint, null_pct double, n_unique bigint"
+
+
 def profile(df: DataFrame) -> DataFrame:
     """``(column, dtype, role, n_null, null_pct, n_unique)``."""
     missing = F.col("n_rows") - F.col("n_valid")

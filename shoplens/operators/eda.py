@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,7 @@ from shoplens.operators.columns import (
 from shoplens.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
+Quartiles = Mapping[str, Sequence[float | None]]
 
 
 def _number(name: str) -> Column:
@@ -53,12 +54,19 @@ def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """One row: size, missing cells, repeated rows, number of columns per role."""
+def overview(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
+    """One row: size, missing cells, repeated rows, number of columns per role.
+
+    ``roles`` (column -> role), where known already, saves counting distinct values again.
+    """
     shown = {"n_numeric": ["numeric"], "n_categorical": ["categorical"], "n_datetime": ["datetime"],
              "n_text": ["text", "high_cardinality"]}
-    counts = [F.count_if(F.col("role").isin(roles)).alias(name) for name, roles in shown.items()]
-    role_counts = column_types(df).agg(F.struct(*counts).alias("roles")).scalar()
+    if roles is None:
+        counts = [F.count_if(F.col("role").isin(wanted)).alias(name) for name, wanted in shown.items()]
+        role_counts = column_types(df).agg(F.struct(*counts).alias("roles")).scalar()
+    else:
+        counts = {name: sum(r in wanted for r in roles.values()) for name, wanted in shown.items()}
+        role_counts = F.struct(*[F.lit(n).cast("long").alias(name) for name, n in counts.items()])
     clean = nan_to_null(df)
     nulls = sum((F.when(quoted(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
     # Rows are compared by short keys; equal keys are combined before the shuffle.
@@ -82,7 +90,12 @@ def overview(df: DataFrame) -> DataFrame:
     ).select("*", "roles.*").drop("roles")
 
 
-def _rounded(q: dict[str, list[float | None]], names: Sequence[str], digits: int) -> list[Column]:
+def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, list[float | None]]:
+    """Exact quartiles per column; the operators below share them through ``known``."""
+    return exact_quantiles(nan_to_null(df), list(columns or numeric_columns(df)), QUARTILES)
+
+
+def _rounded(q: Quartiles, names: Sequence[str], digits: int) -> list[Column]:
     """Looked-up quantiles of the row's ``column``, one result column per name."""
     column = F.col("column")
     picks = []
@@ -94,11 +107,11 @@ def _rounded(q: dict[str, list[float | None]], names: Sequence[str], digits: int
     return picks
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, known: Quartiles | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each numeric column, rounded to 2."""
     columns = list(columns or numeric_columns(df))
     clean = nan_to_null(df)
-    quartiles = exact_quantiles(clean, columns, QUARTILES)
+    known = known or quartiles(df, columns)
     v = F.col("value")
     summary = _unpivot(clean, columns).groupBy("column").agg(
         F.count(v).alias("n"),
@@ -109,7 +122,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
     return _per_column(summary, columns).select(
         "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min",
-        *_rounded(quartiles, ("p25", "p50", "p75"), 2), "max",
+        *_rounded(known, ("p25", "p50", "p75"), 2), "max",
     )
 
 
@@ -166,11 +179,16 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
     )
 
 
+def widest_categorical(df: DataFrame, typed: DataFrame) -> list[str]:
+    """Categorical columns of a profile, most distinct values first (ties in table order)."""
+    found = typed.where("role = 'categorical'").select("column", "n_unique").collect()
+    return [r["column"] for r in sorted(found, key=lambda r: (-r["n_unique"], df.columns.index(r["column"])))]
+
+
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 3, k: int = 15) -> DataFrame:
     """``(column, rank, value, n)``: the most frequent values of the widest categorical columns."""
     if columns is None:
-        typed = open_types(df).where("role = 'categorical'").select("column", "n_unique").collect()
-        columns = [r["column"] for r in sorted(typed, key=lambda r: (-r["n_unique"], df.columns.index(r["column"])))]
+        columns = widest_categorical(df, open_types(df))
     columns = list(columns)[:max_cols]
     if not columns:
         return _rows(df, [], "column string, rank int, value string, n bigint")
@@ -213,10 +231,10 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float]]:
+def iqr_fences(known: Quartiles) -> dict[str, tuple[float, float, float, float]]:
     """Column -> (q1, q3, lower, upper); columns without values are left out."""
     fences = {}
-    for c, (q1, q3) in exact_quantiles(df, list(columns), [0.25, 0.75]).items():
+    for c, (q1, _, q3) in known.items():
         if q1 is not None:
             reach = 1.5 * (q3 - q1)
             fences[c] = (q1, q3, q1 - reach, q3 + reach)
@@ -232,12 +250,12 @@ def _outlier_counts(clean: DataFrame, fences: dict[str, tuple[float, float, floa
     return dict(zip(fences, clean.agg(*tests).first()))
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, known: Quartiles | None = None) -> DataFrame:
     """``(column, q1, q3, lower, upper, n_outliers, pct)``: values strictly outside
     q1 - 1.5 IQR .. q3 + 1.5 IQR, and their share of all rows, per numeric column.
     """
     clean = nan_to_null(df)
-    fences = iqr_fences(clean, columns or numeric_columns(df))
+    fences = iqr_fences(known or quartiles(df, columns))
     if not fences:
         schema = "column string, q1 double, q3 double, lower double, upper double, n_outliers bigint, pct double"
         return _rows(df, [], schema)
@@ -251,7 +269,12 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def outlier_examples(
-    df: DataFrame, order_by: str, columns: Sequence[str] | None = None, top: int = 3, k: int = 5
+    df: DataFrame,
+    order_by: str,
+    columns: Sequence[str] | None = None,
+    top: int = 3,
+    k: int = 5,
+    known: Quartiles | None = None,
 ) -> DataFrame:
     """``(column, n_outliers, lower, upper, rank, value)``: first k outliers of the worst columns.
 
@@ -259,7 +282,7 @@ def outlier_examples(
     """
     schema = "column string, n_outliers bigint, lower double, upper double"
     clean = nan_to_null(df)
-    fences = iqr_fences(clean, columns or numeric_columns(df))
+    fences = iqr_fences(known or quartiles(df, columns))
     if not fences:
         return _rows(df, [], schema + ", rank int, value double")
     counts = _outlier_counts(clean, fences)
@@ -285,37 +308,40 @@ def outlier_examples(
     return examples.join(F.broadcast(listed), "column").select(*listed.columns, "rank", "value")
 
 
-def missing_summary(df: DataFrame) -> DataFrame:
-    """``(column, n_null, null_pct)`` of the columns with missing values, most first."""
-    clean = nan_to_null(df)
-    wide = clean.agg(
-        *[F.count_if(quoted(c).isNull()).alias(f"n_null_{i}") for i, c in enumerate(df.columns)],
-        *[F.round(F.try_divide(F.count_if(quoted(c).isNull()) * 100.0, F.count("*")), 2).alias(f"null_pct_{i}")
-          for i, c in enumerate(df.columns)],
-    )
-    rows = unstack(wide, df.columns, ("n_null", "null_pct"), "n_null:bigint,null_pct:double")
-    return rows.where("n_null > 0").orderBy(F.desc("n_null"), "column")
-
+def missing_summary(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
+    """``(column, n_null, null_pct)`` of the columns with missing values, most first.
 
-def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    Taken from a known profile, or from one aggregation.
+    """
+    if profiled is None:
+        clean = nan_to_null(df)
+        n = [F.count_if(quoted(c).isNull()) for c in df.columns]
+        wide = clean.agg(
+            *[x.alias(f"n_null_{i}") for i, x in enumerate(n)],
+            *[F.round(F.try_divide(x * 100.0, F.count("*")), 2).alias(f"null_pct_{i}") for i, x in enumerate(n)],
+        )
+        profiled = unstack(wide, df.columns, ("n_null", "null_pct"), "n_null:bigint,null_pct:double")
+    return profiled.select("column", "n_null", "null_pct").where("n_null > 0").orderBy(F.desc("n_null"), "column")
+
+
+def box_stats(df: DataFrame, columns: Sequence[str] | None = None, known: Quartiles | None = None) -> DataFrame:
     """``(column, q1, median, q3, whisker_low, whisker_high, mean, std)``; whiskers are
     the last values inside the fences.
     """
-    columns = list(columns or numeric_columns(df))
     clean = nan_to_null(df)
-    quartiles = {c: q for c, q in exact_quantiles(clean, columns, QUARTILES).items() if q[0] is not None}
+    filled = {c: q for c, q in (known or quartiles(df, columns)).items() if q[0] is not None}
     fields = ("q1", "median", "q3", "whisker_low", "whisker_high", "mean", "std")
-    if not quartiles:
+    if not filled:
         return _rows(df, [], "column string, " + ", ".join(f"{f} double" for f in fields))
     inside = F.lit(False)
-    for c, (q1, _, q3) in quartiles.items():
+    for c, (q1, _, q3) in filled.items():
         reach = 1.5 * (q3 - q1)
         inside = inside | ((F.col("column") == c) & F.col("value").between(q1 - reach, q3 + reach))
     kept = F.when(inside, F.col("value"))
-    summary = _unpivot(clean, list(quartiles)).groupBy("column").agg(
+    summary = _unpivot(clean, list(filled)).groupBy("column").agg(
         half_even(F.min(kept), 4).alias("whisker_low"),
         half_even(F.max(kept), 4).alias("whisker_high"),
         half_even(F.avg("value"), 4).alias("mean"),
         half_even(F.stddev_samp("value"), 4).alias("std"),
     )
-    return summary.select("column", *_rounded(quartiles, fields[:3], 4), *fields[3:])
+    return summary.select("column", *_rounded(filled, fields[:3], 4), *fields[3:])

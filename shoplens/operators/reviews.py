@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,14 +28,18 @@ Lexicon = Sequence[tuple[str, int]]
 # -- categories ----------------------------------------------------------------------
 
 
+def _contains_any(text: Column, words: list[str]) -> Column:
+    """Generated code for the usual lists; a loop over an array for long ones."""
+    if len(words) > 200:
+        return F.exists(F.lit(words), lambda w: F.contains(text, w))
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+
+
 def category_of(text: Column, taxonomy: Taxonomy) -> Column:
     """First category, in the given order, with any keyword contained in the text."""
     result = F.when(is_blank(text), UNCLASSIFIED)
     for category, keywords in taxonomy:
-        hit = F.lit(False)
-        for keyword in keywords:
-            hit = hit | F.contains(text, F.lit(keyword))
-        result = result.when(hit, category)
+        result = result.when(_contains_any(text, list(keywords)), category)
     return result.otherwise(UNCLASSIFIED)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.operators import eda, graph, mining, rfm, sales, topics
 from shoplens.operators import reviews as rv
-from shoplens.operators.columns import detect_text_column, profile, resolve_roles, roles_by_column
+from shoplens.operators.columns import PROFILE_SCHEMA, detect_text_column, profile, resolve_roles
 from shoplens.functions.text import detect_language
 from shoplens.functions.words import NOUN_TAGS
 from shoplens.operators.tokens import token_sentiment, tokenize
@@ -45,24 +45,26 @@ def analyze_sentiment(df: DataFrame, id: str, lexicon: rv.Lexicon, text: str | N
 
 
 def analyze_table(df: DataFrame, order_by: str) -> dict[str, DataFrame]:
-    roles = roles_by_column(df)
-    numeric = [c for c, role in roles.items() if role == "numeric"]
-    dates = [c for c, role in roles.items() if role == "datetime"]
+    """Distinct values are counted once and quartiles found once for all tables."""
+    profiled = df.sparkSession.createDataFrame(profile(df).collect(), PROFILE_SCHEMA)  # one row per column
+    roles = {r["column"]: r["role"] for r in profiled.collect()}
+    numeric = [c for c in df.columns if roles[c] == "numeric"]
     result = {
         "rows": df,
-        "overview": eda.overview(df),
-        "profile": profile(df),
-        "top_values": eda.top_values(df),
-        "missing": eda.missing_summary(df),
-        "daily_counts": eda.daily_counts(df, dates),
+        "overview": eda.overview(df, roles),
+        "profile": profiled,
+        "top_values": eda.top_values(df, eda.widest_categorical(df, profiled)),
+        "missing": eda.missing_summary(df, profiled),
+        "daily_counts": eda.daily_counts(df, [c for c in df.columns if roles[c] == "datetime"]),
     }
     if numeric:
+        known = eda.quartiles(df, numeric)
         result |= {
-            "describe": eda.describe(df, numeric),
+            "describe": eda.describe(df, numeric, known),
             "histogram": eda.histogram(df),
-            "outliers": eda.iqr_outliers(df, numeric),
-            "outlier_examples": eda.outlier_examples(df, order_by, numeric),
-            "box_stats": eda.box_stats(df, numeric),
+            "outliers": eda.iqr_outliers(df, numeric, known),
+            "outlier_examples": eda.outlier_examples(df, order_by, numeric, known=known),
+            "box_stats": eda.box_stats(df, numeric, known),
         }
     if len(numeric) > 1:
         result["correlation"] = eda.correlation(df, numeric)

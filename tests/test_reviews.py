@@ -24,6 +24,12 @@ def test_categories(spark):
         "delivery", "price", "unclassified", "praise", "unclassified", "unclassified"]
 
 
+def test_long_keyword_list(spark):
+    taxonomy = [("numbers", [f"#{i}#" for i in range(3000)]), ("praise", ["good"])]
+    df = texts(spark, "x #2999# good", "good", "#3000#")
+    assert by_id(rv.classify(df, "text", taxonomy), "category") == ["numbers", "praise", "unclassified"]
+
+
 def test_category_tables(spark, rows):
     df = rv.classify(texts(spark, *(["good"] * 7 + ["할인"] * 2 + ["?"] * 9 + ["g" * 199 + "good"])), "text", TAXONOMY)
     assert rows(rv.category_distribution(df), ordered=True) == [
