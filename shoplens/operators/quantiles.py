@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoplens.session import materialize
 
 ACCURACY = 10_000
+SLACK = 3 / ACCURACY
 FINAL_VALUES = 20_000
 
 
@@ -36,12 +37,11 @@ class _Interval:
 
 def _brackets(values: DataFrame, intervals: list[_Interval]) -> dict[str, list[float]]:
     """Column -> interval ends and approximate values just below and above each wanted rank."""
-    slack = 3 / ACCURACY
     aggs, cuts = [], {}
     for i, t in enumerate(intervals):
         # The slack covers a rank and the next one, which interpolation needs as well.
         at = [(k - t.before) / t.inside for k in t.ranks if k - 1 not in t.ranks]
-        probs = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)})
+        probs = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-SLACK, SLACK)})
         v = F.col(f"`{t.column}`")
         inside = F.when(t.holds(v), v)
         aggs.append(F.percentile_approx(inside, probs, ACCURACY).alias(f"t{i}"))
@@ -52,14 +52,15 @@ def _brackets(values: DataFrame, intervals: list[_Interval]) -> dict[str, list[f
     return {c: sorted(x) for c, x in cuts.items()}
 
 
-def _narrow(values: DataFrame, intervals: list[_Interval], known: dict) -> list[_Interval]:
-    """One counting pass; settles ranks that fall on a bracket value, shrinks the other intervals.
+def _narrow(
+    values: DataFrame, intervals: list[_Interval], cuts: dict[str, list[float]], known: dict
+) -> list[_Interval]:
+    """One counting pass; settles ranks that fall on a cut, shrinks the other intervals.
 
     The counts are exact, so a poor approximation costs another pass, not a wrong result.
-    Rows equal to a bracket value leave the intervals: a value held by a third of all rows
+    Rows equal to a cut leave the intervals: a value held by a third of all rows
     cannot keep one large.
     """
-    cuts = _brackets(values, intervals)
     # Place of a value among the sorted cuts: 2i between cuts i and i + 1, 2i + 1 on cut i + 1.
     places = []
     for c, edges in cuts.items():
@@ -112,7 +113,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     values = df.select(
         *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     )
-    n = values.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first().asDict()
+    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
+    first = values.agg(
+        F.struct(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).alias("n"),
+        F.struct(*[F.percentile_approx(F.col(f"`{c}`"), near, ACCURACY).alias(c) for c in columns]).alias("near"),
+    ).first()
+    n, brackets = first["n"].asDict(), first["near"].asDict()
     known: dict[tuple[str, int], float] = {}
     waiting = []
     for c in columns:
@@ -120,12 +126,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
             below = {math.floor(p * (n[c] - 1)) for p in probs}
             ranks = below | {min(k + 1, n[c] - 1) for k in below}
             waiting.append(_Interval(c, 0, n[c], ranks))
+    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES}
     while waiting:
         small = [t for t in waiting if t.inside <= FINAL_VALUES]
-        large = [t for t in waiting if t.inside > FINAL_VALUES]
+        waiting = [t for t in waiting if t.inside > FINAL_VALUES]
         if small:
             _finish(values, small, known)
-        waiting = _narrow(values, large, known) if large else []
+        if waiting:
+            waiting = _narrow(values, waiting, cuts or _brackets(values, waiting), known)
+        cuts = None
 
     def value(c: str, p: float) -> float | None:
         if not n[c]:

@@ -135,6 +135,7 @@ def test_exact_quantiles_with_a_coarse_sketch(spark, monkeypatch):
     from shoplens.operators import quantiles
     monkeypatch.setattr(quantiles, "FINAL_VALUES", 20)
     monkeypatch.setattr(quantiles, "ACCURACY", 10)
+    monkeypatch.setattr(quantiles, "SLACK", 0.02)
     values = [(i * 7919) % 10007 for i in range(6000)]
     df = spark.createDataFrame([(v,) for v in values], "a long")
     assert exact_quantiles(df, ["a"], [0.1, 0.5, 0.9])["a"] == pytest.approx(
