@@ -40,7 +40,7 @@ EVENTS = """gaps AS (
 
 DOCUMENT_COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
-ORACLES["text_column_stats_documents"] = """
+ORACLES["text_column_stats"] = """
 SELECT "column", round(avg_len, 3) AS avg_len, contains("column", 'text') AS name_match, "column" = 'text' AS chosen
 FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", avg(length(CAST({c} AS VARCHAR))) AS avg_len FROM documents" for c in DOCUMENT_COLUMNS
@@ -53,14 +53,14 @@ def role_case(numeric, datetime) -> str:
   WHEN n_unique <= 20 THEN 'categorical' WHEN n_unique <= 100 THEN 'high_cardinality' ELSE 'text' END"""
 
 
-ORACLES["column_types_documents"] = f"""
+ORACLES["column_types"] = f"""
 SELECT "column", dtype, {role_case(("doc_id", "n_chars"), ())} AS role FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(DISTINCT {c}) AS n_unique FROM documents"
     for c, t in DOCUMENT_COLUMNS.items()
 ) + ")"
 
 ROLES = {"date": "order_date", "customer": "customer", "product": "product", "quantity": "quantity", "price": "price"}
-ORACLES["commerce_roles_sales"] = f"WITH {SALES} " + " UNION ALL ".join(
+ORACLES["commerce_roles"] = f"WITH {SALES} " + " UNION ALL ".join(
     f"SELECT '{role}' AS role, '{c}' AS \"column\", count({c}) AS n_values FROM sales" for role, c in ROLES.items()
 )
 
@@ -118,7 +118,7 @@ scored AS (
 labels AS (
   SELECT *, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' ELSE 'neutral' END AS label
   FROM scored)"""
-ORACLES["token_sentiment_scores"] = f"WITH {TOKEN_SCORES} SELECT doc_id, score, label FROM labels"
+ORACLES["token_sentiment"] = f"WITH {TOKEN_SCORES} SELECT doc_id, score, label FROM labels"
 
 
 def plain(c: str) -> str:

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from checks.parameters import EXTRA_STOPWORDS, LEXICON, TAXONOMY, TOKEN_LEXICON, TURNS
 from shoplens.functions.coercion import calendar
 from shoplens.functions.text import language_of, strip_html
-from shoplens.operators import context, eda, graph, mining, rfm, sales, topics
+from shoplens.operators import columns, context, eda, graph, mining, rfm, sales, topics
 from shoplens.operators import reviews as rv
-from shoplens.operators.columns import column_types, commerce_roles, profile, resolve_roles, text_column_stats
-from shoplens.operators.tokens import token_sentiment, tokenize
+from shoplens.operators import tokens as tk
 from shoplens.plans.views import load_table, purchases_view, raw_sales, sales_view, spread
 from shoplens.session import materialize
 
@@ -44,12 +43,12 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return load_table(spark, folder, "lineitem").select(*columns)
+    numbers = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return load_table(spark, folder, "lineitem").select(*numbers)
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenize(reviews(spark, folder), "text", stopwords=EXTRA_STOPWORDS).select("doc_id", "text", "tokens")
+    return tk.tokenize(reviews(spark, folder), "text", stopwords=EXTRA_STOPWORDS).select("doc_id", "text", "tokens")
 
 
 def tokens_twice(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,19 +60,19 @@ def tokens_twice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def text_column_stats_documents(spark, folder):
-    stats = text_column_stats(documents(spark, folder))
+def text_column_stats(spark, folder):
+    stats = columns.text_column_stats(documents(spark, folder))
     return stats.withColumn("avg_len", F.round("avg_len", 3))
 
 
 @query
-def column_types_documents(spark, folder):
-    return column_types(documents(spark, folder))
+def column_types(spark, folder):
+    return columns.column_types(documents(spark, folder))
 
 
 @query
-def commerce_roles_sales(spark, folder):
-    return commerce_roles(raw_sales(spark, folder))
+def commerce_roles(spark, folder):
+    return columns.commerce_roles(raw_sales(spark, folder))
 
 
 # -- scalar operators ----------------------------------------------------------------
@@ -107,8 +106,8 @@ def tokenize_en(spark, folder):
 
 
 @query
-def token_sentiment_scores(spark, folder):
-    return token_sentiment(tokens(spark, folder), TOKEN_LEXICON).select("doc_id", "score", "label")
+def token_sentiment(spark, folder):
+    return tk.token_sentiment(tokens(spark, folder), TOKEN_LEXICON).select("doc_id", "score", "label")
 
 
 @query
@@ -133,7 +132,7 @@ def clean_sales(spark, folder):
         F.when(F.col("l_discount") == 0.01, "two").otherwise(quantity).alias("Quantity"),
         F.when(F.col("l_discount") != 0.02, F.col("l_extendedprice")).alias("UnitPrice"),
     )
-    cleaned = sales.clean_sales(raw, resolve_roles(raw.columns))
+    cleaned = sales.clean_sales(raw, columns.resolve_roles(raw.columns))
     return cleaned.select(
         "line_of", "line_no", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
         "customer", "quantity", "price", F.round("revenue", 2).alias("revenue"),
@@ -203,7 +202,7 @@ def eda_overview(spark, folder):
 
 @query
 def eda_profile(spark, folder):
-    return profile(events(spark, folder))
+    return columns.profile(events(spark, folder))
 
 
 @query
@@ -420,12 +419,12 @@ def keyword_network(spark, folder):
 
 @query
 def token_sentiment_distribution(spark, folder):
-    return mining.token_sentiment_distribution(token_sentiment(tokens(spark, folder), TOKEN_LEXICON))
+    return mining.token_sentiment_distribution(tk.token_sentiment(tokens(spark, folder), TOKEN_LEXICON))
 
 
 @query
 def token_sentiment_examples(spark, folder):
-    return mining.token_sentiment_examples(token_sentiment(tokens(spark, folder), TOKEN_LEXICON), "text", "doc_id")
+    return mining.token_sentiment_examples(tk.token_sentiment(tokens(spark, folder), TOKEN_LEXICON), "text", "doc_id")
 
 
 @query
