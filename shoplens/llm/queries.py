@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoplens.llm.bpe import digests
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
 from shoplens.llm.sharding import assign_shards
+from shoplens.llm.token_files import token_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +59,20 @@ whole AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM
 SELECT doc_id, text_digest, licence, coalesce(line_licences, '') AS line_licences
 FROM whole LEFT JOIN digests ON text_digest = digest LEFT JOIN line_hits USING (doc_id)
 """
+
+
+def word_bpe() -> str:
+    """The tokenizer file of the contracts of op7 and op8; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_index(documents(spark, folder), word_bpe())
+
+
+@query
+def op8_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(documents(spark, folder), word_bpe())
