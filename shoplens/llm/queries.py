@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shoplens.llm.bpe import digests
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
 from shoplens.llm.sharding import assign_shards
+from shoplens.llm.simhash import near_components
 from shoplens.llm.token_files import token_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +77,8 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(documents(spark, folder), word_bpe())
+
+
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_components(documents(spark, folder), words=4, max_bits=4)
