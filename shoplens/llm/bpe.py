@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from shoplens.llm.words import slices
+
 END = "</w>"
 _NEVER = 1 << 30
 # Word ends are marked on the last symbol, so that a symbol is one character.
@@ -255,15 +257,3 @@ def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
                 ["id", *schema.names[1:]])
 
     return docs.select(docs[id], docs[text].cast("string")).mapInArrow(encode, _renamed(schema)).toDF(*schema.names)
-
-
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with about ``limit`` bytes of the text in ``column``, at least a row each."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
-    begin = 0
-    while begin < batch.num_rows:
-        base = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, base + limit, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.llm.bpe import digests
+from shoplens.llm.language_id import identify
+from shoplens.llm.language_model import score_held_out
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
 from shoplens.llm.sharding import assign_shards
 from shoplens.llm.simhash import near_components
@@ -82,3 +84,13 @@ def op8_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(documents(spark, folder), words=4, max_bits=4)
+
+
+@query
+def op1_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return score_held_out(documents(spark, folder))
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(documents(spark, folder))
