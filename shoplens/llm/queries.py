@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shoplens.llm.bpe import digests
+from shoplens.llm.chunking import dedup_substrings
 from shoplens.llm.language_id import identify
 from shoplens.llm.language_model import score_held_out
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
@@ -94,3 +96,10 @@ def op1_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents(spark, folder))
+
+
+@query
+def op5_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_substrings(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_chunks", "n_repeats", "removed_bytes", F.sha2(F.col("text"), 256).alias("kept_sha256"))

@@ -15,8 +15,8 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _POWERS_CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -62,7 +62,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each word; white space is the space and bytes 9 to 13."""
-    space = np.concatenate([[True], _SPACE[data], [True]])
+    space = np.concatenate([[True], SPACE[data], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
     return edges[::2], edges[1::2]
 
