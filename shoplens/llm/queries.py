@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.bpe import digests
 from shoplens.llm.chunking import dedup_substrings
+from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import identify
 from shoplens.llm.language_model import score_held_out
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
@@ -103,3 +104,9 @@ def op5_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup_substrings(documents(spark, folder))
     return found.select(
         "doc_id", "n_chunks", "n_repeats", "removed_bytes", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return find_overlaps(documents(spark, folder), benchmark).drop("body")
