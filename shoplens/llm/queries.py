@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.bpe import digests
 from shoplens.llm.chunking import dedup_substrings
+from shoplens.llm.cover_tree import top_k
 from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import identify
 from shoplens.llm.language_model import score_held_out
@@ -110,3 +111,22 @@ def op5_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     return find_overlaps(documents(spark, folder), benchmark).drop("body")
+
+
+@query
+def op2_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+ORACLES["op2_cover_tree"] = """
+WITH valid AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+    FROM valid q JOIN valid p ON q.vec_id <> p.vec_id AND len(q.v) = len(p.v) WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
