@@ -1,16 +1,77 @@
-"""Corpus preparation: stages over ``documents``, each written and read again as the next one's input."""
+"""Corpus preparation: stages over ``documents``, each written and read again as the next one's input.
+
+The stages reject documents without a recognised language, keep one document of each
+group of copies and near copies, cut passages that repeat across documents, reject
+documents with passages of a benchmark item, and encode what is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shoplens.llm.bpe import digests
+from shoplens.llm.chunking import dedup_substrings
+from shoplens.llm.decontamination import find_overlaps
+from shoplens.llm.language_id import UNKNOWN, fit, predict, training_rows
+from shoplens.llm.queries import word_bpe
+from shoplens.llm.simhash import near_copies
 from shoplens.llm.store import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language that is recognised without doubt; a null text has none."""
+    codes = fit(docs.filter(training_rows(F.col("doc_id"))))
+    found = predict(docs, codes, prefix="_lang_")
+    kept = (F.col("_lang_pred") != UNKNOWN) & ~F.col("_lang_ambiguous")
+    return found.filter(kept).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies, the row with the smallest id (null ids last).
+
+    Rows of equal id and text are one document, of which one row stays.
+    """
+    kept = near_copies(docs).filter("is_first").select(F.col("doc_id").alias("_id"), F.col("body").alias("_kept")).distinct()
+    bodies = docs.withColumn("_body", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept"))
+    return bodies.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_body"]).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without passages that an earlier document holds; rows whose whole text went are dropped."""
+    found = dedup_substrings(docs)
+    left = (F.col("removed_bytes") == 0) | (F.trim("text") != "")
+    return found.filter(left).withColumn(
+        "n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no passage of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
+    body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (body == F.col("_body")), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's number of tokens and the digests of its ids and of the text decoded from them."""
+    return digests(docs, word_bpe())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encode),
+]
+# Hashing, fitted codes and tokenizers have no counterpart in SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -20,7 +20,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,12 +94,16 @@ def spread_lists(views: int, lists: int) -> list[tuple[int, ...]]:
     return random.Random(SEED).sample(list(combinations(range(BYTES * views), 3)), lists)
 
 
-def _list_key(number: int, positions: tuple[int, ...]) -> Column:
-    key = F.lit(number).cast("long")
-    for p in positions:
-        byte = F.shiftright(f"view{p // BYTES}", 8 * (BYTES - 1 - p % BYTES)).bitwiseAND(F.lit(255))
-        key = F.shiftleft(key, 8).bitwiseOR(byte)
-    return key
+def list_keys(views: np.ndarray, lists: list[tuple[int, ...]]) -> np.ndarray:
+    """Key of each row of views in each list: the list's number and the bytes at its positions."""
+    table = views.astype(">i8").view(np.uint8).astype(np.int64)
+    keys = np.empty((len(views), len(lists)), np.int64)
+    for number, positions in enumerate(lists):
+        key = np.full(len(views), number, np.int64)
+        for p in positions:
+            key = key << 8 | table[:, p]
+        keys[:, number] = key
+    return keys
 
 
 def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +163,18 @@ def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max
     connect them, preferring fewer bits, so that a list of n texts gives at most n edges.
     Lists longer than 4096 are split into chunks, every two of which meet in one task.
     """
-    index = prints.select(
-        F.explode(F.array(*(_list_key(i, p) for i, p in enumerate(lists)))).alias("key"), "node", F.col("view0").alias("view"))
+    views = [c for c in prints.columns if c.startswith("view")]
+    few = max(1, _ROWS // len(lists))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, few):
+                nodes, *own = (batch.column(i)[at : at + few].to_numpy() for i in range(len(views) + 1))
+                keys = list_keys(np.ascontiguousarray(np.stack(own, axis=1)), lists)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), *(pa.array(np.repeat(x, len(lists))) for x in (nodes, own[0]))], ["key", "node", "view"])
+
+    index = prints.select("node", *views).mapInArrow(post, "key long, node long, view long")
     long_lists = index.groupBy("key").count().filter(F.col("count") > LIST_CHUNK).select(
         "key", F.ceil(F.col("count") / LIST_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -192,11 +206,16 @@ def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max
 
 
 def _members(prints: DataFrame, edges: DataFrame, id: str) -> DataFrame:
-    """``node`` and component_id of every node of ``prints`` (``id``, node)."""
-    classes = prints.groupBy("node").agg(F.min(id).alias("_first")).join(
+    """node, component_id and first_node of every node of ``prints`` (``id``, node).
+
+    The first node is that of the smallest id, of equal ids the smaller; null ids come last.
+    """
+    classes = prints.groupBy("node").agg(F.min(id).alias("_id")).join(
         connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = classes.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return classes.join(firsts, "root").select("node", "component_id")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "node"))
+    firsts = classes.groupBy("root").agg(first.alias("_first"))
+    return classes.join(firsts, "root").select(
+        "node", F.col("_first._id").alias("component_id"), F.col("_first.node").alias("first_node"))
 
 
 def near_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,7 +259,11 @@ def near_copies(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 6, lists: int = 160,
     id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """``id`` and component_id of every row: copies and near copies share the smallest id among them.
+    """``id``, body, component_id and is_first of every row: copies and near copies share the smallest id among them.
+
+    body is the text's XXH64 (of an empty text for null); is_first marks the row that has
+    the component's id, or, where one id has several texts, the smallest body among them.
+    Repeated rows are all marked.
 
     Near are texts whose sets of word shingles have a Jaccard similarity of ``similarity``
     or more; it is computed from the sets. Candidates share three positional bytes of
@@ -257,4 +280,6 @@ def near_copies(
     worded = prints.filter(" or ".join(f"view{v} <> 0" for v in range(views)))
     candidates = written(near_edges(worded, spread_lists(views, lists), 0, 20), "candidates")
     edges = _similar(bodies, candidates, words, similarity, text)
-    return ids.join(_members(ids, edges, id), "node").select(id, "component_id")
+    is_first = F.col(id).eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("first_node"))
+    return ids.join(_members(ids, edges, id), "node").select(
+        id, F.col("node").alias("body"), "component_id", is_first.alias("is_first"))
