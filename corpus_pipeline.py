@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm.bpe import digests
@@ -18,7 +18,13 @@ from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import UNKNOWN, fit, predict, training_rows
 from shoplens.llm.queries import word_bpe
 from shoplens.llm.simhash import near_copies
-from shoplens.llm.store import written
+from shoplens.llm.store import packed, unpacked, written
+
+
+def body() -> Column:
+    """What tells rows of one id apart, as the operators compute it."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,9 +32,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language that is recognised without doubt; a null text has none."""
     codes = fit(docs.filter(training_rows(F.col("doc_id"))))
-    found = predict(docs, codes, prefix="_lang_")
-    kept = (F.col("_lang_pred") != UNKNOWN) & ~F.col("_lang_ambiguous")
-    return found.filter(kept).select(docs.columns)
+    found = predict(packed(docs, text=F.col("text")), codes)
+    return unpacked(found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("lang_ambiguous")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,26 +42,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of equal id and text are one document, of which one row stays.
     """
     kept = near_copies(docs).filter("is_first").select(F.col("doc_id").alias("_id"), F.col("body").alias("_kept")).distinct()
-    bodies = docs.withColumn("_body", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept"))
-    return bodies.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_body"]).select(docs.columns)
+    rows = packed(docs, doc_id=F.col("doc_id"), body=body())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_kept"))
+    return unpacked(rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "body"]), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without passages that an earlier document holds; rows whose whole text went are dropped."""
-    found = dedup_substrings(docs)
-    left = (F.col("removed_bytes") == 0) | (F.trim("text") != "")
-    return found.filter(left).withColumn(
-        "n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(docs.columns)
+    found = dedup_substrings(packed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    changed = F.col("removed_bytes") > 0
+    length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(found.filter(~changed | (F.trim("text") != "")), docs, text=F.col("text"), n_chars=length)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no passage of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (body == F.col("_body")), "left_anti")
+    rows = packed(docs, doc_id=F.col("doc_id"), body=body())
+    return unpacked(rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left_anti"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

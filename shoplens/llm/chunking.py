@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplens.llm.words import SPACE, text_bytes
+from shoplens.llm.store import packed, unpacked
+from shoplens.llm.words import SPACE, slices, text_bytes
 
 WINDOW = 16  # bytes on each side: chunks have at least 17 bytes, 34 on average
 LONGEST = 1024  # a chunk without a cut for so long is cut there
@@ -178,6 +179,8 @@ def dedup_substrings(
 ) -> DataFrame:
     """All columns, ``text`` without repeated chunks, with n_chunks, n_repeats and removed_bytes.
 
+    Columns of ``docs`` with these three names are replaced.
+
     A run of repeats of at least ``min_run`` bytes is removed, between white space where
     it has some and between characters otherwise. A run over a whole text leaves an empty
     text. A chunk
@@ -187,27 +190,25 @@ def dedup_substrings(
     gives an empty result.
     """
     key, body = _key(id, text)
-    found = repeats(docs, id, text, window).groupBy("id", "body").agg(F.collect_list("places").alias("_places"))
-    marked = docs.withColumns({"_key": key, "_body": body}).join(
-        found, (F.col("_key") == F.col("id")) & (F.col("_body") == F.col("body")), "left"
-    ).select(docs["*"], F.col("_places"))
-    place = docs.columns.index(text)
-    extra = [T.StructField(n, T.LongType()) for n in ("n_chunks", "n_repeats", "removed_bytes")]
-    schema = T.StructType([*docs.schema, *extra])
+    found = repeats(docs, id, text, window).groupBy("id", "body").agg(F.collect_list("places").alias("places"))
+    rows = packed(docs, key=key, hash=body, value=F.col(text).cast("string"))
+    marked = rows.join(found, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("body")), "left").select("row", "value", "places")
+    schema = T.StructType([marked.schema["row"], marked.schema["value"], *(
+        T.StructField(n, T.LongType()) for n in ("n_chunks", "n_repeats", "removed_bytes"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for value, places in zip(batch.column(place), batch.column(batch.num_columns - 1)):
-                left, numbers = _cut(value.as_py(), places.as_py(), window, min_run)
-                texts.append(left)
-                counts.append(numbers)
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(pa.array(list(x), pa.int64()) for x in (zip(*counts) if counts else ((), (), ())))], schema.names)
-
-    return marked.mapInArrow(cut, schema)
+            for few in slices(batch, 1):
+                texts, counts = [], []
+                for value, places in zip(few.column(1), few.column(2)):
+                    left, numbers = _cut(value.as_py(), places.as_py(), window, min_run)
+                    texts.append(left)
+                    counts.append(numbers)
+                yield pa.RecordBatch.from_arrays(
+                    [few.column(0), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in zip(*counts))], schema.names)
+
+    done = marked.mapInArrow(cut, schema)
+    return unpacked(done, docs, **{text: F.col("value"), **{n: F.col(n) for n in ("n_chunks", "n_repeats", "removed_bytes")}})
 
 
 def _cut(value: str | None, places: list[bytes] | None, window: int, min_run: int) -> tuple[str | None, tuple[int, int, int]]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from shoplens.llm.store import packed, unpacked
 from shoplens.llm.words import mix, slices, text_bytes
 
 SAMPLE_PER_LANGUAGE = 2000  # training rows of each language, those of the smallest id hashes
@@ -129,28 +130,28 @@ def predict(docs: DataFrame, codes: Codes, text: str = "text", prefix: str = "la
     """All columns with ``<prefix>pred``, ``<prefix>score`` (0 to 1) and ``<prefix>ambiguous``.
 
     A null text, one without a letter, or any text if no language was learned is ``und``
-    with score 0 and is ambiguous. Only the text is used.
+    with score 0 and is ambiguous. Only the text is used. Columns of ``docs`` with the
+    three names are replaced.
     """
     names = [f"{prefix}{x}" for x in ("pred", "score", "ambiguous")]
-    schema = T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()),
-                           T.StructField(names[2], T.BooleanType())])
     if not codes.languages:
-        return docs.select("*", F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2]))
+        return docs.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True)))))
     model = docs.sparkSession.sparkContext.broadcast(codes)  # bounded: bins times bits
-    place = docs.columns.index(text)
-    letters = docs.withColumn("_letter", F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    value = F.col(text).cast("string")
+    rows = packed(docs, text=value, letter=F.coalesce(value.rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([rows.schema["row"], T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for few in slices(batch, place, 1 << 20):
-                best, score = model.value.decide(few.column(place))
-                letter = few.column(few.num_columns - 1).to_numpy(zero_copy_only=False)
+            for few in slices(batch, 1, 1 << 20):
+                best, score = model.value.decide(few.column(1))
+                letter = few.column(2).to_numpy(zero_copy_only=False)
                 pred = np.where(letter, np.array(model.value.languages, object)[best], UNKNOWN)
-                score = np.where(letter, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*few.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], schema.names)
+                    [few.column(0), pa.array(pred, pa.string()), pa.array(np.where(letter, score, 0.0))], schema.names)
 
-    return letters.mapInArrow(decide, schema)
+    found = (F.col("pred"), F.col("score"), F.col("score") < AMBIGUOUS)
+    return unpacked(rows.mapInArrow(decide, schema), docs, **dict(zip(names, found)))
 
 
 def training_rows(id: Column, folds: int = 5) -> Column:

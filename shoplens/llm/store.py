@@ -7,7 +7,8 @@ import uuid
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``new_folder``."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``row``, beside ``keys``: names of ``df`` cannot clash with those of an operator."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in keys.items()))
+
+
+def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``like`` from ``row``, some of them changed; other ``changed`` ones are added at the end."""
+    own = [changed.get(c, F.col("row")[c]).alias(c) for c in like.columns]
+    return df.select(*own, *(c.alias(name) for name, c in changed.items() if name not in like.columns))
