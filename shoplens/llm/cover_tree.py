@@ -162,7 +162,7 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
     def build(table: pa.Table) -> pa.Table:
         dims, block = (table.column(c)[0].as_py() for c in ("dims", "block"))
         vectors = table.column("vector").combine_chunks()
-        matrix = np.floor(64 * vectors.flatten().to_numpy().astype(np.float64)).reshape(-1, dims)
+        matrix = np.floor(64 * vectors.flatten().to_numpy().astype(np.float64)).reshape(table.num_rows, dims)
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         tree = CoverTree.build(table.column("id").to_numpy()[order], matrix[order])
         return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int32()),
