@@ -110,9 +110,10 @@ def scan_licences(
     A null text is an empty text and has no licence. Every row gives one row, repeated
     ones too; no row is shuffled. The join's small side has a row per known text.
     """
-    pairs = known_digests(docs.sparkSession, known)
     # As bounded as the list of known texts, so a literal: lines are looked up without a join of their own.
-    lookup = F.create_map(*(F.lit(x) for row in pairs.collect() for x in row))
+    digests = known_digests(docs.sparkSession, known).collect()
+    lookup = F.create_map(*(F.lit(x) for row in digests for x in row))
+    pairs = docs.sparkSession.createDataFrame(digests, "digest string, licence string")
     lines = docs.select(F.col(id), canonical_lines(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_lines"))
     found = F.filter(F.transform("_lines", lambda x: lookup[F.sha2(x, 256)]), lambda x: x.isNotNull())
     named = lines.select(
