@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import QUERIES  # noqa: E402
-from shoplens.session import build_session  # noqa: E402
+from shoplens.session import build_session, release  # noqa: E402
 
 
 def main() -> None:
@@ -29,6 +29,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release()
     print(json.dumps({
         "metric": "total time of all queries",
         "value": round(sum(seconds.values()), 3),

@@ -11,7 +11,7 @@ import pandas as pd
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
-from shoplens.session import build_session
+from shoplens.session import build_session, release
 
 
 def plain_rows(pdf: pd.DataFrame) -> list[tuple]:
@@ -36,6 +36,7 @@ def differences(spark, con, folder: str, name: str) -> str:
     """Empty when both sides agree."""
     got = QUERIES[name](spark, folder)
     mine = got.toPandas()
+    release()
     if name not in ORACLES:
         return "" if len(mine) else "no rows"
     theirs = con.sql(ORACLES[name]).df()

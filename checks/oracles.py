@@ -424,7 +424,7 @@ dw AS (SELECT DISTINCT doc_id, word FROM words JOIN top USING (word)),
 pairs AS (SELECT a.word AS w1, b.word AS w2, count(*) AS weight
           FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL HAVING count(*) >= 2)"""
 GRAPH = f"""{PAIRS},
-edges AS (SELECT * FROM pairs WHERE weight * 20 >= (SELECT count(*) FROM documents)),
+edges AS (SELECT * FROM pairs),
 links AS (SELECT w1 AS node, w2 AS other, weight FROM edges UNION ALL SELECT w2, w1, weight FROM edges)"""
 
 ORACLES["cooccurrence"] = f"WITH {PAIRS} SELECT w1, w2, weight FROM pairs"

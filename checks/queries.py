@@ -14,7 +14,7 @@ from shoplens.operators import columns, context, eda, graph, mining, rfm, sales,
 from shoplens.operators import reviews as rv
 from shoplens.operators import tokens as tk
 from shoplens.plans.views import load_table, purchases_view, raw_sales, sales_view, spread
-from shoplens.session import materialize
+from shoplens.session import reuse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +53,7 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokens_twice(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens for operators that read them more than once."""
-    return materialize(tokens(spark, folder).drop("text"))
+    return reuse(tokens(spark, folder).drop("text"))
 
 
 # -- typing and roles ----------------------------------------------------------------
@@ -317,7 +317,7 @@ def rfm_segments(spark, folder):
 
 
 def segmented(spark, folder):
-    return materialize(rfm.rfm_segments(sales_view(spark, folder)))
+    return reuse(rfm.rfm_segments(sales_view(spark, folder)))
 
 
 @query
@@ -350,7 +350,7 @@ def word_freq(spark, folder):
 
 @query
 def corpus_overview(spark, folder):
-    return mining.corpus_overview(documents(spark, folder), tokens(spark, folder), "text", "doc_id")
+    return mining.corpus_overview(documents(spark, folder), tokens(spark, folder), "text")
 
 
 @query
@@ -370,13 +370,12 @@ def trigrams(spark, folder):
 
 @query
 def lda_topics(spark, folder):
-    # Each of the twenty steps reads every document.
-    return topics.lda_topics(topics.fit_topics(tokens_twice(spark, folder), "doc_id", max_steps=20))
+    return topics.lda_topics(topics.fit_topics(tokens_twice(spark, folder), "doc_id"))
 
 
 @query
 def topic_share(spark, folder):
-    fitted = topics.fit_topics(tokens_twice(spark, folder), "doc_id", max_steps=20)
+    fitted = topics.fit_topics(tokens_twice(spark, folder), "doc_id")
     return topics.topic_share(fitted, "doc_id")
 
 
@@ -386,10 +385,7 @@ def cooccurrence(spark, folder):
 
 
 def keyword_edges(spark, folder):
-    """Pairs of frequent words in at least a twentieth of the documents: a sparse graph."""
-    tok = tokens_twice(spark, folder)
-    edges = mining.cooccurrence(tok)
-    return materialize(edges.where(F.col("weight") * 20 >= F.lit(tok.count())))
+    return reuse(mining.cooccurrence(tokens_twice(spark, folder)))
 
 
 @query

@@ -80,11 +80,7 @@ def language_of(c: Column | str) -> Column:
     )
 
 
-def detect_language(df: DataFrame, text: str, sample: int = 50, order_by: str | None = None) -> DataFrame:
-    """One row ``(language)``: the script that dominates the first ``sample`` texts."""
-    if order_by is not None:
-        df = df.orderBy(order_by)
-    totals = df.select(text).limit(sample).agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(lang) for lang, n in script_counts(text).items()]
-    )
+def detect_language(df: DataFrame, text: str) -> DataFrame:
+    """One row ``(language)``: the script that dominates all texts, in one aggregation."""
+    totals = df.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(lang) for lang, n in script_counts(text).items()])
     return totals.select(_winner({k: F.col(k) for k in SCRIPTS}).alias("language"))

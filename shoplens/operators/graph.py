@@ -4,24 +4,21 @@ from __future__ import annotations
 
 import heapq
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.operators.mining import cooccurrence
-from shoplens.session import materialize
+from shoplens.session import next_round, reuse
 
 # Task functions travel with the job: executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A keyword graph over top_n words has at most top_n * (top_n - 1) / 2 edges.
-MAX_TASK_EDGES = 200_000
-
 
 def _both_ways(edges: DataFrame, *keep: str) -> DataFrame:
     forward = edges.select(*keep, F.col("w1").alias("node"), F.col("w2").alias("other"))
@@ -67,15 +64,12 @@ def _shortest_path_loads(source: str, neighbours: dict[str, list[tuple[str, floa
 def betweenness(edges: DataFrame, distance: str = "weight") -> DataFrame:
     """``(node, betweenness)``: share of shortest paths between other nodes that pass a node.
 
-    The weight is the length of an edge (``distance="inverse"``: 1 / weight). Up to
-    MAX_TASK_EDGES edges the source nodes are spread over tasks that hold the whole
-    graph; a larger graph is worked off by joins.
+    The weight is the length of an edge (``distance="inverse"``: 1 / weight). The source
+    nodes are spread over tasks, each of which holds the edges: of a keyword graph over
+    ``top_n`` words at most top_n * (top_n - 1) / 2.
     """
     step = F.lit(1.0) / F.col("weight") if distance == "inverse" else F.col("weight")
-    graph = edges.select("w1", "w2", step.alias("step"))
-    rows = graph.limit(MAX_TASK_EDGES + 1).collect()
-    if len(rows) > MAX_TASK_EDGES:
-        return _joined_betweenness(graph)
+    rows = edges.select("w1", "w2", step.alias("step")).collect()
     neighbours: dict[str, list[tuple[str, float]]] = {}
     for w1, w2, length in rows:
         neighbours.setdefault(w1, []).append((w2, length))
@@ -102,139 +96,92 @@ def betweenness(edges: DataFrame, distance: str = "weight") -> DataFrame:
     )
 
 
-def _until_empty(first: DataFrame, following: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All rounds of a table that each round derives from the last one, until none is left."""
-    rounds = [materialize(first)]
-    while not rounds[-1].isEmpty():
-        rounds.append(materialize(following(rounds[-1])))
-    return reduce(DataFrame.unionByName, rounds)
-
-
-def _joined_betweenness(graph: DataFrame) -> DataFrame:
-    """Distances by relaxation, then paths counted forwards and their shares summed backwards.
-
-    All tables are keyed by source and node; a round follows one more edge.
-    """
-    links = graph.select(F.col("w1").alias("u"), F.col("w2").alias("v"), "step")
-    links = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "step")))
-    nodes = links.select(F.col("u").alias("node")).distinct()
-    start = nodes.select(F.col("node").alias("s"), F.col("node").alias("u"))
-
-    zero = F.lit(0).cast(links.schema["step"].dataType)
-    distance = materialize(start.select("s", "u", zero.alias("d"), F.lit(True).alias("moved")))
-    while not (moved := distance.where("moved")).isEmpty():
-        reached = moved.join(links, "u").select("s", F.col("v").alias("u"), (F.col("d") + F.col("step")).alias("d"))
-        best = distance.select("s", "u", "d", F.col("d").alias("old")).unionByName(reached, allowMissingColumns=True)
-        best = best.groupBy("s", "u").agg(F.min("d").alias("d"), F.min("old").alias("old"))
-        changed = F.col("old").isNull() | (F.col("d") < F.col("old"))
-        distance = materialize(best.select("s", "u", "d", changed.alias("moved")))
-    distance = distance.drop("moved")
-
-    ends = distance.select("s", F.col("u").alias("v"), F.col("d").alias("end"))
-    tight = materialize(
-        distance.join(links, "u").join(ends, ["s", "v"]).where(F.col("d") + F.col("step") == F.col("end")).select("s", "u", "v")
-    )
-    counted = _until_empty(
-        start.withColumn("paths", F.lit(1.0)),
-        lambda last: last.join(tight, ["s", "u"]).groupBy("s", F.col("v").alias("u")).agg(F.sum("paths").alias("paths")),
-    )
-    paths = counted.groupBy("s", "u").agg(F.sum("paths").alias("paths"))
-    share = materialize(
-        tight.join(paths.withColumnRenamed("paths", "to_u"), ["s", "u"])
-        .join(paths.select("s", F.col("u").alias("v"), F.col("paths").alias("to_v")), ["s", "v"])
-        .select("s", "u", "v", (F.col("to_u") / F.col("to_v")).alias("share"))
-    )
-
-    def back(last: DataFrame) -> DataFrame:
-        moved = last.withColumnRenamed("u", "v").join(share.where("s != u"), ["s", "v"])
-        return moved.groupBy("s", "u").agg(F.sum(F.col("load") * F.col("share")).alias("load"))
-
-    ones = distance.where("s != u").select("s", "u", F.lit(1.0).alias("load"))
-    summed = _until_empty(back(ones), back).groupBy(F.col("u").alias("node")).agg(F.sum("load").alias("load"))
-    n = nodes.count()
-    return nodes.join(summed, "node", "left").select(
-        "node", (F.coalesce("load", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness")
-    )
-
-
 # -- communities ---------------------------------------------------------------------
 
 
-def _greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
-    """Merge the pair of groups with the largest modularity gain until all gains are negative.
+def _merges(graphs: DataFrame) -> list[DataFrame]:
+    """Merges ``(graph, a, b)`` by round: in each graph, the pair of groups with the largest modularity gain.
 
-    Gains are kept as integers (times 2 m^2), so ties are exact; they go to the pair
-    whose smaller name, then larger name, comes first. A merged group keeps the larger name.
+    The gain is kept as an integer (times 2 m^2), so ties are exact; they go to the pair
+    whose smaller name, then larger name, comes first. A merged group keeps the larger
+    name ``b``. A round joins one merge per graph with the links between groups and sums
+    them up again; it ends where all gains are negative.
     """
-    m = len(pairs)
-    members = {x: {x} for pair in pairs for x in pair}
-    degree = dict.fromkeys(members, 0)
-    links: dict[str, dict[str, int]] = {x: {} for x in members}
-    for a, b in pairs:
-        degree[a] += 1
-        degree[b] += 1
-        links[a][b] = links[b][a] = 1
-
-    def gain(a: str, b: str) -> int:
-        return 2 * m * links[a][b] - degree[a] * degree[b]
-
-    # Outdated entries are recognised by their gain when they reach the top.
-    heap = [(-gain(a, b), a, b) for a in links for b in links[a] if a < b]
-    heapq.heapify(heap)
-    while heap:
-        negative, a, b = heapq.heappop(heap)
-        if b not in links.get(a, ()) or gain(a, b) != -negative:
-            continue
-        if negative > 0:
-            break
-        members[b] |= members.pop(a)
-        degree[b] += degree.pop(a)
-        for other, count in links.pop(a).items():
-            del links[other][a]
-            if other != b:
-                links[b][other] = links[other][b] = links[b].get(other, 0) + count
-        for other in links[b]:
-            heapq.heappush(heap, (-gain(b, other), *sorted((b, other))))
-    return sorted(members.values(), key=lambda group: (-len(group), min(group)))
+    degrees = _both_ways(graphs, "graph").groupBy("graph", "node").agg(F.count("*").alias("d"))
+    size = graphs.groupBy("graph").agg(F.count("*").alias("m"))
+    links = next_round(
+        graphs.select("graph", F.col("w1").alias("a"), F.col("w2").alias("b"))
+        .join(degrees.select("graph", F.col("node").alias("a"), F.col("d").alias("da")), ["graph", "a"])
+        .join(degrees.select("graph", F.col("node").alias("b"), F.col("d").alias("db")), ["graph", "b"])
+        .join(size, "graph")
+        .select("graph", "a", "b", "da", "db", F.lit(1).cast("long").alias("n"), "m")
+    )
+    rounds = []
+    gain = 2 * F.col("m") * F.col("n") - F.col("da") * F.col("db")
+    while True:
+        order = F.struct((-gain).alias("loss"), "a", "b", "da", "db")
+        best = links.groupBy("graph").agg(F.min(order).alias("x")).where("x.loss <= 0").select(
+            "graph", F.col("x.a").alias("gone"), F.col("x.b").alias("kept"), (F.col("x.da") + F.col("x.db")).alias("d"))
+        best = reuse(best)
+        if best.isEmpty():
+            return rounds
+        rounds.append(best.select("graph", "gone", "kept"))
+
+        def named(end: str) -> Column:
+            return F.when(F.col(end) == F.col("gone"), F.col("kept")).otherwise(F.col(end))
+
+        def degree(end: str) -> Column:
+            return F.when(F.col(end).isin(F.col("gone"), F.col("kept")), F.col("d")).otherwise(F.col(f"d{end}"))
+
+        moved = links.join(best, "graph", "left").select(
+            "graph", named("a").alias("x"), named("b").alias("y"), degree("a").alias("dx"), degree("b").alias("dy"), "n", "m")
+        turned = F.col("x") < F.col("y")
+        links = next_round(
+            moved.where("x <> y").select(
+                "graph", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+                F.when(turned, F.col("dx")).otherwise(F.col("dy")).alias("da"),
+                F.when(turned, F.col("dy")).otherwise(F.col("dx")).alias("db"), "n", "m",
+            ).groupBy("graph", "a", "b", "da", "db", "m").agg(F.sum("n").alias("n")).select(links.columns),
+            links,
+        )
 
 
 def communities(edges: DataFrame, by: str | None = None) -> DataFrame:
     """``(graph, node, group)``: greedy-modularity groups per graph, the largest is group 1.
 
-    ``by`` names a column that tells graphs apart; each graph is one task, so many
-    graphs run in parallel. A graph above MAX_TASK_EDGES edges is grouped by its
-    connected components instead, as the analysis does when grouping fails.
+    ``by`` names a column that tells graphs apart; all graphs merge at once. Ties of size
+    go to the group whose smallest node comes first.
     """
-    graphs = edges.withColumn("graph", F.col(by).cast("string") if by else F.lit("all"))
-    sizes = graphs.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > MAX_TASK_EDGES)
-    large = [r["graph"] for r in sizes.collect()]
-    schema = "graph string, node string, group int"
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted(zip(pdf["w1"], pdf["w2"]))
-        rows = [(pdf["graph"].iloc[0], node, i)
-                for i, group in enumerate(_greedy_modularity(pairs), 1) for node in sorted(group)]
-        return pd.DataFrame(rows, columns=["graph", "node", "group"])
-
-    columns = graphs.select("graph", "w1", "w2")
-    if not large:
-        return columns.groupBy("graph").applyInPandas(grouped, schema)
-    small = columns.where(~F.col("graph").isin(large)).groupBy("graph").applyInPandas(grouped, schema)
-    found = components(columns.where(F.col("graph").isin(large)), by="graph")
-    sizes = found.groupBy("graph", "component").agg(F.count("*").alias("n"))
-    order = W.partitionBy("graph").orderBy(F.desc("n"), "component")
-    numbers = sizes.withColumn("group", F.row_number().over(order))
-    return small.unionByName(found.join(numbers, ["graph", "component"]).select("graph", "node", "group"))
+    graphs = reuse(edges.withColumn("graph", F.col(by).cast("string") if by else F.lit("all")).select("graph", "w1", "w2"))
+    labels = _both_ways(graphs, "graph").select("graph", "node", F.col("node").alias("label")).distinct()
+    rounds = _merges(graphs)
+    if rounds:
+        # Every group goes up in at most one other, so the merges form trees; each step doubles the way up.
+        up = next_round(labels.join(
+            reduce(DataFrame.unionByName, rounds).withColumnRenamed("gone", "node"), ["graph", "node"], "left"
+        ).select("graph", "node", F.coalesce("kept", "label").alias("label")))
+        while True:
+            further = up.select("graph", F.col("node").alias("label"), F.col("label").alias("next"))
+            after = next_round(up.join(further, ["graph", "label"]).select("graph", "node", F.col("next").alias("label"), F.col("label").alias("old")))
+            done = after.where("label <> old").isEmpty()
+            up = after.drop("old")
+            if done:
+                break
+        labels = up
+    sizes = labels.groupBy("graph", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    order = W.partitionBy("graph").orderBy(F.desc("n"), "first")
+    numbers = sizes.select("graph", "label", F.row_number().over(order).alias("group"))
+    return labels.join(numbers, ["graph", "label"]).select("graph", "node", "group")
 
 
 def components(edges: DataFrame, by: str | None = None) -> DataFrame:
     """``(graph, node, component)``: connected components, named by their smallest node.
 
     Each round gives every node the smallest label around it and then the label of
-    that label; the table is written per round, so lineage stays short.
+    that label; ``next_round`` keeps the lineage short.
     """
     graphs = edges.withColumn("graph", F.col(by).cast("string") if by else F.lit("all"))
-    links = materialize(_both_ways(graphs, "graph"))
+    links = reuse(_both_ways(graphs, "graph"))
     labels = links.select("graph", "node", F.col("node").alias("component")).distinct()
     while True:
         around = (
@@ -246,7 +193,7 @@ def components(edges: DataFrame, by: str | None = None) -> DataFrame:
             "graph", "node", F.least("component", "near").alias("near"), F.col("component").alias("old")
         )
         step = labels.select("graph", F.col("node").alias("near"), F.col("component").alias("next"))
-        updated = materialize(
+        updated = next_round(
             lower.join(step, ["graph", "near"]).select(
                 "graph", "node", F.least("near", "next").alias("component"), "old"
             )
@@ -258,7 +205,7 @@ def components(edges: DataFrame, by: str | None = None) -> DataFrame:
 
 def keyword_network(tok: DataFrame, top_n: int = 20, min_count: int = 2, k: int = 15) -> DataFrame:
     """``(rank, word, degree, betweenness, group)`` of the k best connected words."""
-    edges = materialize(cooccurrence(tok, top_n, min_count))
+    edges = reuse(cooccurrence(tok, top_n, min_count))
     if edges.isEmpty():
         raise ValueError("not enough connected keywords for a network")
     groups = communities(edges).select("node", "group")

@@ -22,7 +22,7 @@ def word_freq(tok: DataFrame, k: int | None = None) -> DataFrame:
     return counts if k is None else ordered.limit(k)
 
 
-def corpus_overview(df: DataFrame, tok: DataFrame, text: str | None = None, order_by: str | None = None) -> DataFrame:
+def corpus_overview(df: DataFrame, tok: DataFrame, text: str | None = None) -> DataFrame:
     """One row ``(n_docs, n_words, text_column, language)``."""
     text = text or detect_text_column(df)
     words = word_freq(tok).agg(F.count("*").alias("n")).scalar()
@@ -30,7 +30,7 @@ def corpus_overview(df: DataFrame, tok: DataFrame, text: str | None = None, orde
         "n_docs",
         words.alias("n_words"),
         F.lit(text).alias("text_column"),
-        detect_language(df, text, order_by=order_by).scalar().alias("language"),
+        detect_language(df, text).scalar().alias("language"),
     )
 
 
@@ -83,11 +83,10 @@ def _grams(n: int) -> Column:
     return F.filter(grams, lambda g: g.isNotNull())
 
 
-def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 10) -> DataFrame:
-    """``(n, rank, ngram, count)``; empty for a corpus of fewer than ``min_tokens`` tokens."""
-    # min_tokens documents with a token settle the question: the scan stops there.
-    some = tok.where(F.size("tokens") > 0).limit(min_tokens)
-    enough = some.agg((F.coalesce(F.sum(F.size("tokens")), F.lit(0)) >= min_tokens).alias("enough")).scalar()
+def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 0) -> DataFrame:
+    """``(n, rank, ngram, count)``; with ``min_tokens``, empty for a corpus of fewer tokens."""
+    total = tok.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).scalar()
+    enough = total >= min_tokens if min_tokens else F.lit(True)
     top = (
         tok.select(F.explode(_grams(n)).alias("ngram"))
         .groupBy("ngram")
@@ -101,14 +100,6 @@ def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 10) -> Dat
     return top.select(F.lit(n).alias("n"), rank.alias("rank"), "ngram", "count")
 
 
-def sample_docs(df: DataFrame, id: str, threshold: int = 5000, n: int = 3000, seed: int = 42) -> DataFrame:
-    """All documents up to ``threshold``, else the same ``n`` for the same seed."""
-    if df.limit(threshold + 1).count() <= threshold:
-        return df
-    chosen = df.select(id).orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(n)
-    return df.join(F.broadcast(chosen), id, "left_semi")
-
-
 def cooccurrence(tok: DataFrame, top_n: int = 20, min_count: int = 2) -> DataFrame:
     """``(w1, w2, weight)``: documents holding both words, for the ``top_n`` most frequent words.
 

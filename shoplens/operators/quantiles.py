@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.session import materialize
+from shoplens.session import reuse
 
 ACCURACY = 10_000
 SLACK = 3 / ACCURACY
@@ -150,7 +150,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
 def global_rank(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """Add the 1-based rank over the whole table; ``order_by`` must be unique per row.
 
-    Range partitions are sorted and written with their local positions; only one count
+    Range partitions are sorted and kept with their local positions; only one count
     per partition is summed up. A tie group of any size is split by the later keys.
     """
     local = (
@@ -161,7 +161,7 @@ def global_rank(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
         .withColumns({"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND((1 << 33) - 1)})
         .drop("_id")
     )
-    local = materialize(local)
+    local = reuse(local)
     sizes = {r["_part"]: r["count"] for r in local.groupBy("_part").count().collect()}
     offsets, seen = [], 0
     for part in range(max(sizes, default=-1) + 1):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.operators.quantiles import exact_quantiles, global_rank
 from shoplens.operators.sales import money
-from shoplens.session import materialize
+from shoplens.session import reuse
 
 # Lowest and highest score of R, F and M per segment; the first fit names a customer.
 SEGMENT_RULES = (
@@ -29,10 +29,10 @@ FIFTHS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 def rfm_base(sales: DataFrame) -> DataFrame:
     """``(customer, R, F, M)``: days since the last purchase, purchases, revenue.
 
-    The per-customer totals are written once; the global last date and the score
+    The per-customer totals are kept; the global last date and the score
     edges are then read from them, not from the sales.
     """
-    totals = materialize(
+    totals = reuse(
         sales.groupBy("customer").agg(
             F.max("order_date").alias("last_order"),
             F.count("*").alias("F"),

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.operators.mining import VOCABULARY, word_freq
-from shoplens.session import materialize
+from shoplens.session import reuse
 
-BATCH = 128
+PART = 0.1
 PASSES = 20
 
 
@@ -33,13 +33,13 @@ def fit_topics(
     seed: int = 42,
     vocab: int = VOCABULARY,
     passes: int = PASSES,
-    max_steps: int = 200,
+    part: float = PART,
 ) -> Topics:
     """Online variational Bayes with priors 1/K, offset 10, decay 0.7.
 
-    Every step reads a random part of the documents; ``passes`` counts how often each
-    is used on average. Parts have 128 documents, larger ones if that would take more
-    than ``max_steps`` steps, so the number of jobs does not grow with the corpus.
+    Every step draws a random ``part`` of the documents, with replacement, so a document
+    is read ``passes`` times on average, in ``passes / part`` steps at any corpus size.
+    The vectors are kept for the fit and for ``topic_share``; ``session.release`` frees them.
     """
     words = [r["word"] for r in word_freq(tok, vocab).collect()]
     n_docs = tok.count()
@@ -47,8 +47,7 @@ def fit_topics(
     if k < 2:
         raise ValueError("not enough data for topics")
     counted = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
-    vectors = materialize(counted.transform(tok.select(id, "tokens")).select(id, "features"))
-    part = min(1.0, max(BATCH / n_docs, passes / max_steps))
+    vectors = reuse(counted.transform(tok.select(id, "tokens")).select(id, "features"))
     lda = LDA(
         k=k,
         optimizer="online",

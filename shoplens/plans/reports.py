@@ -13,7 +13,7 @@ from shoplens.operators.columns import PROFILE_SCHEMA, detect_text_column, profi
 from shoplens.functions.text import detect_language
 from shoplens.functions.words import NOUN_TAGS
 from shoplens.operators.tokens import token_sentiment, tokenize
-from shoplens.session import materialize
+from shoplens.session import reuse
 
 DIMENSIONS = ("time", "customer", "product")
 TEXT_ANALYSES = ("tfidf", "lda", "network", "wordcloud", "sentiment")
@@ -33,7 +33,7 @@ def analyze_sentiment(df: DataFrame, id: str, lexicon: rv.Lexicon, text: str | N
     text = text or detect_text_column(df)
     scored = rv.score_sentiment(df, text, lexicon)
     # The tables share the scored rows; they are written once, with the shown part of the text.
-    shared = materialize(scored.select(id, F.substring(text, 1, 200).alias(text), "hits", "score", "keywords", "label"))
+    shared = reuse(scored.select(id, F.substring(text, 1, 200).alias(text), "hits", "score", "keywords", "label"))
     return {
         "rows": scored.drop("hits").select(*df.columns, "label", "score", "keywords"),
         "distribution": rv.sentiment_distribution(shared),
@@ -84,7 +84,7 @@ def analyze_sales(
     """
     cleaned = sales.clean_sales(df, resolve_roles(df.columns, col_map))
     needed = ["order_date", "customer", "product", "quantity", "price", "revenue"]
-    s = sales.require_rows(materialize(cleaned.select(*[c for c in needed if c in cleaned.columns])))
+    s = sales.require_rows(reuse(cleaned.select(*[c for c in needed if c in cleaned.columns])))
     result = {"kpis": sales.sales_kpis(s)}
     if "time" in dimensions:
         result |= {
@@ -98,7 +98,7 @@ def analyze_sales(
             "top_products_quantity": sales.top_products(s, "quantity"),
         }
     if "customer" in dimensions:
-        scored = materialize(rfm.rfm_segments(s))
+        scored = reuse(rfm.rfm_segments(s))
         result |= {
             "rfm": scored,
             "segment_distribution": rfm.segment_distribution(scored),
@@ -125,16 +125,16 @@ def analyze_text(
 ) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
     """Result tables and ``(part, message)`` for parts that failed; the others still run.
 
-    The tokens are written once and every part reads them.
+    The tokens are kept for all parts; ``session.release`` frees them once the tables are written.
     """
     text = text or detect_text_column(df)
-    lang = lang or detect_language(df, text, order_by=id).first()["language"]
+    lang = lang or detect_language(df, text).first()["language"]
     shown = F.substring(text, 1, 120).alias(text)
     tokens = tokenize(df.select(id, text), text, lang, stopwords, lemmas, id, analyzer, pos_tags)
-    tok = materialize(tokens.select(id, shown, "tokens"))
+    tok = reuse(tokens.select(id, shown, "tokens"))
     result = {
         "word_freq": mining.word_freq(tok),
-        "overview": mining.corpus_overview(df, tok, text, order_by=id),
+        "overview": mining.corpus_overview(df, tok, text),
     }
     errors: list[tuple[str, str]] = []
 

@@ -1,8 +1,7 @@
-"""Session settings and the one way this package cuts lineage."""
+"""Session settings, tables that are read again, and the rounds of loops."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +27,51 @@ def build_session(app_name: str = "shoplens", master: str | None = None) -> Spar
     return builder.getOrCreate()
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            configured = tempfile.mkdtemp(prefix="shoplens-")
-        sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+_REUSED: list[DataFrame] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def reuse(df: DataFrame) -> DataFrame:
+    """``df`` kept by Spark for the steps that read it several times, until ``release``.
 
-    Used where later steps need the same rows several times: they read pruned
-    columns of a file instead of repeating the plan, and an executor lost later
-    costs no recomputation.
+    What does not fit in memory goes to the executors' disks; a lost part is computed again.
+    """
+    kept = df.persist()
+    _REUSED.append(kept)
+    return kept
+
+
+def next_round(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """The table of one round of a loop, computed; that of the ``last`` round is dropped.
+
+    With ``spark.checkpoint.dir`` set, the table is written there and read back, which
+    cuts the lineage of long loops; otherwise it is kept as by ``reuse``.
     """
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        table = reuse(df)
+        table.count()
+    else:
+        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = spark.read.schema(df.schema).parquet(path)
+        table.round_path = path
+    if last is not None:
+        _drop(last)
+    return table
+
+
+def _drop(table: DataFrame) -> None:
+    path = getattr(table, "round_path", None)
+    if path is None:
+        table.unpersist()
+    else:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def release() -> None:
+    """Free what ``reuse`` keeps, once the results that need it are written."""
+    while _REUSED:
+        _REUSED.pop().unpersist()
