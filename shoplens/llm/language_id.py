@@ -17,19 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from shoplens.llm.store import packed, unpacked
 from shoplens.llm.words import mix, slices, text_bytes
 
-SAMPLE_PER_LANGUAGE = 2000  # training rows of each language, those of the smallest id hashes
+SAMPLE_PER_LANGUAGE = 2000  # training rows of each language, about
 ORDERS = (2, 3, 4)
 BINS = 1 << 16
 SMOOTHING = 0.5
 EVIDENCE = 30.0  # a text counts like so many n-grams, whatever its length
 AMBIGUOUS = 0.6  # a lower score leaves the language open
 UNKNOWN = "und"
-_TASKS = 4
+_TASKS = 8
 
 # A-Z in lower case, other ASCII as white space, bytes of other letters as they are.
 _CLASS = np.full(256, 32, np.uint8)
@@ -90,14 +89,17 @@ class Codes:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_PER_LANGUAGE) -> Codes:
-    """Fit on at most ``rows`` documents of each language, chosen by the hash of their ids; their texts are read whole.
+    """Fit on about ``rows`` documents of each language, drawn by a hash of id and text; their texts are read whole.
 
-    Rows with a null or empty text or a null language are left out.
+    Of a language with fewer documents all are taken. Rows with a null or empty text or a
+    null language are left out. Only counts and the chosen texts are moved.
     """
     known = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id)).alias("place"))
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    sample = known.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= rows).select("lang", "text")
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(id, text).alias("place"))
+    # One row per language: the share of all hashes that holds about the wanted rows.
+    shares = known.groupBy("lang").agg((F.lit(rows) / F.count("*")).alias("share"))
+    chosen = (F.col("place") / 2.0**64 + 0.5) <= F.col("share")
+    sample = known.join(shares, "lang").filter(chosen).select("lang", "text").repartition(_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 
     totals: dict[str, np.ndarray] = {}
     # A row per task and language: the sample is bounded, so few tasks are enough.
-    for row in sample.coalesce(_TASKS).mapInArrow(count, "lang string, counts binary").collect():
+    for row in sample.mapInArrow(count, "lang string, counts binary").collect():
         totals[row.lang] = totals.get(row.lang, 0) + np.frombuffer(row.counts, "<i8")
     languages = sorted(totals)
     if not languages:
