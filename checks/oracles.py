@@ -204,7 +204,7 @@ EVENT_COLUMNS = {
     "event_type": "string", "value": "double", "props": "string",
 }
 EVENT_NUMBERS = ("event_id", "user_id", "value")
-LINE_NUMBERS = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 EVENT_PROFILE = f"""{EVENTS},
 p AS (""" + " UNION ALL ".join(
@@ -213,12 +213,15 @@ p AS (""" + " UNION ALL ".join(
     for c, t in EVENT_COLUMNS.items()
 ) + f"""), roles AS (SELECT *, {role_case(EVENT_NUMBERS, ("ts",))} AS role FROM p)"""
 
-ORACLES["eda_overview"] = f"""WITH {EVENT_PROFILE},
-k AS (SELECT user_id, event_type, props FROM gaps), d AS (SELECT DISTINCT * FROM k),
-r AS (SELECT * FROM roles WHERE "column" IN ('user_id', 'event_type', 'props'))
-SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
-  CAST(sum(CASE WHEN event_type IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
-  round(sum(CASE WHEN event_type IS NULL THEN 1 ELSE 0 END) * 100.0 / (count(*) * 3), 2) AS missing_pct,
+
+
+def overview(columns) -> str:
+    missing = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in columns)
+    return f"""WITH {EVENT_PROFILE},
+k AS (SELECT {", ".join(columns)} FROM gaps), d AS (SELECT DISTINCT * FROM k),
+r AS (SELECT * FROM roles WHERE "column" IN ({quoted(columns)}))
+SELECT count(*) AS n_rows, CAST({len(columns)} AS BIGINT) AS n_columns, CAST(sum({missing}) AS BIGINT) AS n_missing,
+  round(sum({missing}) * 100.0 / (count(*) * {len(columns)}), 2) AS missing_pct,
   count(*) - (SELECT count(*) FROM d) AS n_duplicates,
   (SELECT count(*) FROM r WHERE role = 'numeric') AS n_numeric,
   (SELECT count(*) FROM r WHERE role = 'categorical') AS n_categorical,
@@ -226,6 +229,10 @@ SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
   (SELECT count(*) FROM r WHERE role IN ('text', 'high_cardinality')) AS n_text
 FROM k"""
 
+
+ORACLES["eda_overview"] = overview(list(EVENT_COLUMNS))
+ORACLES["eda_overview_repeats"] = overview(["user_id", "event_type", "props"])
+
 ORACLES["eda_profile"] = f'WITH {EVENT_PROFILE} SELECT "column", dtype, role, n_null, null_pct, n_unique FROM roles'
 
 

@@ -43,8 +43,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return load_table(spark, folder, "lineitem").select(*numbers)
+    return load_table(spark, folder, "lineitem")
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,8 +195,13 @@ def representative_reviews(spark, folder):
 
 @query
 def eda_overview(spark, folder):
-    # Without the key every event type and user repeats.
-    return eda.overview(events(spark, folder).select("user_id", "event_type", "props"))
+    return eda.overview(events(spark, folder))
+
+
+@query
+def eda_overview_repeats(spark, folder):
+    # Without keys many rows repeat.
+    return eda.overview(events(spark, folder).drop("event_id", "ts", "value"))
 
 
 @query

@@ -13,6 +13,11 @@ _REORDERED = (
     (r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
     (r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3"),
 )
+# Month names by their first letters.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_DAY_MONTH = r"^\s*(\d{1,2})[-/. ]([A-Za-z]{3})[a-z]*\.?[-/., ]+(\d{4})(.*)$"
+_MONTH_DAY = r"^\s*([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})(.*)$"
+_HALF_DAY = r"^(.*\D)(\d{1,2})(:\d{2}(?::\d{2})?)\s*([AaPp])\.?[Mm]\.?\s*$"
 # A cast reads "1d" and "1f" as numbers.
 _TYPE_SUFFIX = r"[\d.][dDfF]\s*$"
 
@@ -21,15 +26,36 @@ def _typed(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return F.col(f"`{name}`"), df.schema[name].dataType
 
 
-def _string_to_ts(c: Column) -> Column:
+def _in_24_hours(c: Column) -> Column:
+    """``3:04 PM`` as ``15:04``; a text without such a time stays."""
+    hour = F.regexp_extract(c, _HALF_DAY, 2).try_cast("int") % 12
+    late = F.when(F.lower(F.regexp_extract(c, _HALF_DAY, 4)) == "p", 12).otherwise(0)
+    time = F.concat(F.lpad((hour + late).cast("string"), 2, "0"), F.regexp_extract(c, _HALF_DAY, 3))
+    return F.when(c.rlike(_HALF_DAY), F.concat(F.regexp_extract(c, _HALF_DAY, 1), time)).otherwise(c)
+
+
+def _with_month_name(c: Column, pattern: str, day: int, month: int) -> Column:
+    at = F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(c, pattern, month)))
+    number = F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
+    return F.concat(F.regexp_extract(c, pattern, 3), F.lit("-"), number, F.lit("-"), F.regexp_extract(c, pattern, day),
+                    F.regexp_extract(c, pattern, 4))
+
+
+def _string_to_ts(text: Column) -> Column:
+    c = _in_24_hours(text)
     result = F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz"))
     for pattern, iso in _REORDERED:
         result = result.when(c.rlike(pattern), F.regexp_replace(c, pattern, iso).try_cast("timestamp_ntz"))
+    for pattern, day, month in ((_DAY_MONTH, 1, 2), (_MONTH_DAY, 2, 1)):
+        result = result.when(c.rlike(pattern), _with_month_name(c, pattern, day, month).try_cast("timestamp_ntz"))
     return result
 
 
 def to_ts(df: DataFrame, name: str) -> Column:
+    """Dates from texts and from whole numbers of the form yyyymmdd."""
     c, dtype = _typed(df, name)
+    if isinstance(dtype, T.IntegralType):
+        return F.when(c.between(10_000_101, 99_991_231), _string_to_ts(c.cast("string")))
     if isinstance(dtype, T.StringType):
         return _string_to_ts(c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):

@@ -35,17 +35,20 @@ def build_context(
     html: str = "html",
     labels: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """``(<by>, context)`` from rows ``(<by>, part, html)``, one per kind, in the order of ``kinds``.
+    """``(<by>, context)`` from rows ``(<by>, part, html)``, in the order of ``kinds``.
 
+    Parts of one kind follow each other by their text; other kinds come last, by name.
     ``labels`` puts a text in front of the non-blank parts of a kind.
     """
     plain = strip_html(as_text(html))
     for x, label in (labels or {}).items():
         plain = F.when((F.col(kind) == x) & (plain != ""), F.concat(F.lit(label), plain)).otherwise(plain)
-    wide = parts.groupBy(by).agg(
-        *[F.max(F.when(F.col(kind) == x, plain)).alias(f"part_{i}") for i, x in enumerate(kinds)]
-    )
-    return wide.select(by, join_parts([F.col(f"part_{i}") for i in range(len(kinds))]).alias("context"))
+    place = F.array_position(F.array(*[F.lit(x) for x in kinds]), F.col(kind))
+    place = F.when(place > 0, place).otherwise(len(kinds) + 1)
+    listed = parts.groupBy(by).agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), as_text(kind).alias("kind"), plain.alias("line")))).alias("parts"))
+    lines = F.filter(F.col("parts")["line"], lambda x: ~is_blank(x))
+    return listed.select(by, F.array_join(lines, "\n\n").alias("context"))
 
 
 def conversation_context(conversations: DataFrame, k: int = 10) -> DataFrame:

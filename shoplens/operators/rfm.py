@@ -36,7 +36,7 @@ def rfm_base(sales: DataFrame) -> DataFrame:
         sales.groupBy("customer").agg(
             F.max("order_date").alias("last_order"),
             F.count("*").alias("F"),
-            money(F.sum("revenue")).alias("M"),
+            money("revenue").alias("M"),
         )
     )
     now = totals.agg((F.max("last_order") + F.expr("INTERVAL 1 DAY")).alias("now")).scalar()
@@ -94,10 +94,10 @@ def rfm_scores(sales: DataFrame) -> DataFrame:
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
-    """Segment of one score triple."""
+    """Segment of one score triple; the last one if a score is missing."""
     return F.coalesce(*[
         F.when(r.between(*rs) & f.between(*fs) & m.between(*ms), segment) for segment, rs, fs, ms in SEGMENT_RULES
-    ])
+    ], F.lit(SEGMENT_RULES[-1][0]))
 
 
 def rfm_segments(sales: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +25,37 @@ def clean_sales(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """Valid sales only, with canonical names.
 
     ``roles`` comes from ``resolve_roles``. Result: ``order_date, customer, product
-    (if known), quantity, price, revenue`` and the other columns of ``df`` unchanged.
+    (if known), quantity, price, revenue`` and the other columns of ``df`` unchanged; one
+    that has a canonical name but another role, or none, is called ``<name>_input``.
+    ``cleaning_losses`` counts the rows that are left out.
     """
+    sales, valid = _converted(df, roles)
+    return sales.where(reduce(Column.__and__, valid.values())).withColumn("revenue", F.col("quantity") * F.col("price"))
+
+
+def cleaning_losses(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+    """One row ``(n_rows, n_kept, bad_date, bad_customer, bad_quantity, bad_price)``; a row may have several faults."""
+    sales, valid = _converted(df, roles)
+    kept = F.coalesce(reduce(Column.__and__, valid.values()), F.lit(False))
+    return sales.agg(
+        F.count("*").alias("n_rows"), F.count_if(kept).alias("n_kept"),
+        *[F.count_if(~F.coalesce(v, F.lit(False))).alias(f"bad_{name}") for name, v in valid.items()])
+
+
+def _converted(df: DataFrame, roles: Mapping[str, str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows under canonical names, and what makes each of these columns valid."""
     amounts = {name: _amount(df, roles[name]) for name in ("quantity", "price")}
     converted = {"order_date": to_ts(df, roles["date"]), "customer": quoted(roles["customer"]), **amounts}
     if "product" in roles:
         converted["product"] = quoted(roles["product"])
-    taken = set(roles.values()) | set(converted)
-    others = [quoted(c) for c in df.columns if c not in taken]
+    used, new = set(roles.values()), {*converted, "revenue"}
+    others = [quoted(c).alias(f"{c}_input" if c in new else c) for c in df.columns if c not in used]
     sales = df.select(*others, *[c.alias(name) for name, c in converted.items()])
-    valid = F.col("order_date").isNotNull() & F.col("customer").isNotNull()
+    valid = {"date": F.col("order_date").isNotNull(), "customer": F.col("customer").isNotNull()}
     for name in amounts:
         # NaN is above zero for Spark; two plain conditions let "> 0" reach the files.
-        valid = valid & (F.col(name) > 0) & ~F.isnan(name)
-    return sales.where(valid).withColumn("revenue", F.col("quantity") * F.col("price"))
+        valid[name] = (F.col(name) > 0) & ~F.isnan(name)
+    return sales, valid
 
 
 def require_rows(sales: DataFrame) -> DataFrame:
@@ -47,22 +65,32 @@ def require_rows(sales: DataFrame) -> DataFrame:
     return sales
 
 
-def money(total: Column) -> Column:
-    """A sum of amounts without the last-digit noise of summation order."""
-    return F.round(total, 6)
+def money(amount: str) -> Column:
+    """Sum of amounts in decimal arithmetic, the same in any order, as double."""
+    return F.sum(F.col(amount).cast("decimal(38,6)")).cast("double")
 
 
 def sales_kpis(sales: DataFrame) -> DataFrame:
-    """One row: period, rows, customers, products, revenue, revenue per row."""
-    products = F.count_distinct("product") if "product" in sales.columns else F.lit(None).cast("long")
-    return sales.agg(
-        F.to_date(F.min("order_date")).alias("date_min"),
-        F.to_date(F.max("order_date")).alias("date_max"),
-        F.count("*").alias("n_orders"),
-        F.count_distinct("customer").alias("n_customers"),
+    """One row: period, rows, customers, products, revenue, revenue per row.
+
+    Sales are summed per customer, and products are told apart on their own, so that no
+    row is multiplied for the two distinct counts.
+    """
+    products = F.lit(None).cast("long")
+    if "product" in sales.columns:
+        products = sales.where("product IS NOT NULL").select("product").distinct().agg(F.count("*")).scalar()
+    per = sales.groupBy("customer").agg(
+        F.min("order_date").alias("first"), F.max("order_date").alias("last"), F.count("*").alias("n"),
+        F.sum(F.col("revenue").cast("decimal(38,6)")).alias("revenue"))
+    revenue = F.sum("revenue").cast("double")
+    return per.agg(
+        F.to_date(F.min("first")).alias("date_min"),
+        F.to_date(F.max("last")).alias("date_max"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_orders"),
+        F.count("customer").alias("n_customers"),
         products.alias("n_products"),
-        F.round(F.sum("revenue"), 2).alias("revenue"),
-        F.round(F.try_divide(F.sum("revenue"), F.count("*")), 2).alias("revenue_per_order"),
+        F.round(revenue, 2).alias("revenue"),
+        F.round(F.try_divide(revenue, F.sum("n")), 2).alias("revenue_per_order"),
     )
 
 
@@ -70,7 +98,7 @@ def monthly_revenue(sales: DataFrame) -> DataFrame:
     return (
         calendar(sales, "order_date")
         .groupBy("month")
-        .agg(F.round(F.sum("revenue"), 2).alias("revenue"))
+        .agg(F.round(money("revenue"), 2).alias("revenue"))
         .orderBy("month")
     )
 
@@ -93,7 +121,7 @@ def top_products(sales: DataFrame, by: str = "revenue", k: int = TOP_PRODUCTS) -
     return (
         sales.where("product IS NOT NULL")
         .groupBy("product")
-        .agg(F.round(F.sum(by), 2).alias(by))
+        .agg(F.round(money(by), 2).alias(by))
         .orderBy(F.desc(by), "product")
         .limit(k)
     )

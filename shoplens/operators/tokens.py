@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.text import as_text, sign_label
 from shoplens.functions.words import ENGLISH_STOPWORDS, NOUN_TAGS
 
+MAX_LEMMAS = 1_000_000
+
 # Runs of characters that form a word where no analyzer is given.
 CHINESE_RUN = r"[\x{4e00}-\x{9fff}]{2,}"
 JAPANESE_RUN = r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}]{2,}"
@@ -35,21 +38,24 @@ def analyzed_words(tagged: Column, pos_tags: Sequence[str] | None, min_len: int)
     return F.transform(kept, lambda m: m["form"])
 
 
-def lemmatize(df: DataFrame, lemmas: DataFrame, id: str) -> DataFrame:
+def lemmatize(df: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace tokens by ``lemma`` of the table ``(token, lemma)``; unknown ones stay.
 
-    The table is broadcast when Spark finds it small enough. Only ids and tokens are
-    regrouped; a group is one document.
+    Of several lemmas of a token the first by name counts. The table goes to every
+    worker, so more than MAX_LEMMAS tokens are an error; the texts stay where they are,
+    and the step is legal on a stream.
     """
-    words = df.select(id, F.posexplode("tokens").alias("pos", "token"))
-    found = words.join(lemmas, "token", "left").select(
-        id, F.struct("pos", F.coalesce("lemma", "token").alias("token")).alias("w")
-    )
-    grouped = found.groupBy(id).agg(F.sort_array(F.collect_list("w"))["token"].alias("_lemmas"))
-    empty = F.array().cast("array<string>")
-    return (
-        df.join(grouped, id, "left").withColumn("tokens", F.coalesce("_lemmas", empty)).drop("_lemmas")
-    )
+    table = lemmas.where("token IS NOT NULL AND lemma IS NOT NULL").groupBy("token").agg(F.min("lemma").alias("lemma"))
+    rows = table.limit(MAX_LEMMAS + 1).collect()
+    if len(rows) > MAX_LEMMAS:
+        raise ValueError(f"a lemma table has at most {MAX_LEMMAS} tokens")
+    known = df.sparkSession.sparkContext.broadcast(dict(map(tuple, rows)))
+
+    @F.pandas_udf("array<string>")
+    def replaced(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda found: None if found is None else [known.value.get(t, t) for t in found])
+
+    return df.withColumn("tokens", replaced("tokens"))
 
 
 def tokenize(
@@ -58,7 +64,6 @@ def tokenize(
     lang: str = "en",
     stopwords: Sequence[str] = (),
     lemmas: DataFrame | None = None,
-    id: str | None = None,
     analyzer: Callable[[Column], Column] | None = None,
     pos_tags: Sequence[str] = NOUN_TAGS,
 ) -> DataFrame:
@@ -67,7 +72,7 @@ def tokenize(
     ``analyzer`` maps the text column to ``array<struct<form,tag>>`` (for example an
     Arrow-batched pandas UDF around a morphological analyzer). It is required for
     Korean and replaces the character runs used for Chinese and Japanese. ``lemmas``
-    is a table ``(token, lemma)`` for English and needs the document ``id``.
+    is a table ``(token, lemma)`` for English.
     """
     body = as_text(text)
     if lang == "ko":
@@ -85,10 +90,8 @@ def tokenize(
         dropped = [*ENGLISH_STOPWORDS, *stopwords]
         if lemmas is None:
             tokens = english_words(body, dropped)
-        elif id is None:
-            raise ValueError("lemmas need the document id column")
         else:
-            df = lemmatize(df.withColumn("tokens", english_words(body)), lemmas, id)
+            df = lemmatize(df.withColumn("tokens", english_words(body)), lemmas)
             tokens = _without(F.col("tokens"), dropped)
     return df.withColumn("tokens", tokens)
 

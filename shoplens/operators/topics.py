@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shoplens.operators.mining import VOCABULARY, word_freq
 from shoplens.session import reuse
 
-PART = 0.1
+PART = 0.5
 PASSES = 20
 
 

@@ -130,7 +130,7 @@ def analyze_text(
     text = text or detect_text_column(df)
     lang = lang or detect_language(df, text).first()["language"]
     shown = F.substring(text, 1, 120).alias(text)
-    tokens = tokenize(df.select(id, text), text, lang, stopwords, lemmas, id, analyzer, pos_tags)
+    tokens = tokenize(df.select(id, text), text, lang, stopwords, lemmas, analyzer, pos_tags)
     tok = reuse(tokens.select(id, shown, "tokens"))
     result = {
         "word_freq": mining.word_freq(tok),

@@ -132,27 +132,41 @@ def _sheet_rows(archive: zipfile.ZipFile) -> Iterator[list[str | None]]:
         yield cells
 
 
+def _names(cells: list[str | None], width: int) -> list[str]:
+    """A name for each of ``width`` columns; repeated names are numbered, unnamed columns too."""
+    names: list[str] = []
+    for i in range(max(width, len(cells))):
+        name = own = (cells[i] if i < len(cells) else None) or f"column_{i}"
+        again = 2
+        while name in names:
+            name, again = f"{own}_{again}", again + 1
+        names.append(name)
+    return names
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of every file as string columns; the first row names the columns.
+    """First sheet of every file as string columns; each file's first row names its columns.
 
-    Files of one load share the header of the first file (by path).
+    The result has the columns of all files, in the order of the files by path. Cells
+    beyond the first row are columns too (``column_<number>``); a repeated name gets a number.
     """
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx"))
-    first = files.agg(F.min("path").alias("path")).first()["path"]
-    if first is None:
-        raise ValueError(f"no spreadsheets under {path}")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     cells = list(_sheet_rows(archive))
-                yield pd.DataFrame({"path": name, "row_no": range(len(cells)), "cells": cells})
-
-    def sheets(found: DataFrame) -> DataFrame:
-        return found.select("path", "content").mapInPandas(rows, "path string, row_no long, cells array<string>")
-
-    header = sheets(spark.read.format("binaryFile").load(first)).where("row_no = 0").first()
-    names = [name or f"column_{i}" for i, name in enumerate(header["cells"] if header else [])]
-    body = sheets(files).where("row_no > 0")
-    return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+                names = _names(cells[0] if cells else [], max(map(len, cells), default=0))
+                yield pd.DataFrame({"path": name, "row_no": range(len(cells)), "names": [names] * len(cells),
+                                    "cells": [c + [None] * (len(names) - len(c)) for c in cells]})
+
+    sheets = files.select("path", "content").mapInPandas(
+        rows, "path string, row_no long, names array<string>, cells array<string>")
+    first = sheets.where("row_no = 0").select("path", F.posexplode("names").alias("place", "name"))
+    # One row per column name.
+    found = first.groupBy("name").agg(F.min(F.struct("path", "place")).alias("at")).orderBy("at").collect()
+    if not found and files.isEmpty():
+        raise ValueError(f"no spreadsheets under {path}")
+    body = sheets.where("row_no > 0").select(F.map_from_arrays("names", "cells").alias("row"))
+    return body.select(*[F.col("row")[r["name"]].alias(r["name"]) for r in found])

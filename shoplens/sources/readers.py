@@ -43,13 +43,13 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
     """CSV with a header row; NA tokens become NULL and types are inferred after that.
 
     Inference reads the files once more; give ``schema`` to avoid it on large inputs.
-    With ``multiline`` (line breaks inside quoted cells) a file is read by one task;
-    without it large files are split.
+    Large files are split at line ends. Cells with line breaks inside quotes need
+    ``multiline``, which reads a file in one task.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     raw = reader.option("inferSchema", False).csv(path)

@@ -93,6 +93,9 @@ def test_context(spark, rows):
     parts = spark.createDataFrame(
         [("j", "details", "c"), ("j", "analysis", "<b>a</b>  b"), ("j", "summary", " <p></p> "), ("k", "summary", "s")],
         "job_id string, part string, html string")
+    more = parts.sparkSession.createDataFrame(
+        [("m", "summary", "b"), ("m", "summary", "a"), ("m", "extra", "zzz"), ("m", None, "last?")], parts.schema)
+    assert rows(build_context(more)) == [("m", "a\n\nb\n\nlast?\n\nzzz")]
     assert rows(build_context(parts)) == [("j", "a b\n\nc"), ("k", "s")]
     assert rows(build_context(parts, labels={"details": "Details:\n"})) == [("j", "a b\n\nDetails:\nc"), ("k", "s")]
 

@@ -191,3 +191,22 @@ def test_dimensions(raw):
         analyze_sales(raw.drop("price"))
     with pytest.raises(ValueError, match="no valid sales"):
         analyze_sales(raw.where("price = '0'"))
+
+
+def test_dates_with_month_names_half_days_and_whole_numbers(spark):
+    texts = ["05-Jan-2024", "Jan 5, 2024", "1/5/2024 3:04 PM", "January 5 2024 12:00 am", "5 sept. 2024", "20240105", "5-Foo-2024", "32-Jan-2024"]
+    df = spark.createDataFrame([(x,) for x in texts], "d string")
+    got = [str(r.t) for r in df.select(to_ts(df, "d").alias("t")).collect()]
+    assert got == ["2024-01-05 00:00:00", "2024-01-05 00:00:00", "2024-01-05 15:04:00", "2024-01-05 00:00:00", "2024-09-05 00:00:00",
+                   "2024-01-05 00:00:00", "None", "None"]
+    numbers = spark.createDataFrame([(20240105,), (20241345,), (7,)], "d long")
+    assert [str(r.t) for r in numbers.select(to_ts(numbers, "d").alias("t")).collect()] == ["2024-01-05 00:00:00", "None", "None"]
+
+
+def test_cleaning_reports_losses_and_keeps_other_columns(spark, rows):
+    df = spark.createDataFrame(
+        [("2024-01-01", "a", 1.0, 2.0, "x"), ("nope", "a", 1.0, 2.0, "y"), ("2024-01-02", None, -1.0, 2.0, "z")],
+        "day string, who string, n double, each double, price string")
+    roles = {"date": "day", "customer": "who", "quantity": "n", "price": "each"}
+    assert rows(sales.clean_sales(df, roles), "price_input", "price", "revenue") == [("x", 2.0, 2.0)]
+    assert rows(sales.cleaning_losses(df, roles)) == [(3, 1, 1, 1, 1, 0)]

@@ -27,10 +27,10 @@ def relations(*pairs):
 def test_csv(spark, tmp_path, rows):
     body = 'id,name,score,when,flag\n1,"a, ""b""\nc",1.5,2024-01-02,true\n2,NA,nan,,false\n3,x,,2024-01-03,\n'
     (tmp_path / "t.csv").write_text(body)
-    df = read_table(spark, str(tmp_path / "t.csv"))
+    df = read_table(spark, str(tmp_path / "t.csv"), multiline=True)
     assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "double", "string", "boolean"]
     assert rows(df) == [(1, 'a, "b"\nc', 1.5, "2024-01-02", True), (2, None, None, None, False), (3, "x", None, "2024-01-03", None)]
-    typed = read_table(spark, str(tmp_path / "t.csv"), "id int, name string, score double, when date, flag boolean")
+    typed = read_table(spark, str(tmp_path / "t.csv"), "id int, name string, score double, when date, flag boolean", True)
     assert [f.dataType.simpleString() for f in typed.schema] == ["int", "string", "double", "date", "boolean"]
     assert str(typed.orderBy("id").first()["when"]) == "2024-01-02"
 
@@ -86,6 +86,18 @@ def test_xlsx(spark, tmp_path, rows):
     assert rows(df) == [("apple", "3"), (None, "4.5")]
 
 
+def test_spreadsheets_are_joined_by_column_name(spark, tmp_path, rows):
+    for name, lines in {"a": [["name", "qty"], ["pear", "3"]], "b": [["qty", "name", "price", "price"], ["7", "fig", "9", "8", "x"]]}.items():
+        body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in line) + "</row>" for line in lines)
+        pack(tmp_path / f"{name}.xlsx", **{
+            "xl/workbook.xml": f'<workbook {S} {R}><sheets><sheet name="x" sheetId="1" r:id="rId1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": relations(("rId1", "worksheets/sheet1.xml")),
+            "xl/worksheets/sheet1.xml": f"<worksheet {S}><sheetData>{body}</sheetData></worksheet>"})
+    df = read_xlsx(spark, str(tmp_path))
+    assert df.columns == ["name", "qty", "price", "price_2", "column_4"]
+    assert rows(df) == [("fig", "7", "9", "8", "x"), ("pear", "3", None, None, None)]
+
+
 def test_typed_cells_of_a_spreadsheet(spark, tmp_path, rows):
     styles = (f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>'
               '<numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
