@@ -359,7 +359,7 @@ def corpus_overview(spark, folder):
 
 @query
 def tfidf_keywords(spark, folder):
-    return mining.tfidf_keywords(tokens_twice(spark, folder), "doc_id")
+    return mining.tfidf_keywords(tokens_twice(spark, folder))
 
 
 @query

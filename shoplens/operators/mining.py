@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,44 +38,29 @@ def corpus_overview(df: DataFrame, tok: DataFrame, text: str | None = None) -> D
     )
 
 
-def tfidf_keywords(tok: DataFrame, id: str, vocab: int = VOCABULARY, k: int = 20) -> DataFrame:
+def tfidf_keywords(tok: DataFrame, vocab: int = VOCABULARY, k: int = 20) -> DataFrame:
     """``(rank, term, score)``: mean TF-IDF over all documents, rounded to 4.
 
     Raw term counts, idf = ln((1 + N) / (1 + df)) + 1, every document scaled to length 1.
-    Only the vocabulary (``vocab`` words, collected) enters the one shuffle by document,
-    which serves both the term counts and the lengths.
+    A document is one vector over the vocabulary throughout; only two vectors of
+    ``vocab`` numbers, the document counts and the means, leave the tasks.
     """
+    spark = tok.sparkSession
     terms = [r["word"] for r in word_freq(tok, vocab).collect()]
+    schema = "rank int, term string, score double"
     if not terms:
-        return tok.sparkSession.createDataFrame([], "rank int, term string, score double")
-    n_docs = F.lit(tok.count())
-    known = tok.select(id, F.filter("tokens", lambda t: t.isin(terms)).alias("known")).where(F.size("known") > 0)
-    weights = (
-        known.select(F.explode(F.array_distinct("known")).alias("term"))
-        .groupBy("term")
-        .agg((F.log((n_docs + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    )
-    tf = (
-        known.repartition(id)
-        .select(id, F.explode("known").alias("term"))
-        .groupBy(id, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    # ``weights`` has at most ``vocab`` rows.
-    weighted = tf.join(F.broadcast(weights), "term").select(id, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    # A group holds one document's vocabulary words, at most ``vocab``.
-    vectors = weighted.groupBy(id).agg(
-        F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
-    )
-    scores = (
-        vectors.select("length", F.inline("terms"))
-        .groupBy("term")
-        .agg(F.round(F.sum(F.col("w") / F.col("length")) / n_docs, 4).alias("score"))
-        .orderBy(F.desc("score"), "term")
-        .limit(k)
-    )
+        return spark.createDataFrame([], schema)
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="counts")
+    counts = counter.transform(tok.select("tokens"))
+    n_docs, holding = counts.agg(F.count("*"), Summarizer.numNonZeros(F.col("counts"))).first()
+    idf = Vectors.dense([math.log((1 + n_docs) / (1 + n)) + 1 for n in holding])
+    weighted = ElementwiseProduct(scalingVec=idf, inputCol="counts", outputCol="weights").transform(counts)
+    scaled = Normalizer(p=2.0, inputCol="weights", outputCol="scaled").transform(weighted)
+    means = scaled.agg(Summarizer.mean(F.col("scaled"))).first()[0]
+    scores = spark.createDataFrame([(t, float(x)) for t, x in zip(terms, means)], "term string, score double")
+    best = scores.select("term", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "term").limit(k)
     # A window over k rows.
-    return scores.select(F.row_number().over(W.orderBy(F.desc("score"), "term")).alias("rank"), "term", "score")
+    return best.select(F.row_number().over(W.orderBy(F.desc("score"), "term")).alias("rank"), "term", "score")
 
 
 def _grams(n: int) -> Column:

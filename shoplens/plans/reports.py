@@ -166,7 +166,7 @@ def analyze_text(
         }
 
     builders = {
-        "tfidf": lambda: {"tfidf": mining.tfidf_keywords(tok, id, k=top_n)},
+        "tfidf": lambda: {"tfidf": mining.tfidf_keywords(tok, k=top_n)},
         "lda": lda,
         "network": network,
         "wordcloud": lambda: {"cloud": mining.cloud_weights(mining.word_freq(tok), ())},

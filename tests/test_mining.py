@@ -73,10 +73,10 @@ def test_word_counts(spark, rows):
 
 
 def test_tfidf(spark, rows):
-    got = rows(mining.tfidf_keywords(docs(spark, "red red blue", "red", ""), "id"), ordered=True)
+    got = rows(mining.tfidf_keywords(docs(spark, "red red blue", "red", "")), ordered=True)
     assert got == [(1, "red", 0.6119), (2, "blue", 0.1831)]
-    assert rows(mining.tfidf_keywords(docs(spark, "red red blue", "red", ""), "id", vocab=1)) == [(1, "red", 0.6667)]
-    assert mining.tfidf_keywords(docs(spark, "", ""), "id").count() == 0
+    assert rows(mining.tfidf_keywords(docs(spark, "red red blue", "red", ""), vocab=1)) == [(1, "red", 0.6667)]
+    assert mining.tfidf_keywords(docs(spark, "", "")).count() == 0
 
 
 def test_ngrams(spark, rows):
