@@ -95,16 +95,12 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
     return exact_quantiles(nan_to_null(df), list(columns or numeric_columns(df)), QUARTILES)
 
 
-def _rounded(q: Quartiles, names: Sequence[str], digits: int) -> list[Column]:
-    """Looked-up quantiles of the row's ``column``, one result column per name."""
-    column = F.col("column")
-    picks = []
-    for i, name in enumerate(names):
-        value = F.lit(None).cast("double")
-        for c, values in q.items():
-            value = F.when(column == c, F.lit(values[i]).cast("double")).otherwise(value)
-        picks.append(half_even(value, digits).alias(name))
-    return picks
+def _with_quantiles(table: DataFrame, q: Quartiles, names: Sequence[str], digits: int) -> DataFrame:
+    """``table`` with known quantiles of its ``column``, one result column per name; one row per column is joined."""
+    schema = "column string, " + ", ".join(f"{name} double" for name in names)
+    rows = [(c, *(None if v is None else float(v) for v in values)) for c, values in q.items()]
+    rounded = [half_even(F.col(name), digits).alias(name) for name in names]
+    return table.join(F.broadcast(_rows(table, rows, schema).select("column", *rounded)), "column", "left")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, known: Quartiles | None = None) -> DataFrame:
@@ -120,9 +116,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, known: Quartil
         half_even(F.min(v), 2).alias("min"),
         half_even(F.max(v), 2).alias("max"),
     )
-    return _per_column(summary, columns).select(
-        "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min",
-        *_rounded(known, ("p25", "p50", "p75"), 2), "max",
+    names = ("p25", "p50", "p75")
+    return _with_quantiles(_per_column(summary, columns), known, names, 2).select(
+        "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min", *names, "max",
     )
 
 
@@ -264,8 +260,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, known: Qua
         n = F.count_if(_outside(_number(c), *f[2:]))
         aggs += [n.alias(f"n_outliers_{i}"), F.round(F.try_divide(n * 100.0, F.count("*")), 2).alias(f"pct_{i}")]
     table = unstack(clean.agg(*aggs), list(fences), ("n_outliers", "pct"), "n_outliers:bigint,pct:double")
-    limits = _rounded({c: list(f) for c, f in fences.items()}, ("q1", "q3", "lower", "upper"), 4)
-    return table.select("column", *limits, "n_outliers", "pct")
+    names = ("q1", "q3", "lower", "upper")
+    return _with_quantiles(table, {c: list(f) for c, f in fences.items()}, names, 4).select("column", *names, "n_outliers", "pct")
 
 
 def outlier_examples(
@@ -333,15 +329,15 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None, known: Quarti
     fields = ("q1", "median", "q3", "whisker_low", "whisker_high", "mean", "std")
     if not filled:
         return _rows(df, [], "column string, " + ", ".join(f"{f} double" for f in fields))
-    inside = F.lit(False)
-    for c, (q1, _, q3) in filled.items():
-        reach = 1.5 * (q3 - q1)
-        inside = inside | ((F.col("column") == c) & F.col("value").between(q1 - reach, q3 + reach))
+    reach = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in filled.items()}
+    # One row per column is joined.
+    limits = F.broadcast(_rows(df, [(c, *x) for c, x in reach.items()], "column string, lowest double, highest double"))
+    inside = F.col("value").between(F.col("lowest"), F.col("highest"))
     kept = F.when(inside, F.col("value"))
-    summary = _unpivot(clean, list(filled)).groupBy("column").agg(
+    summary = _unpivot(clean, list(filled)).join(limits, "column").groupBy("column").agg(
         half_even(F.min(kept), 4).alias("whisker_low"),
         half_even(F.max(kept), 4).alias("whisker_high"),
         half_even(F.avg("value"), 4).alias("mean"),
         half_even(F.stddev_samp("value"), 4).alias("std"),
     )
-    return summary.select("column", *_rounded(filled, fields[:3], 4), *fields[3:])
+    return _with_quantiles(summary, filled, fields[:3], 4).select("column", *fields)

@@ -12,7 +12,7 @@ from shoplens.session import reuse
 
 ACCURACY = 10_000
 SLACK = 3 / ACCURACY
-FINAL_VALUES = 20_000
+FINAL_VALUES = 100_000
 
 
 @dataclass
@@ -108,7 +108,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
     Runs jobs when called: an approximate sketch brackets each rank, exact counts
     confirm the bracket, and only values inside it are read. Every pass cuts the open
     intervals to about 1/1000, so 10^12 rows need three. The driver receives at most
-    FINAL_VALUES values per interval.
+    FINAL_VALUES values at a time, for all intervals together.
     """
     values = df.select(
         *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
@@ -126,10 +126,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
             below = {math.floor(p * (n[c] - 1)) for p in probs}
             ranks = below | {min(k + 1, n[c] - 1) for k in below}
             waiting.append(_Interval(c, 0, n[c], ranks))
-    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES}
+    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES // len(waiting)}
     while waiting:
-        small = [t for t in waiting if t.inside <= FINAL_VALUES]
-        waiting = [t for t in waiting if t.inside > FINAL_VALUES]
+        most = FINAL_VALUES // len(waiting)
+        small = [t for t in waiting if t.inside <= most]
+        waiting = [t for t in waiting if t.inside > most]
         if small:
             _finish(values, small, known)
         if waiting:
