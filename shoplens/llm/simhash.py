@@ -107,30 +107,34 @@ def list_keys(views: np.ndarray, lists: list[tuple[int, ...]]) -> np.ndarray:
 
 
 def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the edges, so few that all components stay as they are; edges of fewer bits come first."""
+    """Of the edges, so few that all components stay as they are; edges of fewer bits come first.
+
+    In each round every component takes its first edge to another one, until none is left.
+    """
+    order = np.argsort(bits, kind="stable")
+    a, b, bits = a[order], b[order], bits[order]
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
-    label, kept = np.arange(len(nodes)), []
-    for level in np.unique(bits):
-        at = np.flatnonzero((bits == level) & (label[x] != label[y]))
-        _, first = np.unique(np.stack([label[x[at]], label[y[at]]], axis=1), axis=0, return_index=True)
-        parent: dict[int, int] = {}
-        for edge in at[first].tolist():
-            roots = []
-            for node in (label[x[edge]], label[y[edge]]):
-                while node in parent:
-                    node = parent[node]
-                roots.append(node)
-            if roots[0] != roots[1]:
-                parent[max(roots)] = min(roots)
-                kept.append(edge)
-        if parent:
-            table = np.arange(len(nodes))
-            table[list(parent)] = list(parent.values())
-            while (table[table] != table).any():
-                table = table[table]
-            label = table[label]
-    return a[kept], b[kept], bits[kept]
+    label, left, kept = np.arange(len(nodes)), np.arange(len(a)), []
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            break
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, label[x[left]], left)
+        np.minimum.at(first, label[y[left]], left)
+        taken = np.unique(first[first < len(a)])
+        kept.append(taken)
+        parent, u, v = np.arange(len(nodes)), label[x[taken]], label[y[taken]]
+        while (parent[u] != parent[v]).any():
+            low = np.minimum(parent[u], parent[v])
+            for side in (parent[u], parent[v]):
+                np.minimum.at(parent, side, low)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+        label = parent[label]
+    chosen = np.sort(np.concatenate([np.zeros(0, np.int64), *kept]))
+    return a[chosen], b[chosen], bits[chosen]
 
 
 def _near(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -> tuple:
