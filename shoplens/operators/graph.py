@@ -162,12 +162,11 @@ def communities(edges: DataFrame, by: str | None = None) -> DataFrame:
         ).select("graph", "node", F.coalesce("kept", "label").alias("label")))
         while True:
             further = up.select("graph", F.col("node").alias("label"), F.col("label").alias("next"))
-            after = next_round(up.join(further, ["graph", "label"]).select("graph", "node", F.col("next").alias("label"), F.col("label").alias("old")))
-            done = after.where("label <> old").isEmpty()
-            up = after.drop("old")
-            if done:
+            up = next_round(up.join(further, ["graph", "label"]).select(
+                "graph", "node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), up)
+            if up.where("moved").isEmpty():
                 break
-        labels = up
+        labels = up.drop("moved")
     sizes = labels.groupBy("graph", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     order = W.partitionBy("graph").orderBy(F.desc("n"), "first")
     numbers = sizes.select("graph", "label", F.row_number().over(order).alias("group"))
@@ -183,6 +182,7 @@ def components(edges: DataFrame, by: str | None = None) -> DataFrame:
     graphs = edges.withColumn("graph", F.col(by).cast("string") if by else F.lit("all"))
     links = reuse(_both_ways(graphs, "graph"))
     labels = links.select("graph", "node", F.col("node").alias("component")).distinct()
+    updated = None
     while True:
         around = (
             links.join(labels.withColumnRenamed("node", "other"), ["graph", "other"])
@@ -196,7 +196,8 @@ def components(edges: DataFrame, by: str | None = None) -> DataFrame:
         updated = next_round(
             lower.join(step, ["graph", "near"]).select(
                 "graph", "node", F.least("near", "next").alias("component"), "old"
-            )
+            ),
+            updated,
         )
         labels = updated.drop("old")
         if updated.where("component != old").isEmpty():

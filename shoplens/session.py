@@ -30,6 +30,10 @@ def build_session(app_name: str = "shoplens", master: str | None = None) -> Spar
 _REUSED: list[DataFrame] = []
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """``df`` kept by Spark for the steps that read it several times, until ``release``.
 
@@ -41,13 +45,14 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def next_round(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
-    """The table of one round of a loop, computed; that of the ``last`` round is dropped.
+    """The table of one round of a loop, computed.
 
     With ``spark.checkpoint.dir`` set, the table is written there and read back, which
-    cuts the lineage of long loops; otherwise it is kept as by ``reuse``.
+    cuts the lineage of long loops, and that of the ``last`` round is deleted; otherwise
+    rounds are kept as by ``reuse``, since each is computed from the one before.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = checkpoint_dir(spark)
     if folder is None:
         table = reuse(df)
         table.count()
@@ -56,8 +61,10 @@ def next_round(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
         df.write.parquet(path)
         table = spark.read.schema(df.schema).parquet(path)
         table.round_path = path
-    if last is not None:
-        _drop(last)
+        _REUSED.append(table)
+        if last is not None:
+            _REUSED[:] = [x for x in _REUSED if x is not last]
+            _drop(last)
     return table
 
 
@@ -72,6 +79,6 @@ def _drop(table: DataFrame) -> None:
 
 
 def release() -> None:
-    """Free what ``reuse`` keeps, once the results that need it are written."""
+    """Free what ``reuse`` and the last rounds of loops keep, once the results that need it are written."""
     while _REUSED:
-        _REUSED.pop().unpersist()
+        _drop(_REUSED.pop())
