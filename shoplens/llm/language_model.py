@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplens.llm.store import mounted, new_folder, remove, written
+from shoplens.llm.store import mounted, new_folder, remove, small_batches, written
 from shoplens.llm.words import mix, slices, word_hashes
 
 ORDER = 2
-SHARD_BYTES = 32 << 20  # training text per shard
-BLOCK_GRAMS = 4_000_000  # n-grams a task sums up before it sends them
+SHARD_BYTES = 16 << 20  # training text per shard
+BLOCK_GRAMS = 2_000_000  # n-grams a task sums up before it sends them
 END, BEGIN = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _BLOCKS = "shard int, kind string, data binary"
@@ -56,13 +56,16 @@ def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [line[last - order + 1 + j] for j in range(order)], owners
 
 
-def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted distinct n-gram hashes, their words and their summed counts."""
+def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted distinct n-gram hashes, their words and their summed counts (1 each if not given)."""
     keys = gram_hash(columns)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    totals = np.add.reduceat(counts, first) if len(first) else counts
+    if counts is None:
+        totals = np.diff(first, append=len(keys)).astype(np.uint64)
+    else:
+        totals = np.add.reduceat(counts[order], first) if len(first) else counts
     return keys[first], [c[order[first]] for c in columns], totals
 
 
@@ -119,7 +122,8 @@ def _counted(texts: DataFrame, order: int, placing: Placing) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held)]
-            _, columns, counts = summed(columns, np.ones(size, np.uint64))
+            held.clear()
+            _, columns, counts = summed(columns)
             for shard, data in _packed(columns, counts, placing):
                 yield _batch([(shard, "grams", data)])
 
@@ -130,7 +134,7 @@ def _counted(texts: DataFrame, order: int, placing: Placing) -> DataFrame:
                 size += len(columns[0])
                 if size >= BLOCK_GRAMS:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -171,7 +175,7 @@ def _merge(blocks: DataFrame, level: int, folder: Path, name: str, placing: Plac
             _save(folder / f"{name}-{shard}-stats.npy", _narrow(stats[~heavy]))
             if heavy.any():
                 rows.append((shard, "heavy", np.column_stack([context[first], stats])[heavy].tobytes()))
-            _, shorter, ones = summed(columns[1:], np.ones(len(keys), np.uint64))
+            _, shorter, ones = summed(columns[1:])
             rows += [(s, "grams", data) for s, data in _packed(shorter, ones, placing)]
         return pa.Table.from_batches([_batch(rows)])
 
@@ -363,7 +367,8 @@ def score_held_out(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "language-model")
-    train(docs.filter(~held_out(F.col(id))), text, folder, order)
-    result = written(score(docs, folder, id, text).withColumn("held_out", held_out(F.col(id))), "scores")
+    with small_batches(spark):
+        train(docs.filter(~held_out(F.col(id))), text, folder, order)
+        result = written(score(docs, folder, id, text).withColumn("held_out", held_out(F.col(id))), "scores")
     remove(spark, folder)
     return result

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -60,3 +62,15 @@ def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
     """The columns of ``like`` from ``row``, some of them changed; other ``changed`` ones are added at the end."""
     own = [changed.get(c, F.col("row")[c]).alias(c) for c in like.columns]
     return df.select(*own, *(c.alias(name) for name, c in changed.items() if name not in like.columns))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run inside pass texts to Python in batches of ``rows``, so that a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
