@@ -193,6 +193,9 @@ class Recent(dict):
         self.keep(chunk, value)
         return value
 
+    def unknown(self, chunks: set[str]) -> list[str]:
+        return [c for c in chunks if c not in self and c not in self.older and len(c) <= CACHED_LENGTH]
+
     def keep(self, chunk: str, value: bytes) -> None:
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHED_CHUNKS:
