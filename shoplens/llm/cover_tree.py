@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from shoplens.llm.store import written
 
-LEAF = 64
+LEAF = 256
 FANOUT = 8  # balls a ball is split into at most; its radius falls by the factor below at least, or it has so many
 SHRINK = 1.3
 DATA_BLOCK = 4096
@@ -93,9 +93,12 @@ class Best:
 
     def offer(self, begin: int, end: int, scores: np.ndarray, ids: np.ndarray) -> None:
         worst = self.scores[begin:end, -1]
-        own = self.tree.ids[begin:end, None] == ids[None]
-        scores = np.where(own, _NONE, scores)
-        better = (scores >= worst[:, None]) & ~own
+        better = scores >= worst[:, None]
+        queries = self.tree.ids[begin:end]
+        if np.isin(queries, ids).any():
+            own = queries[:, None] == ids[None]
+            scores = np.where(own, _NONE, scores)
+            better &= ~own
         rows = np.flatnonzero(better.any(axis=1))
         if len(rows):
             columns = np.flatnonzero(better[rows].any(axis=0))
