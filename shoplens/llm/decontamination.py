@@ -90,15 +90,22 @@ def _seeds(items: DataFrame, shapes: list[tuple[int, ...]]) -> DataFrame:
     return written(items.select("item", "words").mapInArrow(read, schema), "seeds")
 
 
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in the filter, from different bits."""
+    size = np.uint64(1 << FILTER_BITS)
+    return (keys % size).astype(np.int64), ((keys >> np.uint64(32)) % size).astype(np.int64) + (1 << FILTER_BITS)
+
+
 def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each key: of fixed size, whatever the number of seeds."""
+    """Two bits for each key, in two tables: of fixed size, whatever the number of seeds."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(1 << FILTER_BITS, bool)
+        found = np.zeros(2 << FILTER_BITS, bool)
         for batch in batches:
-            found[batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = True
+            for slots in _slots(batch.column(0).to_numpy().view(np.uint64)):
+                found[slots] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], ["bits"])
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(2 << (FILTER_BITS - 3), np.uint8)
     for row in seeds.select("key").coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return np.unpackbits(out).astype(bool)
@@ -119,7 +126,8 @@ def _regions(docs: DataFrame, shapes: list[tuple[int, ...]], bits: np.ndarray, i
                 found = []
                 for shape in shapes:
                     key, place = seed_keys(hashes, before, shape)
-                    hit = known[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+                    low, high = _slots(key)
+                    hit = known[low] & known[high]
                     found.append((key[hit], place[hit]))
                 key, at = (np.concatenate(x) for x in zip(*found))
                 if not len(at):
