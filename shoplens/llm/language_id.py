@@ -99,7 +99,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     # One row per language: the share of all hashes that holds about the wanted rows.
     shares = known.groupBy("lang").agg((F.lit(rows) / F.count("*")).alias("share"))
     chosen = (F.col("place") / 2.0**64 + 0.5) <= F.col("share")
-    sample = known.join(shares, "lang").filter(chosen).select("lang", "text").repartition(_TASKS)
+    sample = known.join(F.broadcast(shares), "lang").filter(chosen).select("lang", "text").repartition(_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
