@@ -8,7 +8,8 @@ tally of shared positional bytes, and only those that reach the minimum are comp
 
 Texts whose shingle sets merely have a similarity of 0.8 differ in more bits than bytes
 can vouch for. ``near_copies`` therefore takes several fingerprints per text and lists
-triples from all of their bytes, and verifies by the shingle sets themselves.
+triples from all of their bytes, and verifies by the shingle sets themselves: all pairs
+within a component of candidates are compared, since candidates may prove to be dissimilar.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,7 @@ from shoplens.llm.store import written
 SEED = 42
 BYTES = 8
 LIST_CHUNK = 4096  # longer lists are compared chunk by chunk in tasks of their own
+FAMILY_CHUNK = 1 << 18  # shingles of a component of candidates that one task compares with another such chunk
 _ROWS = 1 << 16
 
 
@@ -159,6 +161,12 @@ def _near(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, shared: int,
     return spanning(*map(np.concatenate, zip(*held))) if held else None
 
 
+def _meetings(chunk: Column) -> Column:
+    """The pairs of chunks (low, high; of ``chunks``) in which a row of this chunk takes part."""
+    return F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(
+        F.least(x, chunk).alias("low"), F.greatest(x, chunk).alias("high")))
+
+
 def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max_bits: int) -> DataFrame:
     """Edges (``a``, ``b``) between rows of ``prints`` (node, view0, view1, ...: distinct nodes) that share a list.
 
@@ -182,10 +190,8 @@ def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max
     long_lists = index.groupBy("key").count().filter(F.col("count") > LIST_CHUNK).select(
         "key", F.ceil(F.col("count") / LIST_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(
-        F.least(x, chunk).alias("low"), F.greatest(x, chunk).alias("high")))
     dealt = index.join(long_lists, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
-        "key", "node", "view", F.explode(parts).alias("part")).select("key", "part.low", "part.high", "node", "view")
+        "key", "node", "view", F.explode(_meetings(chunk)).alias("part")).select("key", "part.low", "part.high", "node", "view")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 5), np.int64)
@@ -239,24 +245,89 @@ def near_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id: str
         id, F.lpad(F.lower(F.hex("view0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _similar(docs: DataFrame, edges: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """The edges whose texts' sets of word shingles have at least the Jaccard similarity."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("parts", T.ArrayType(T.LongType()))])
+def similar_links(sets: list[np.ndarray], own: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect all pairs of sets (sorted distinct hashes) of at least the Jaccard similarity.
+
+    Every pair is counted exactly, by way of lists of the sets that hold a hash; where
+    ``own`` has two values, only pairs across them. Pairs that links connect already are left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, codes, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[codes] > 1
+    codes, owner = codes[shared], owner[shared]
+    before = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+    order = np.argsort(codes, kind="stable")
+    holders = owner[order]
+    ends = np.cumsum(np.bincount(codes, minlength=len(held)))
+    across = len(np.unique(own)) > 1
+    label, a, b = np.arange(len(sets)), [], []
+    for i in range(len(sets)):
+        mine = codes[before[i] : before[i + 1]]
+        if not len(mine) or (across and own[i] != own[-1]):
+            continue
+        counts = held[mine]
+        steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        common = np.bincount(holders[np.repeat(ends[mine] - counts, counts) + steps], minlength=len(sets))
+        near = np.flatnonzero(common >= np.maximum(similarity * (sizes + sizes[i] - common), 1))
+        near = near[(own[near] != own[i]) if across else near < i]
+        groups, at = np.unique(label[near], return_index=True)
+        for group, j in zip(groups.tolist(), near[at].tolist()):
+            if group != label[i]:
+                a.append(j)
+                b.append(i)
+                label[label == group] = label[i]
+    return a, b
+
+
+def _similar(docs: DataFrame, candidates: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
+    """Edges (``a``, ``b``) that connect all similar pairs within the components of the candidates.
+
+    Similar are texts whose sets of word shingles have at least the Jaccard similarity.
+    Every pair of a component is compared, so that candidates which prove to be dissimilar
+    stand for no others. Components of many shingles are split into chunks, every two of
+    which meet in one task.
+    """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t.as_py(), words)], np.uint64)).view(np.int64)
-                     for t in batch.column(1)]
+            found = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t.as_py(), words)], np.uint64))
+                     for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], schema.names)
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()),
+                 pa.array([x.tobytes() for x in found], pa.binary())], ["root", "node", "n", "parts"])
+
+    families = connected_components(candidates)
+    texts = docs.join(families, "node").groupBy("root", "node").agg(F.min(text).alias(text))
+    sets = written(texts.mapInArrow(parts, "root long, node long, n long, parts binary"), "shingle-sets")
+    large = sets.groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > FAMILY_CHUNK).select(
+        "root", F.ceil(F.col("n") / FAMILY_CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = sets.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
+        "root", "node", "parts", chunk.alias("own"), F.explode(_meetings(chunk)).alias("part")).select(
+        "root", "part.low", "part.high", "own", "node", "parts")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(ends, "node", "left_semi").groupBy("node").agg(F.min(text).alias(text))
-    sets = written(texts.select("node", text).mapInArrow(parts, schema), "shingle-sets")
-    pairs = edges.join(sets.toDF("a", "parts_a"), "a").join(sets.toDF("b", "parts_b"), "b")
-    common = F.size(F.array_intersect("parts_a", "parts_b"))
-    either = F.size("parts_a") + F.size("parts_b") - common
-    return pairs.filter(common >= similarity * either).select("a", "b")
+        def edges() -> Iterator[pa.RecordBatch]:
+            own, nodes, found = zip(*held)
+            a, b = similar_links([np.frombuffer(x, np.uint64) for x in found], np.array(own), similarity)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            for root, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (root, low, high) != key:
+                    if len(held) > 1:
+                        yield from edges()
+                    key, held = (root, low, high), []
+                held.append(row)
+        if len(held) > 1:
+            yield from edges()
+
+    placed = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "own")
+    return placed.mapInArrow(link, "a long, b long").distinct()
 
 
 def near_copies(
@@ -283,7 +354,7 @@ def near_copies(
     prints = written(fingerprints(firsts, words, views, "node", text), "fingerprints")
     worded = prints.filter(" or ".join(f"view{v} <> 0" for v in range(views)))
     candidates = written(near_edges(worded, spread_lists(views, lists), 0, 20), "candidates")
-    edges = _similar(bodies, candidates, words, similarity, text)
+    edges = written(_similar(bodies, candidates, words, similarity, text), "similar")
     is_first = F.col(id).eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("first_node"))
     return ids.join(_members(ids, edges, id), "node").select(
         id, F.col("node").alias("body"), "component_id", is_first.alias("is_first"))

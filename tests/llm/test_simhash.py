@@ -91,3 +91,34 @@ def test_spanning_prefers_fewer_bits():
     a, b, bits = (np.array(x) for x in ([1, 1, 2, 5, 5], [2, 3, 3, 6, 6], [1, 4, 2, 3, 3]))
     kept = sorted(zip(*(x.tolist() for x in simhash.spanning(a, b, bits))))
     assert kept == [(1, 2, 1), (2, 3, 2), (5, 6, 3)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 300])
+def test_dissimilar_candidates_stand_for_no_others(spark, chunk, monkeypatch):
+    """Families of texts that share passages: false candidates of fewer bits than the true pairs."""
+    monkeypatch.setattr(simhash, "FAMILY_CHUNK", chunk)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(4):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        for i in range(30):  # similarity 0.7 to the others, 0.88 to its twin
+            own = [f"u{rng.randrange(10**6)}" for _ in range(37)]
+            texts += [" ".join(base + own), " ".join(base + own[:25] + [f"t{rng.randrange(10**6)}" for _ in range(12)])]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    want = smallest(list(range(len(texts))), near)
+    assert len(set(want)) == 120
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] != want[i] for i in got) == 0
+
+
+def test_similar_links_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for own in (np.zeros(40, int), np.repeat([0, 1], 20)):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.permutation(60)[:55]], rng.integers(0, 1 << 63, i % 7).astype(np.uint64)])) for i in range(40)]
+        a, b = simhash.similar_links(sets, own, 0.8)
+        near = [[x is y or (own[i] != own[j] or not own.any()) and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+                 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+        linked = [[i == j or (i, j) in set(zip(a, b)) | set(zip(b, a)) for j in range(40)] for i in range(40)]
+        assert smallest(list(range(40)), linked) == smallest(list(range(40)), near) and all(near[i][j] for i, j in zip(a, b))
