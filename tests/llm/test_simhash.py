@@ -122,3 +122,19 @@ def test_similar_links_equal_brute_force():
                  for j, y in enumerate(sets)] for i, x in enumerate(sets)]
         linked = [[i == j or (i, j) in set(zip(a, b)) | set(zip(b, a)) for j in range(40)] for i in range(40)]
         assert smallest(list(range(40)), linked) == smallest(list(range(40)), near) and all(near[i][j] for i, j in zip(a, b))
+
+
+def test_pairs_at_the_threshold_and_with_repeated_content_are_found(spark):
+    rng = random.Random(7)
+    pairs = []
+    for i in range(200):
+        base = [f"v{rng.randrange(10**9)}" for _ in range(104)]
+        own = 11 - i % 2  # of 100 shingles: similarity 0.802 or 0.818
+        pairs.append((base, base[:-own] + [f"u{rng.randrange(10**9)}" for _ in range(own)]))
+    for _ in range(40):
+        base = [f"v{rng.randrange(10**9)}" for _ in range(100)]
+        pairs.append((base, base[:50] * 10 + base[50:]))
+    texts = [" ".join(x) for pair in pairs for x in pair]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) >= 198
+    assert all(got[2 * i + 1] == 2 * i for i in range(200, 240))
