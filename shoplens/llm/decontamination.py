@@ -166,6 +166,28 @@ def best_overlap(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(gains[: end + 1])), end
 
 
+def longest_overlap(same: np.ndarray, least: int) -> tuple[int, int]:
+    """Begin and end of the longest stretch of at least ``least`` words, three quarters of them equal, the first and the last too.
+
+    Of equally long ones that with the most matches, then the first; (0, 0) if there is none.
+    """
+    places = np.flatnonzero(same)
+    if not len(places):
+        return 0, 0
+    # A prefix sum of matches less three quarters of words must not be smaller after the stretch than before it.
+    gains = np.concatenate([[0], np.cumsum(np.where(same, 1 - MIN_IDENTITY, -MIN_IDENTITY))])
+    lowest = np.minimum.accumulate(gains[places])
+    # For each end the earliest begin from which the sum does not fall.
+    first = np.searchsorted(-lowest, -gains[places + 1])
+    lengths = places + 1 - places[np.minimum(first, np.arange(len(places)))]
+    matches = np.arange(len(places)) + 1 - first
+    fits = np.flatnonzero((lengths >= least) & (matches > 0))
+    if not len(fits):
+        return 0, 0
+    last = fits[np.lexsort([fits, -matches[fits], -lengths[fits]])[0]]
+    return int(places[first[last]]), int(places[last]) + 1
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -205,9 +227,9 @@ def find_overlaps(
                 doc, it = np.frombuffer(words, np.uint64), np.frombuffer(own, np.uint64)
                 a, b = max(shift, 0), min(shift + len(it), len(doc))
                 equal = doc[a:b] == it[a - shift : b - shift]
-                begin, end = best_overlap(equal)
+                begin, end = longest_overlap(equal, min(MIN_WORDS, len(it)))
                 matches = int(equal[begin:end].sum())
-                if end - begin >= min(MIN_WORDS, len(it)) and matches >= MIN_IDENTITY * (end - begin):
+                if end > begin:
                     kept.append(i)
                     rows.append((start + a + begin, end - begin, matches))
             columns = list(zip(*rows)) or [(), (), ()]

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from shoplens.llm import chunking, language_id, licences
-from shoplens.llm.decontamination import best_overlap, find_overlaps
+from shoplens.llm.decontamination import best_overlap, find_overlaps, longest_overlap
 
 
 def words(rng, n, letters="abcdefghij"):
@@ -110,6 +110,27 @@ def test_best_overlap():
     assert best_overlap(np.zeros(3, bool))[0] == best_overlap(np.zeros(3, bool))[1]
 
 
+def test_longest_overlap_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for n in range(300):
+        same = rng.random(n % 40) < (0.5, 0.75, 0.9)[n % 3]
+        least = (1, 5, 12)[n // 3 % 3]
+        fit = [(b - a, int(same[a:b].sum()), -a) for a in range(len(same)) for b in range(a + least, len(same) + 1)
+               if same[a] and same[b - 1] and same[a:b].sum() >= 0.75 * (b - a)]
+        length, _, begin = max(fit, default=(0, 0, 0))
+        assert longest_overlap(same, least) == (-begin, length - begin)
+
+
+def test_overlap_longer_than_its_clean_core(spark):
+    rng = random.Random(9)
+    item = words(rng, 12).split()
+    passage = [*item[:8], "zz1", "zz2", *item[10:]]  # 10 of 12 words; the first 8 alone are too few
+    docs = [(1, " ".join([words(rng, 20), *passage, words(rng, 20)])), (2, " ".join([words(rng, 20), *item[:8], words(rng, 24)]))]
+    got = find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.first_word, r.n_words, r.n_matches) for r in got] == [(1, 20, 12, 10)]
+
+
 def test_overlaps_of_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(None, "the quick brown fox jumps over the lazy dog and runs away"), (1, None)], "item_id long, text string")
     got = find_overlaps(odd, benchmark).collect()
