@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from shoplens.llm.store import mounted, new_folder, remove, small_batches, written
 from shoplens.llm.words import mix, slices, word_hashes
 
-ORDER = 2
+ORDER = 3
 SHARD_BYTES = 16 << 20  # training text per shard
 BLOCK_GRAMS = 2_000_000  # n-grams a task sums up before it sends them
 END, BEGIN = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
@@ -90,6 +91,33 @@ class Placing:
         return self.heavy[at] == context
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Width and bytes of unsigned integers, all first bytes first, which makes them small once compressed."""
+    narrow = _narrow(values)
+    width = narrow.dtype.itemsize
+    return bytes([width]) + np.ascontiguousarray(narrow.view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _block(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """N-grams as places in the list of their words, and their counts, compressed."""
+    words, places = np.unique(np.concatenate(columns), return_inverse=True)
+    head = np.array([len(words), len(counts)], "<u8").tobytes() + words.astype("<u8").tobytes()
+    return zlib.compress(head + b"".join(map(_planes, [*places.reshape(len(columns), -1).astype(np.uint64), counts])), 1)
+
+
+def _unblock(data: bytes, order: int) -> np.ndarray:
+    """A row of words for each place of the n-grams, and one of counts."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    known, n = raw[:16].view("<u8").tolist()
+    words, at, rows = raw[16 : 16 + 8 * known].view("<u8"), 16 + 8 * known, []
+    for _ in range(order + 1):
+        width = int(raw[at])
+        planes = raw[at + 1 : at + 1 + width * n].reshape(width, n)
+        rows.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += 1 + width * n
+    return np.stack([*(words[x.astype(np.int64)] for x in rows[:-1]), rows[-1]])
+
+
 def _packed(columns: list[np.ndarray], counts: np.ndarray, placing: Placing) -> Iterator[tuple[int, bytes]]:
     """Blocks of n-grams by shard, sorted by their words, which makes them small once compressed."""
     shard = placing.shard(columns)
@@ -98,13 +126,12 @@ def _packed(columns: list[np.ndarray], counts: np.ndarray, placing: Placing) ->
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
     for begin, end in zip(edges, [*edges[1:], len(shard)]):
         rows = order[begin:end]
-        parts = [c[rows].astype("<u8").tobytes() for c in columns]
-        yield int(shard[begin]), b"".join(parts) + counts[rows].astype("<u8").tobytes()
+        yield int(shard[begin]), _block([c[rows] for c in columns], counts[rows])
 
 
 def _unpacked(blocks: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    arrays = [np.frombuffer(x, "<u8").reshape(order + 1, -1) for x in blocks]
-    table = np.concatenate(arrays, axis=1) if arrays else np.zeros((order + 1, 0), np.uint64)
+    tables = [_unblock(x, order) for x in blocks]
+    table = np.concatenate(tables, axis=1) if tables else np.zeros((order + 1, 0), np.uint64)
     return list(table[:-1]), table[-1]
 
 
@@ -150,7 +177,7 @@ def _save(path: Path, array: np.ndarray) -> None:
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
+    return counts.astype(np.min_scalar_type(counts.max())) if len(counts) else counts.astype(np.uint8)
 
 
 def _merge(blocks: DataFrame, level: int, folder: Path, name: str, placing: Placing) -> DataFrame:

@@ -100,3 +100,11 @@ def test_odd_rows(spark, odd, none):
     assert {r.n_tokens for r in found if r.doc_id in (3, 4, 5)} == {1}
     assert all(r.held_out == held_out(r.doc_id) for r in found)
     assert lm.score_held_out(none).count() == 0
+
+
+def test_held_out_scores_use_two_words_of_context(spark):
+    learnt = [i for i in range(100) if not held_out(i)][:40]
+    other = [i for i in range(100) if held_out(i)][:2]
+    rows = [(i, "x a b" if n % 2 else "y a c") for n, i in enumerate(learnt)] + list(zip(other, ("x a b", "x a c")))
+    got = {r.doc_id: r.score for r in lm.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[other[0]] > got[other[1]] + 1  # word pairs alone give both the same score
