@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.bpe import digests
 from shoplens.llm.chunking import dedup_substrings
+from shoplens.llm.clustering import centroid_clusters
 from shoplens.llm.cover_tree import top_k
 from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import identify
@@ -130,3 +131,45 @@ ranked AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{folder}/embeddings.parquet"), k=16, rounds=3, dims=64)
+
+
+def _clusters_sql(k: int, rounds: int, dims: int) -> str:
+    """Lloyd's rounds with every vector compared with every centroid, one row per component."""
+    steps = [f"""
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM vectors),
+starts AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM vectors
+    QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {k}),
+centroids0 AS (SELECT cluster, place, x FROM starts JOIN parts USING (vec_id))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+distances{n} AS (
+    SELECT p.vec_id, c.cluster, sum((p.x - c.x) * (p.x - c.x)) AS distance
+    FROM parts p JOIN centroids{n} c USING (place) GROUP BY ALL),
+assigned{n} AS (
+    SELECT vec_id, cluster, distance FROM distances{n}
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+sums{n} AS (SELECT cluster, place, sum(x) AS s, count(*) AS m FROM assigned{n} JOIN parts USING (vec_id) GROUP BY ALL),
+centroids{n + 1} AS (
+    SELECT cluster, place, CAST(coalesce((s - ((s % m) + m) % m) // m, x) AS BIGINT) AS x
+    FROM centroids{n} LEFT JOIN sums{n} USING (cluster, place))""")
+    return ",".join(steps) + f""",
+digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256 FROM centroids{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+    CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM assigned{rounds} JOIN digests USING (cluster)
+"""
+
+
+ORACLES["op13_centroid_clusters"] = _clusters_sql(k=16, rounds=3, dims=64)
