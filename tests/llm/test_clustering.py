@@ -72,7 +72,7 @@ def test_only_expired_vectors_are_compared(monkeypatch):
     drifts = clustering._drift(centroids.tolist(), moved.tolist())
     assert block.move(moved, drifts, changes) == 0  # clusters lie far apart
     far = centroids.copy()
-    far[0] += 390
+    far[0] += 375
     drifts = [a + b for a, b in zip(drifts, clustering._drift(moved.tolist(), far.tolist()))]
     assert 0 < block.move(far, drifts, changes) < 2000
     assert (block.distances(far)[0] == nearest(values, far)[0]).all()
