@@ -96,7 +96,9 @@ class Block:
         for number in np.unique(clusters).tolist():
             own = rows[clusters == number]
             keys = gaps[clusters == number] + drifts[number]
-            for item in zip((keys - 1e-12 * np.abs(keys)).tolist(), own.tolist()):
+            finite = np.isfinite(keys)
+            keys[finite] -= 1e-12 * np.abs(keys[finite])
+            for item in zip(keys.tolist(), own.tolist()):
                 heapq.heappush(self.heaps[number], item)
             self._count(number, own, 1, changes)
 
