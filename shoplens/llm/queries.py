@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.bpe import digests
 from shoplens.llm.chunking import dedup_substrings
 from shoplens.llm.clustering import centroid_clusters
+from shoplens.llm.conversations import damaged, repair_summaries
 from shoplens.llm.cover_tree import top_k
 from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import identify
@@ -173,3 +174,8 @@ FROM assigned{rounds} JOIN digests USING (cluster)
 
 
 ORACLES["op13_centroid_clusters"] = _clusters_sql(k=16, rounds=3, dims=64)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_summaries(damaged(spark.read.parquet(f"{folder}/conversations.parquet")))
