@@ -13,6 +13,7 @@ from shoplens.llm.clustering import centroid_clusters
 from shoplens.llm.conversations import damaged, repair_summaries
 from shoplens.llm.cover_tree import top_k
 from shoplens.llm.decontamination import find_overlaps
+from shoplens.llm.html_text import extract_text
 from shoplens.llm.language_id import identify
 from shoplens.llm.language_model import score_held_out
 from shoplens.llm.licences import EQUIVALENTS, KNOWN, NO_WORD, RIGHTS_LINE, scan_licences
@@ -179,3 +180,9 @@ ORACLES["op13_centroid_clusters"] = _clusters_sql(k=16, rounds=3, dims=64)
 @query
 def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair_summaries(damaged(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+@query
+def op12_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
