@@ -32,6 +32,7 @@ _NEVER = 1 << 30
 _END_SHIFT = 0x1000
 CACHED_CHUNKS = 400_000  # in each of two generations per worker; what it forgets is encoded again
 CACHED_LENGTH = 64
+CACHED_PAIRS = 300_000
 _LATIN_ENDS = "\u024f"
 # White space of the tokenizer's pattern; str.split() would also cut at these four separators.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -133,7 +134,7 @@ class PrefixBpe:
                     pair = (last[begin], token)
                     fits = memo.get(pair)
                     if fits is None:
-                        if len(memo) > 2_000_000:
+                        if len(memo) > CACHED_PAIRS:
                             memo.clear()
                         fits = memo[pair] = self._meeting(*pair) is None
                     if not fits:

@@ -14,6 +14,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for few in slices(batch, 1, 1 << 20):
+            for few in slices(batch, 1, 1 << 18):
                 bins, owner = ngram_bins(few.column(1))
                 names = np.array(few.column(0).to_pylist(), object)
                 for name in set(names):
@@ -140,14 +141,19 @@ def predict(docs: DataFrame, codes: Codes, text: str = "text", prefix: str = "la
         return docs.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True)))))
     model = docs.sparkSession.sparkContext.broadcast(codes)  # bounded: bins times bits
     value = F.col(text).cast("string")
-    rows = packed(docs, text=value, letter=F.coalesce(value.rlike(r"\p{L}"), F.lit(False)))
+    # A text travels once, within its row, unless it must be cast.
+    place = docs.columns.index(text) if docs.columns.count(text) == 1 and docs.schema[text].dataType == T.StringType() else None
+    own = {} if place is not None else {"text": value}
+    rows = packed(docs, letter=F.coalesce(value.rlike(r"\p{L}"), F.lit(False)), **own)
     schema = T.StructType([rows.schema["row"], T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for few in slices(batch, 1, 1 << 20):
-                best, score = model.value.decide(few.column(1))
-                letter = few.column(2).to_numpy(zero_copy_only=False)
+            texts = batch.column(2) if place is None else pc.struct_field(batch.column(0), place)
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["row", "letter", "text"])
+            for few in slices(batch, 2, 1 << 18):
+                best, score = model.value.decide(few.column(2))
+                letter = few.column(1).to_numpy(zero_copy_only=False)
                 pred = np.where(letter, np.array(model.value.languages, object)[best], UNKNOWN)
                 yield pa.RecordBatch.from_arrays(
                     [few.column(0), pa.array(pred, pa.string()), pa.array(np.where(letter, score, 0.0))], schema.names)

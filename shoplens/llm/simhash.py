@@ -5,16 +5,10 @@ bytes at the same positions. The index lists fingerprints by position and value
 bytes (fewer where fewer are sure to be shared); the listed position triples are chosen
 so that any 8 - k shared positions contain one. Pairs from a list are filtered by the
 tally of shared positional bytes, and only those that reach the minimum are compared.
-
-Texts whose shingle sets merely have a similarity of 0.8 differ in more bits than bytes
-can vouch for. ``near_copies`` therefore takes several fingerprints per text and lists
-pairs from all of their bytes, and verifies by the shingle sets themselves: all pairs
-within a component of candidates are compared, since candidates may prove to be dissimilar.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
 
@@ -31,7 +25,6 @@ from shoplens.llm.store import written
 SEED = 42
 BYTES = 8
 LIST_CHUNK = 4096  # longer lists are compared chunk by chunk in tasks of their own
-FAMILY_CHUNK = 1 << 18  # shingles of a component of candidates that one task compares with another such chunk
 _ROWS = 1 << 16
 
 
@@ -45,38 +38,27 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [line[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[words - 1 :])]
 
 
-def fingerprint(text: str | None, words: int = 4, views: int = 1, distinct: bool = False) -> bytes:
-    """Eight bytes a view, most significant first; a bit is set if it is in over half of the shingles' XXH64.
-
-    View v hashes with seed 42 + v. Repeats count, unless only the ``distinct`` shingles are asked for.
-    """
+def fingerprint(text: str | None, words: int = 4) -> bytes:
+    """Eight bytes, most significant first; a bit is set if it is in over half of the shingles' XXH64, repeats included."""
     parts = shingles(text, words)
-    parts = list(set(parts)) if distinct else parts
     if not parts:
-        return bytes(BYTES * views)
-    found = b""
-    for view in range(views):
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(SEED + view))), np.uint8).reshape(-1, BYTES)
-        ones = sum(np.unpackbits(hashes[i : i + _ROWS], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), _ROWS))
-        found += np.packbits(ones * 2 > len(parts)).tobytes()
-    return found
-
-
-def fingerprints(
-    docs: DataFrame, words: int = 4, views: int = 1, id: str = "doc_id", text: str = "text", distinct: bool = False
-) -> DataFrame:
-    """``id`` and view0, view1, ... (longs of 64 bits) of every row."""
-    names = [f"view{v}" for v in range(views)]
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(n, T.LongType()) for n in names)])
+        return bytes(BYTES)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(SEED))), np.uint8).reshape(-1, BYTES)
+    ones = sum(np.unpackbits(hashes[i : i + _ROWS], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), _ROWS))
+    return np.packbits(ones * 2 > len(parts)).tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
+    """id, body (the text's XXH64) and node, the fingerprint as a long, of every row."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(n, T.LongType()) for n in ("body", "node"))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.frombuffer(b"".join(fingerprint(x.as_py(), words, views, distinct) for x in batch.column(1)), ">i8")
-            table = found.astype(np.int64).reshape(-1, views)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(table[:, v])) for v in range(views))], schema.names)
+            found = np.frombuffer(b"".join(fingerprint(x.as_py(), words) for x in batch.column(2)), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], schema.names)
 
-    return docs.select(docs[id], docs[text].cast("string")).mapInArrow(compute, schema).toDF(id, *names)
+    return docs.select(F.col(id).alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(compute, schema)
 
 
 def position_lists(max_bits: int) -> list[tuple[int, ...]]:
@@ -94,17 +76,12 @@ def position_lists(max_bits: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def spread_lists(views: int, lists: int) -> list[tuple[int, ...]]:
-    """``lists`` position pairs over the bytes of all views, drawn with a fixed seed."""
-    return random.Random(SEED).sample(list(combinations(range(BYTES * views), 2)), lists)
-
-
-def list_keys(views: np.ndarray, lists: list[tuple[int, ...]]) -> np.ndarray:
-    """Key of each row of views in each list: the list's number and the bytes at its positions."""
-    table = views.astype(">i8").view(np.uint8).astype(np.int64)
-    keys = np.empty((len(views), len(lists)), np.int64)
+def list_keys(prints: np.ndarray, lists: list[tuple[int, ...]]) -> np.ndarray:
+    """Key of each fingerprint in each list: the list's number and the bytes at its positions."""
+    table = prints.astype(">i8").view(np.uint8).reshape(-1, BYTES).astype(np.int64)
+    keys = np.empty((len(prints), len(lists)), np.int64)
     for number, positions in enumerate(lists):
-        key = np.full(len(views), number, np.int64)
+        key = np.full(len(prints), number, np.int64)
         for p in positions:
             key = key << 8 | table[:, p]
         keys[:, number] = key
@@ -142,18 +119,18 @@ def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray
     return a[chosen], b[chosen], bits[chosen]
 
 
-def _near(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -> tuple:
+def _near(keys: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -> tuple:
     """Edges that connect all near pairs within a key; rows are sorted by their keys."""
     held, size, step = [], 0, 1
     first = np.flatnonzero((keys[1:] == keys[:-1]).all(axis=1)) if len(keys) > 1 else np.zeros(0, np.int64)
     while len(first):
-        differ = (prints[first] ^ prints[first + step]).view(np.uint64)
-        equal = differ[:, :1].copy().view(np.uint8) == 0
+        differ = prints[first] ^ prints[first + step]
+        equal = differ.view(np.uint8).reshape(-1, BYTES) == 0
         enough = np.flatnonzero(equal.sum(axis=1) >= shared)  # the count filter
-        bits = np.bitwise_count(differ[enough]).sum(axis=1, dtype=np.int64)
+        bits = np.bitwise_count(differ[enough].view(np.uint64)).astype(np.int64)
         enough, bits = enough[bits <= max_bits], bits[bits <= max_bits]
         if len(enough):
-            held.append((nodes[first[enough]], nodes[first[enough] + step], bits))
+            held.append((prints[first[enough]], prints[first[enough] + step], bits))
             size += len(enough)
             if size > 1_000_000:
                 held = [spanning(*map(np.concatenate, zip(*held)))]
@@ -170,45 +147,39 @@ def _meetings(chunk: Column) -> Column:
         F.least(x, chunk).alias("low"), F.greatest(x, chunk).alias("high")))
 
 
-def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max_bits: int, compared: int = 1) -> DataFrame:
-    """Edges (``a``, ``b``) between rows of ``prints`` (node, view0, view1, ...: distinct nodes) that share a list.
+def near_edges(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (``a``, ``b``) that connect all of the distinct fingerprints ``node`` that differ in at most ``max_bits`` bits.
 
-    Kept are pairs whose first view shares at least ``shared`` positional bytes and whose
-    first ``compared`` views differ in at most ``max_bits`` bits. Not each such pair is an edge, but each list's edges
-    connect them, preferring fewer bits, so that a list of n texts gives at most n edges.
-    Lists longer than 4096 are split into chunks, every two of which meet in one task.
+    Not each near pair is an edge, but each list's edges connect its near pairs, preferring
+    fewer bits, so that a list of n fingerprints gives at most n edges. Lists longer than
+    4096 are split into chunks, every two of which meet in one task.
     """
-    views = [c for c in prints.columns if c.startswith("view")]
+    lists = position_lists(max_bits)
     few = max(1, _ROWS // len(lists))
-    carried = [f"view{v}" for v in range(compared)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, few):
-                nodes, *own = (batch.column(i)[at : at + few].to_numpy() for i in range(len(views) + 1))
-                keys = list_keys(np.ascontiguousarray(np.stack(own, axis=1)), lists)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), *(pa.array(np.repeat(x, len(lists))) for x in (nodes, *own[:compared]))],
-                    ["key", "node", *carried])
+                own = batch.column(0)[at : at + few].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(list_keys(own, lists).ravel()), pa.array(np.repeat(own, len(lists)))], ["key", "node"])
 
-    index = prints.select("node", *views).mapInArrow(post, ", ".join(f"{c} long" for c in ("key", "node", *carried)))
+    index = prints.select("node").mapInArrow(post, "key long, node long")
     long_lists = index.groupBy("key").count().filter(F.col("count") > LIST_CHUNK).select(
         "key", F.ceil(F.col("count") / LIST_CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = index.join(long_lists, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
-        "key", "node", *carried, F.explode(_meetings(chunk)).alias("part")).select("key", "part.low", "part.high", "node", *carried)
+        "key", "node", F.explode(_meetings(chunk)).alias("part")).select("key", "part.low", "part.high", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 4 + compared), np.int64)
+        rest = np.zeros((0, 4), np.int64)
 
         def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = _near(rows[:, :3], rows[:, 3], np.ascontiguousarray(rows[:, 4:]), shared, max_bits)
+            found = _near(rows[:, :3], np.ascontiguousarray(rows[:, 3]), BYTES - max_bits, max_bits)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:2]], ["a", "b"])
 
         for batch in batches:
-            new = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4 + compared)], axis=1)
-            rows = np.concatenate([rest, new])
+            rows = np.concatenate([rest, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)])
             # The last key may go on in the next batch.
             whole = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1)) if len(rows) else []
             cut = whole[-1] + 1 if len(whole) else 0
@@ -220,17 +191,12 @@ def near_edges(prints: DataFrame, lists: list[tuple[int, ...]], shared: int, max
     return placed.mapInArrow(link, "a long, b long").distinct()
 
 
-def _members(prints: DataFrame, edges: DataFrame, id: str) -> DataFrame:
-    """node, component_id and first_node of every node of ``prints`` (``id``, node).
-
-    The first node is that of the smallest id, of equal ids the smaller; null ids come last.
-    """
-    classes = prints.groupBy("node").agg(F.min(id).alias("_id")).join(
-        connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "node"))
-    firsts = classes.groupBy("root").agg(first.alias("_first"))
-    return classes.join(firsts, "root").select(
-        "node", F.col("_first._id").alias("component_id"), F.col("_first.node").alias("first_node"))
+def _linked(docs: DataFrame, words: int, max_bits: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """id, body and node of every row; node and root (one per component) of every fingerprint."""
+    prints = written(fingerprints(docs, words, id, text), "fingerprints")
+    nodes = prints.select("node").distinct()
+    roots = nodes.join(connected_components(near_edges(nodes, max_bits)), "node", "left")
+    return prints, roots.select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,124 +209,19 @@ def near_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id: str
     Null ids are rows like any other but are never the smallest, unless all are null.
     An empty table gives an empty result; other columns are not read.
     """
-    prints = written(fingerprints(docs, words, 1, id, text).withColumn("node", F.col("view0")), "fingerprints")
-    distinct = prints.select("node", "view0").distinct()
-    edges = near_edges(distinct, position_lists(max_bits), BYTES - max_bits, max_bits)
-    return prints.join(_members(prints, edges, id), "node").select(
-        id, F.lpad(F.lower(F.hex("view0")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def similar_links(sets: list[np.ndarray], own: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Links that connect all pairs of sets (sorted distinct hashes) of at least the Jaccard similarity.
-
-    Every pair is counted exactly, by way of lists of the sets that hold a hash; where
-    ``own`` has two values, only pairs across them. Pairs that links connect already are left out.
-    """
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, codes, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = held[codes] > 1
-    codes, owner = codes[shared], owner[shared]
-    before = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
-    order = np.argsort(codes, kind="stable")
-    holders = owner[order]
-    ends = np.cumsum(np.bincount(codes, minlength=len(held)))
-    across = len(np.unique(own)) > 1
-    label, a, b = np.arange(len(sets)), [], []
-    for i in range(len(sets)):
-        mine = codes[before[i] : before[i + 1]]
-        if not len(mine) or (across and own[i] != own[-1]):
-            continue
-        counts = held[mine]
-        steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        common = np.bincount(holders[np.repeat(ends[mine] - counts, counts) + steps], minlength=len(sets))
-        near = np.flatnonzero(common >= np.maximum(similarity * (sizes + sizes[i] - common), 1))
-        near = near[(own[near] != own[i]) if across else near < i]
-        groups, at = np.unique(label[near], return_index=True)
-        for group, j in zip(groups.tolist(), near[at].tolist()):
-            if group != label[i]:
-                a.append(j)
-                b.append(i)
-                label[label == group] = label[i]
-    return a, b
-
-
-def _similar(docs: DataFrame, candidates: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """Edges (``a``, ``b``) that connect all similar pairs within the components of the candidates.
-
-    Similar are texts whose sets of word shingles have at least the Jaccard similarity.
-    Every pair of a component is compared, so that candidates which prove to be dissimilar
-    stand for no others. Components of many shingles are split into chunks, every two of
-    which meet in one task.
-    """
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t.as_py(), words)], np.uint64))
-                     for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([x.tobytes() for x in found], pa.binary())], ["root", "node", "n", "parts"])
-
-    families = connected_components(candidates)
-    texts = docs.join(families, "node").groupBy("root", "node").agg(F.min(text).alias(text))
-    sets = written(texts.mapInArrow(parts, "root long, node long, n long, parts binary"), "shingle-sets")
-    large = sets.groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > FAMILY_CHUNK).select(
-        "root", F.ceil(F.col("n") / FAMILY_CHUNK).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = sets.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(
-        "root", "node", "parts", chunk.alias("own"), F.explode(_meetings(chunk)).alias("part")).select(
-        "root", "part.low", "part.high", "own", "node", "parts")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def edges() -> Iterator[pa.RecordBatch]:
-            own, nodes, found = zip(*held)
-            a, b = similar_links([np.frombuffer(x, np.uint64) for x in found], np.array(own), similarity)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            for root, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (root, low, high) != key:
-                    if len(held) > 1:
-                        yield from edges()
-                    key, held = (root, low, high), []
-                held.append(row)
-        if len(held) > 1:
-            yield from edges()
-
-    placed = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "own")
-    return placed.mapInArrow(link, "a long, b long").distinct()
-
+    prints, roots = _linked(docs, words, max_bits, id, text)
+    least = prints.groupBy("node").agg(F.min("id").alias("_id")).join(roots, "node")
+    smallest = least.groupBy("root").agg(F.min("_id").alias("component_id"))
+    found = prints.join(least.join(smallest, "root").select("node", "component_id"), "node")
+    return found.select(F.col("id").alias(id), F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
-def near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 8, lists: int = 160,
-    id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """``id``, body, component_id and is_first of every row: copies and near copies share the smallest id among them.
 
-    body is the text's XXH64 (of an empty text for null); is_first marks the row that has
-    the component's id, or, where one id has several texts, the smallest body among them.
-    Repeated rows are all marked.
+def component_firsts(docs: DataFrame, words: int = 4, max_bits: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id and body (the text's XXH64; of an empty text for null) of one row of each component of ``near_components``.
 
-    Near are texts whose sets of word shingles have a Jaccard similarity of ``similarity``
-    or more; it is computed from the sets. Candidates share two positional bytes of
-    their ``views`` fingerprints of distinct shingles in one of the ``lists``, and differ in at most
-    60 bits of the first three; with these defaults 0.998 of pairs of
-    similarity 0.8 (100 and 300 shingles; 3,000 pairs measured) are candidates.
-    Texts without words are near only to equal texts. Null ids, repeated rows and empty
-    tables as in ``near_components``.
+    It is the row with the smallest id (null ids last), of equal ids the one with the smallest body.
     """
-    spark_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    bodies = docs.select(F.col(id), spark_text.alias(text), F.xxhash64(spark_text).alias("node"))
-    ids = written(bodies.select(id, "node"), "copies")
-    firsts = bodies.groupBy("node").agg(F.min(text).alias(text))
-    prints = written(fingerprints(firsts, words, views, "node", text, distinct=True), "fingerprints")
-    worded = prints.filter(" or ".join(f"view{v} <> 0" for v in range(views)))
-    candidates = written(near_edges(worded, spread_lists(views, lists), 0, 60, min(3, views)), "candidates")
-    edges = written(_similar(bodies, candidates, words, similarity, text), "similar")
-    is_first = F.col(id).eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("first_node"))
-    return ids.join(_members(ids, edges, id), "node").select(
-        id, F.col("node").alias("body"), "component_id", is_first.alias("is_first"))
+    prints, roots = _linked(docs, words, max_bits, id, text)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "body")
+    least = prints.groupBy("node").agg(F.min(order).alias("first")).join(roots, "node")
+    return least.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.body")

@@ -57,27 +57,16 @@ def test_components_equal_brute_force(spark, odd, rows, monkeypatch):
 def test_tables(spark, odd, none):
     found = simhash.near_components(odd)
     assert found.columns == ["doc_id", "fingerprint", "component_id"] and found.count() == odd.count()
-    assert simhash.near_components(none).count() == 0 and simhash.near_copies(none).count() == 0
+    assert simhash.near_components(none).count() == 0 and simhash.component_firsts(none).count() == 0
 
 
-def test_near_copies_are_those_of_the_similarity(spark):
-    rng = random.Random(4)
-    texts = []
-    for i in range(40):
-        base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
-        texts.append(" ".join(base))
-        other = list(base)
-        for at in range(0, 10 * (i % 3), 10):  # 0, 1 or 2 replaced words of 150
-            other[at * 7 % 150] = "new"
-        texts.append(" ".join(other))
-        texts.append(" ".join(base[:75] + [f"u{rng.randrange(10**6)}" for _ in range(75)]))
-    texts += [None, "", "  "]
-    got = {r.doc_id: r for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i in range(0, 120, 3):
-        assert got[i].component_id == got[i + 1].component_id == i and got[i + 2].component_id == i + 2
-        assert got[i].is_first and not got[i + 1].is_first and got[i + 2].is_first
-    # Null and empty are one text; white space is another text without words.
-    assert [got[i].component_id for i in (120, 121, 122)] == [120, 120, 122]
+def test_one_row_of_each_component_is_first(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(5, base), (3, base), (3, base), (None, base), (7, None), (6, ""), (None, "a b c d e"), (None, "a b c d e"), (1, "other words altogether"), (1, "some thing else again")]
+    found = simhash.component_firsts(spark.createDataFrame(rows, "doc_id long, text string"))
+    bodies = {xxhash.xxh64_intdigest(t or "", 42): t or "" for _, t in rows}
+    got = sorted((str(r.id), bodies[r.body % (1 << 64)]) for r in found.collect())
+    assert got == sorted([("3", base), ("6", ""), ("None", "a b c d e"), ("1", "other words altogether"), ("1", "some thing else again")])
 
 
 def test_components_of_paths_stars_and_loops(spark):
@@ -91,50 +80,3 @@ def test_spanning_prefers_fewer_bits():
     a, b, bits = (np.array(x) for x in ([1, 1, 2, 5, 5], [2, 3, 3, 6, 6], [1, 4, 2, 3, 3]))
     kept = sorted(zip(*(x.tolist() for x in simhash.spanning(a, b, bits))))
     assert kept == [(1, 2, 1), (2, 3, 2), (5, 6, 3)]
-
-
-@pytest.mark.parametrize("chunk", [1 << 18, 300])
-def test_dissimilar_candidates_stand_for_no_others(spark, chunk, monkeypatch):
-    """Families of texts that share passages: false candidates of fewer bits than the true pairs."""
-    monkeypatch.setattr(simhash, "FAMILY_CHUNK", chunk)
-    rng = random.Random(5)
-    texts = []
-    for _ in range(4):
-        base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
-        for i in range(30):  # similarity 0.7 to the others, 0.88 to its twin
-            own = [f"u{rng.randrange(10**6)}" for _ in range(37)]
-            texts += [" ".join(base + own), " ".join(base + own[:25] + [f"t{rng.randrange(10**6)}" for _ in range(12)])]
-    sets = [set(simhash.shingles(t, 5)) for t in texts]
-    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
-    want = smallest(list(range(len(texts))), near)
-    assert len(set(want)) == 120
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert sum(got[i] != want[i] for i in got) == 0
-
-
-def test_similar_links_equal_brute_force():
-    rng = np.random.default_rng(6)
-    for own in (np.zeros(40, int), np.repeat([0, 1], 20)):
-        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
-        sets = [np.unique(np.concatenate([base[rng.permutation(60)[:55]], rng.integers(0, 1 << 63, i % 7).astype(np.uint64)])) for i in range(40)]
-        a, b = simhash.similar_links(sets, own, 0.8)
-        near = [[x is y or (own[i] != own[j] or not own.any()) and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
-                 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
-        linked = [[i == j or (i, j) in set(zip(a, b)) | set(zip(b, a)) for j in range(40)] for i in range(40)]
-        assert smallest(list(range(40)), linked) == smallest(list(range(40)), near) and all(near[i][j] for i, j in zip(a, b))
-
-
-def test_pairs_at_the_threshold_and_with_repeated_content_are_found(spark):
-    rng = random.Random(7)
-    pairs = []
-    for i in range(200):
-        base = [f"v{rng.randrange(10**9)}" for _ in range(104)]
-        own = 11 - i % 2  # of 100 shingles: similarity 0.802 or 0.818
-        pairs.append((base, base[:-own] + [f"u{rng.randrange(10**9)}" for _ in range(own)]))
-    for _ in range(40):
-        base = [f"v{rng.randrange(10**9)}" for _ in range(100)]
-        pairs.append((base, base[:50] * 10 + base[50:]))
-    texts = [" ".join(x) for pair in pairs for x in pair]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) >= 198
-    assert all(got[2 * i + 1] == 2 * i for i in range(200, 240))
