@@ -2,9 +2,11 @@
 
 A chunk ends where the gear hash of the last 16 bytes is the smallest within a window on
 both sides. Where it ends thus depends on nearby bytes only: an insertion moves the
-chunks around it and no others. Each chunk is kept in its first document (smallest id)
-and is a repeat elsewhere. Repeats are removed where enough of them follow each other,
-so that a short phrase that texts share by chance stays.
+chunks around it and no others. Each chunk is kept in its first document (smallest id),
+where it may stand more than once, and is a repeat elsewhere. Repeats are removed where
+the passage that they can stand for has over 50 words, so that a phrase that texts share
+by chance stays. A stretch of one repeated word holds the same lowest hash once a word;
+cuts there are whole words apart, so that its chunks are alike wherever it begins.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from shoplens.llm.words import SPACE, slices, text_bytes
 
 WINDOW = 16  # bytes on each side: chunks have at least 17 bytes, 34 on average
 LONGEST = 1024  # a chunk without a cut for so long is cut there
-MIN_RUN = 160  # bytes of repeats in a row that are removed
+MIN_WORDS = 51  # words of a passage that is removed
+AROUND = 75  # bytes of a passage on either side that need not lie in repeated chunks
+STEP = 64  # bytes between cuts where windows are equal, at least
 SHARD_BYTES = 64 << 20
 BLOCK_CHUNKS = 500_000
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, 256, np.uint32)
@@ -48,6 +52,22 @@ def _lowest(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def _spaced(places: np.ndarray, window: int) -> np.ndarray:
+    """The places, of those that see each other (equal values) the first, the last and some between."""
+    near = np.diff(places) <= window
+    if not near.any():
+        return places
+    kept = np.ones(len(places), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]])))
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        kept[begin + 1 : end] = False
+        while begin < end:
+            begin = int(np.searchsorted(places, places[begin] + STEP))
+            if begin < end:
+                kept[begin] = True
+    return places[kept]
+
+
 def chunk_ends(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """End of every chunk of one text's bytes; the last is the text's end."""
     if not len(data):
@@ -57,9 +77,8 @@ def chunk_ends(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     inner = np.arange(window, len(data) - window)
     if len(inner):
         lowest = _lowest(hashes, window)
-        # Of equal values the first one cuts.
-        left, right = lowest[: len(inner)], lowest[window + 1 : window + 1 + len(inner)]
-        inner = inner[(hashes[inner] < left) & (hashes[inner] <= right)] + 1
+        own, left, right = hashes[inner], lowest[: len(inner)], lowest[window + 1 : window + 1 + len(inner)]
+        inner = _spaced(inner[(own <= left) & (own <= right)], window) + 1
     ends = np.append(inner, len(data))
     gaps = np.diff(ends, prepend=0)
     if gaps.max() > LONGEST:
@@ -79,12 +98,14 @@ def _key(id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _first_of(digest: np.ndarray, id: np.ndarray, body: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each row, whether it is the first of its digest."""
-    order = np.lexsort([place, body, id, digest["b"], digest["a"]])
-    ranked = digest[order]
+def _in_first(digest: np.ndarray, id: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """For each row, whether it is of the first document (id, body) of its digest."""
+    order = np.lexsort([body, id, digest["b"], digest["a"]])
+    ranked, id, body = digest[order], id[order], body[order]
+    begins = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(order) else np.zeros(0, np.int64)
     first = np.empty(len(order), bool)
-    first[order] = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else False
+    first[order] = (id == id[at]) & (body == body[at])
     return first
 
 
@@ -93,10 +114,10 @@ _MARKS = "id long, body long, places binary"
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Chunks that are not the first of their digest: id, body (hash of the text), places (binary, 32-bit chunk numbers).
+    """Chunks that an earlier document holds: id, body (hash of the text), places (binary, 32-bit chunk numbers).
 
-    A document may have several rows. A task sends each digest once per block, as its
-    first place there; all later places in the block are repeats already. So a chunk
+    A document may have several rows. A task sends each digest once per block, with its
+    places in the first document there; places in others are repeats already. So a chunk
     that very many documents hold weighs no more than others in its digest's shard.
     """
     key, body = _key(id, text)
@@ -114,7 +135,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
             ids = np.repeat(np.array([x[0] for x in held], np.int64), counts)
             bodies = np.repeat(np.array([x[1] for x in held], np.int64), counts)
             place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
-            first = _first_of(digest, ids, bodies, place)
+            first = _in_first(digest, ids, bodies)
             shard = (digest["a"] % np.uint64(shards)).astype(np.int64)
             for number in range(shards):
                 rows = np.flatnonzero(first & (shard == number))
@@ -146,7 +167,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
             return np.frombuffer(b"".join(x[name] for x in rows if known == (not x["digests"])), kind)
 
         ids, bodies, place = (whole(*x, False) for x in _PLACED)
-        later = np.flatnonzero(~_first_of(whole("digests", _PAIR, False), ids, bodies, place))
+        later = np.flatnonzero(~_in_first(whole("digests", _PAIR, False), ids, bodies))
         found = [np.concatenate([x[later], whole(*y, True)]) for x, y in zip((ids, bodies, place), _PLACED)]
         return pa.Table.from_batches([_marked(*found)])
 
@@ -175,17 +196,18 @@ def _marked(ids: np.ndarray, bodies: np.ndarray, place: np.ndarray) -> pa.Record
 
 
 def dedup_substrings(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, min_run: int = MIN_RUN
+    docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS
 ) -> DataFrame:
     """All columns, ``text`` without repeated chunks, with n_chunks, n_repeats and removed_bytes.
 
     Columns of ``docs`` with these three names are replaced.
 
-    A run of repeats of at least ``min_run`` bytes is removed, between white space where
-    it has some and between characters otherwise. A run over a whole text leaves an empty
-    text. A chunk
+    A run of repeats is removed if it has, with 75 bytes on either side, at least ``min_words``
+    words (a passage begins and ends up to so far outside of chunks that are cut alike):
+    between white space where it has some and between characters otherwise. A run
+    over a whole text leaves an empty text. n_repeats counts the chunks of removed runs. A chunk
     stays in the document of the smallest id that holds it (null ids last, equal ids by
-    the text's hash, then the first place). A null text stays null and has no chunks.
+    the text's hash), wherever it stands there. A null text stays null and has no chunks.
     Rows of equal id and text are one document and get the same result. An empty table
     gives an empty result.
     """
@@ -201,7 +223,7 @@ def dedup_substrings(
             for few in slices(batch, 1):
                 texts, counts = [], []
                 for value, places in zip(few.column(1), few.column(2)):
-                    left, numbers = _cut(value.as_py(), places.as_py(), window, min_run)
+                    left, numbers = _cut(value.as_py(), places.as_py(), window, min_words)
                     texts.append(left)
                     counts.append(numbers)
                 yield pa.RecordBatch.from_arrays(
@@ -211,7 +233,7 @@ def dedup_substrings(
     return unpacked(done, docs, **{text: F.col("value"), **{n: F.col(n) for n in ("n_chunks", "n_repeats", "removed_bytes")}})
 
 
-def _cut(value: str | None, places: list[bytes] | None, window: int, min_run: int) -> tuple[str | None, tuple[int, int, int]]:
+def _cut(value: str | None, places: list[bytes] | None, window: int, min_words: int) -> tuple[str | None, tuple[int, int, int]]:
     data = np.frombuffer((value or "").encode(), np.uint8)
     ends = chunk_ends(data, window)
     if not places:
@@ -220,11 +242,15 @@ def _cut(value: str | None, places: list[bytes] | None, window: int, min_run: in
     repeated[np.concatenate([np.frombuffer(x, "<u4") for x in places]).astype(np.int64) + 1] = True
     steps = np.flatnonzero(repeated[1:] != repeated[:-1])
     borders = np.concatenate([[0], ends])
-    left, at = [], 0
+    left, at, removed = [], 0, 0
     starts = (data & 0xC0) != 0x80
-    for first, last in zip(borders[steps[::2]].tolist(), borders[steps[1::2]].tolist()):
-        if last - first < min_run:
+    space = np.concatenate([[True], SPACE[data]])
+    words = np.concatenate([[0], np.cumsum(space[:-1] & ~space[1:])])  # words that begin before each place
+    for a, b in zip(steps[::2].tolist(), steps[1::2].tolist()):
+        first, last = int(borders[a]), int(borders[b])
+        if words[min(last + AROUND, len(data))] - words[max(first - AROUND, 0)] < min_words:
             continue
+        removed += b - a
         # Whole words are removed; where there are none, whole characters.
         gaps = np.flatnonzero(SPACE[data[first:last]] if SPACE[data[first:last]].any() else starts[first:last])
         begin = first + int(gaps[0]) if first else 0
@@ -233,4 +259,4 @@ def _cut(value: str | None, places: list[bytes] | None, window: int, min_run: in
         at = max(begin, end)
     left.append(data[at:].tobytes())
     kept = b"".join(left)
-    return kept.decode(), (len(ends), int(repeated.sum()), len(data) - len(kept))
+    return kept.decode(), (len(ends), removed, len(data) - len(kept))

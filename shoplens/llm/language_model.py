@@ -202,7 +202,8 @@ def _merge(blocks: DataFrame, level: int, folder: Path, name: str, placing: Plac
             _save(folder / f"{name}-{shard}-stats.npy", _narrow(stats[~heavy]))
             if heavy.any():
                 rows.append((shard, "heavy", np.column_stack([context[first], stats])[heavy].tobytes()))
-            _, shorter, ones = summed(columns[1:])
+            # What begins a text has no word on its left to be counted by.
+            _, shorter, ones = summed(columns[1:], np.where(columns[1] == BEGIN, counts, 1).astype(counts.dtype))
             rows += [(s, "grams", data) for s, data in _packed(shorter, ones, placing)]
         return pa.Table.from_batches([_batch(rows)])
 
@@ -216,15 +217,17 @@ def _sums(rows: DataFrame) -> list[int]:
 
 
 def _discounts(sums: list[int]) -> list[float]:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more; tables too small to tell get half of their count."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more.
+
+    Where one would not lie strictly between 0 and its count, as in tables too small or full
+    of copies, all are half of their count: every context then leaves something to unseen words.
+    """
     n1, n2, n3, n4 = sums[2:]
-    out = [0.0, 0.5, 1.0, 1.5]
-    if n1 and n2:
+    out = [0.0]
+    if n1 and n2 and n3:
         y = n1 / (n1 + 2 * n2)
-        for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
-            if a and b:
-                out[i] = min(max(i - (i + 1) * y * b / a, 0.0), float(i))
-    return out
+        out += [i - (i + 1) * y * b / a for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+    return out if len(out) == 4 and all(0 < d < i for i, d in enumerate(out[1:], 1)) else [0.0, 0.5, 1.0, 1.5]
 
 
 def train(texts: DataFrame, text: str, folder: str, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> None:

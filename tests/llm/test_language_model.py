@@ -94,6 +94,54 @@ def test_probabilities_of_all_words_sum_to_one(spark, order):
         assert lm.Model(folder).probabilities([*before, words]).sum() == pytest.approx(1)
 
 
+class PlainOrder:
+    """Modified Kneser-Ney of any order over the same discounts, counted in dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.levels = {order: Counter()}
+        for text in texts:
+            line = [*[None] * (order - 1), *tokens(text)[1:]]
+            self.levels[order].update(tuple(line[i : i + order]) for i in range(len(line) - order + 1))
+        self.words = {gram[-1] for gram in self.levels[order]}
+        for n in range(order - 1, 0, -1):
+            self.levels[n] = Counter()
+            for gram, count in self.levels[n + 1].items():
+                # What begins a text keeps its count: nothing stands on its left.
+                self.levels[n][gram[1:]] += count if gram[1] is None else 1
+        self.discounts = {n: Plain.discounts(c) for n, c in self.levels.items()}
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / (len(self.words) + 1)
+        after = {g: c for g, c in self.levels[len(gram)].items() if g[:-1] == gram[:-1]}
+        lower, d = self.probability(gram[1:]), self.discounts[len(gram)]
+        if not after:
+            return lower
+        count, total = after.get(gram, 0), sum(after.values())
+        return (count - d[min(count, 3)] + sum(d[min(c, 3)] for c in after.values()) * lower) / total
+
+    def score(self, text):
+        line = [*[None] * (self.order - 1), *tokens(text)[1:]]
+        return sum(math.log10(self.probability(tuple(line[i : i + self.order]))) for i in range(len(line) - self.order + 1))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("copies", [1, 3, 4])
+def test_scores_of_higher_orders_and_of_copied_texts(spark, order, copies):
+    rng = np.random.default_rng(order)
+    words = [f"w{i}" for i in range(30)]
+    learnt = [" ".join(words[min(29, int(rng.geometric(0.1)))] for _ in range(rng.integers(1, 15))) for _ in range(40)]
+    learnt = learnt * copies + [" ".join(rng.choice(words, 8)) for _ in range(20 if copies > 1 else 0)]
+    folder = new_folder(spark, "model")
+    lm.train(spark.createDataFrame([(t,) for t in learnt], "text string"), "text", folder, order, 300)
+    plain = PlainOrder(learnt, order)
+    other = [" ".join(rng.choice([*words, "new"], 10)) for _ in range(40)] + learnt[:5] + [""]
+    docs = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    for r in lm.score(docs, folder).collect():
+        assert math.isfinite(r.score) and r.score == pytest.approx(plain.score(other[r.doc_id]), abs=1e-9)
+
+
 def test_odd_rows(spark, odd, none):
     found = lm.score_held_out(odd).collect()
     assert len(found) == odd.count() and all(r.n_tokens >= 1 and math.isfinite(r.score) for r in found)

@@ -1,11 +1,13 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shoplens.llm import chunking, language_id, licences
-from shoplens.llm.decontamination import best_overlap, find_overlaps, longest_overlap
+from shoplens.llm.decontamination import MASKS, find_overlaps, longest_overlap, patterns
 
 
 def words(rng, n, letters="abcdefghij"):
@@ -25,7 +27,7 @@ def test_cuts_are_local_minima_and_survive_insertions():
     rng = random.Random(1)
     data = np.frombuffer(words(rng, 900).encode(), np.uint8)
     hashes, w = chunking.gear_hashes(data), chunking.WINDOW
-    want = [i + 1 for i in range(w, len(data) - w) if hashes[i] < hashes[i - w : i].min() and hashes[i] <= hashes[i + 1 : i + w + 1].min()]
+    want = [i + 1 for i in range(w, len(data) - w) if hashes[i] < hashes[i - w : i].min() and hashes[i] < hashes[i + 1 : i + w + 1].min()]
     assert chunking.chunk_ends(data).tolist() == [*want, len(data)]
 
     def chunks(x):
@@ -44,17 +46,18 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     shared = [words(rng, 70) for _ in range(5)]
     texts = [" ".join([words(rng, 40), shared[i % 5], words(rng, 40)]) if i % 2 else words(rng, 90) for i in range(60)] + [shared[0], None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy("text")
+    places = {r.id: r.places for r in chunking.repeats(docs).groupBy("id").agg(F.flatten(F.collect_list(F.array("places"))).alias("places")).collect()}
     got = {r.doc_id: r for r in chunking.dedup_substrings(docs).collect()}
-    seen = set()
+    seen = {}
     for i, text in enumerate(texts):
         data = np.frombuffer((text or "").encode(), np.uint8)
         ends = chunking.chunk_ends(data)
         own = [data[a:b].tobytes() for a, b in zip([0, *ends], ends)]
-        later = 0
-        for x in own:
-            later += x in seen
-            seen.add(x)
-        assert (got[i].n_chunks, got[i].n_repeats) == (len(own), later)
+        later = []
+        for n, x in enumerate(own):
+            later += [n] if seen.setdefault(x, i) != i else []
+        assert sorted(np.frombuffer(b"".join(places.get(i, [])), "<u4").tolist()) == later
+        assert got[i].n_chunks == len(own) and (got[i].n_repeats > 0) == (got[i].removed_bytes > 0) and got[i].n_repeats <= len(later)
     # The first of each shared passage stays, later ones go, other texts are left alone.
     for i, text in enumerate(texts[:60]):
         if i % 2 == 0 or i < 10:
@@ -65,6 +68,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert got[60].removed_bytes > 250 and got[61].text is None and got[62].text == ""
 
 
+@pytest.mark.parametrize("longest, least", [(1, 0.85), (2, 0.97), (4, 0.99), (6, 0.99), (9, 0.99), (14, 0.99)])
+def test_passages_of_over_fifty_words_go(spark, longest, least):
+    rng = random.Random(longest)
+
+    def some(n, low=2, high=9):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(low, high))) for _ in range(n))
+
+    rows, phrases = [], []
+    for i in range(150):
+        passage, phrase = some(51, 1, longest + 1), some(25)
+        rows += [(4 * i + j, f"{some(60)} {passage} {some(60)}") for j in (0, 1)]
+        rows += [(4 * i + j, f"{some(60)} {phrase} {some(60)}") for j in (2, 3)]
+    got = {r.doc_id: r.n_repeats > 0 for r in chunking.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[4 * i + 1] for i in range(150)) >= 150 * least
+    assert not any(got[4 * i + j] for i in range(150) for j in (0, 2, 3))
+
+
+def test_a_repeated_word_goes_like_any_passage(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{words(rng, 60 + i)} {f'word{i // 2} ' * 80}{words(rng, 60)}") for i in range(100)]
+    got = {r.doc_id: r.removed_bytes for r in chunking.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] > 300 for i in range(1, 100, 2)) and not any(got[i] for i in range(0, 100, 2))
+
+
 def test_chunks_of_odd_rows(odd, none):
     got = chunking.dedup_substrings(odd).collect()
     assert len(got) == odd.count()
@@ -104,10 +131,24 @@ def test_exact_passages_equal_brute_force(spark):
     assert exact <= got and all(i == n % 6 for n, i in got)
 
 
-def test_best_overlap():
-    same = np.array([1, 0, 0, 0, 1, 1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
-    assert best_overlap(same) == (4, 11)
-    assert best_overlap(np.zeros(3, bool))[0] == best_overlap(np.zeros(3, bool))[1]
+@pytest.mark.parametrize("n, least", [(9, 0.85), (10, 0.99), (11, 0.99), (12, 0.99), (13, 0.99), (15, 0.99), (16, 0.99), (20, 0.99)])
+def test_share_of_overlaps_that_the_masks_hit(n, least):
+    """Over all ways to replace a quarter of an overlap's words, the first and the last being equal."""
+    shapes, hit, total = patterns([]), 0, 0
+    for changed in combinations(range(1, n - 1), n // 4):
+        gone = set(changed)
+        hit += any(not gone & {at + x for x in shape} for shape in shapes for at in range(n - shape[-1]))
+        total += 1
+    assert len(shapes) == len(MASKS) and hit / total >= least
+
+
+def test_an_overlap_ends_where_it_ends(spark):
+    rng = random.Random(10)
+    item = words(rng, 400).split()
+    passage = [w if i < 20 or i % 4 else f"zz{i}" for i, w in enumerate(item)]  # seeds hit its beginning only
+    docs = spark.createDataFrame([(1, " ".join([words(rng, 50), *passage, words(rng, 50)]))], "doc_id long, text string")
+    (row,) = find_overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert (row.first_word, row.n_words, row.n_matches) == (50, 400, 305)
 
 
 def test_longest_overlap_equals_brute_force():

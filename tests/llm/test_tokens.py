@@ -73,6 +73,10 @@ def test_repetition_is_small_and_damage_is_noticed():
     assert len(block) < 4000
     with pytest.raises(ValueError):
         token_files.read_block(block[:-1] + bytes([block[-1] ^ 1]))
+    for at in range(token_files._HEADER.size):
+        for bit in range(8):
+            with pytest.raises(ValueError):
+                token_files.read_block(block[:at] + bytes([block[at] ^ 1 << bit]) + block[at + 1 :])
     with pytest.raises(ValueError):
         token_files.write_block([1], [np.array([token_files.MAX_ALPHABET], np.uint32)])
 
