@@ -17,7 +17,7 @@ from shoplens.llm.chunking import dedup_substrings
 from shoplens.llm.decontamination import find_overlaps
 from shoplens.llm.language_id import UNKNOWN, fit, predict, training_rows
 from shoplens.llm.queries import word_bpe
-from shoplens.llm.simhash import near_copies
+from shoplens.llm.simhash import component_firsts
 from shoplens.llm.store import packed, unpacked, written
 
 
@@ -32,16 +32,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language that is recognised without doubt; a null text has none."""
     codes = fit(docs.filter(training_rows(F.col("doc_id"))))
-    found = predict(packed(docs, text=F.col("text")), codes)
-    return unpacked(found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("lang_ambiguous")), docs)
+    prefix = max(docs.columns, key=len) + "_"  # no column of docs begins with it
+    found = predict(docs, codes, prefix=prefix)
+    return found.filter((F.col(f"{prefix}pred") != UNKNOWN) & ~F.col(f"{prefix}ambiguous")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies, the row with the smallest id (null ids last).
+    """Of each group of fingerprints linked at 4 or fewer differing bits (4-word shingles), the row with the smallest id (null ids last).
 
     Rows of equal id and text are one document, of which one row stays.
     """
-    kept = near_copies(docs).filter("is_first").select(F.col("doc_id").alias("_id"), F.col("body").alias("_kept")).distinct()
+    kept = component_firsts(docs, words=4, max_bits=4).select(F.col("id").alias("_id"), F.col("body").alias("_kept"))
     rows = packed(docs, doc_id=F.col("doc_id"), body=body())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_kept"))
     return unpacked(rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "body"]), docs)
