@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shoplens.functions.grams import contained
 from shoplens.functions.text import (
     NEGATIVE,
     NEUTRAL,
@@ -23,24 +25,25 @@ UNCLASSIFIED = "unclassified"
 
 Taxonomy = Sequence[tuple[str, Sequence[str]]]
 Lexicon = Sequence[tuple[str, int]]
+HITS = "array<struct<word:string,score:bigint>>"
 
 
 # -- categories ----------------------------------------------------------------------
 
 
-def _contains_any(text: Column, words: list[str]) -> Column:
-    """Generated code for the usual lists; a loop over an array for long ones."""
-    if len(words) > 200:
-        return F.exists(F.lit(words), lambda w: F.contains(text, w))
-    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
-
-
 def category_of(text: Column, taxonomy: Taxonomy) -> Column:
     """First category, in the given order, with any keyword contained in the text."""
-    result = F.when(is_blank(text), UNCLASSIFIED)
-    for category, keywords in taxonomy:
-        result = result.when(_contains_any(text, list(keywords)), category)
-    return result.otherwise(UNCLASSIFIED)
+    first: dict[str, int] = {}
+    for number, (_, keywords) in enumerate(taxonomy):
+        for word in keywords:
+            first.setdefault(word, number)
+    # Keywords in the order of their categories: the least place found is one of the first category.
+    ends = list(accumulate(Counter(first.values())[n] for n in range(len(taxonomy))))
+    least = F.get(contained(text, list(first)), 0) if first else F.lit(None).cast("int")
+    result = F.when(is_blank(text) | least.isNull(), UNCLASSIFIED)
+    for (category, _), end in zip(taxonomy, ends):
+        result = result.when(least < end, category)
+    return result
 
 
 def classify(df: DataFrame, text: str, taxonomy: Taxonomy) -> DataFrame:
@@ -81,12 +84,14 @@ def lexicon_hits(text: Column, lexicon: Lexicon) -> Column:
     Longest word first, then lexicon order. Each word counts once, and a word inside
     a longer one counts as well.
     """
-    words = list(dict(lexicon).items())
-    words.sort(key=lambda ws: -len(ws[0]))
-    entries = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(int(s)).cast("long").alias("score")) for w, s in words])
-    return F.when(
-        is_blank(text), F.array().cast("array<struct<word:string,score:bigint>>")
-    ).otherwise(F.filter(entries, lambda e: F.contains(text, e["word"])))
+    words = sorted(dict(lexicon).items(), key=lambda ws: -len(ws[0]))
+    if not words:
+        return F.array().cast(HITS)
+    listed = F.split(F.lit("\x00".join(w for w, _ in words)), "\x00")
+    scores = F.split(F.lit(",".join(str(int(s)) for _, s in words)), ",").cast("array<bigint>")
+    places = contained(text, [w for w, _ in words])
+    hits = F.transform(places, lambda i: F.struct(F.get(listed, i).alias("word"), F.get(scores, i).alias("score")))
+    return F.when(is_blank(text), F.array().cast(HITS)).otherwise(hits)
 
 
 def score_sentiment(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
@@ -119,7 +124,9 @@ def sentiment_distribution(df: DataFrame) -> DataFrame:
 
 def _word_counts(df: DataFrame) -> DataFrame:
     """``(word, score, n)``: documents per matched word; combined before the shuffle."""
-    return df.select(F.inline("hits")).groupBy("word", "score").agg(F.count("*").alias("n"))
+    # inline would let the optimizer infer that hits must not be empty, and test that at the scan: matching twice.
+    found = df.select(F.inline_outer("hits")).where("word IS NOT NULL")
+    return found.groupBy("word", "score").agg(F.count("*").alias("n"))
 
 
 def _polarity() -> Column:
