@@ -42,13 +42,16 @@ def _with_month_name(c: Column, pattern: str, day: int, month: int) -> Column:
 
 
 def _string_to_ts(text: Column) -> Column:
-    c = _in_24_hours(text)
-    result = F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz"))
-    for pattern, iso in _REORDERED:
-        result = result.when(c.rlike(pattern), F.regexp_replace(c, pattern, iso).try_cast("timestamp_ntz"))
-    for pattern, day, month in ((_DAY_MONTH, 1, 2), (_MONTH_DAY, 2, 1)):
-        result = result.when(c.rlike(pattern), _with_month_name(c, pattern, day, month).try_cast("timestamp_ntz"))
-    return result
+    def read(c: Column) -> Column:
+        result = F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz"))
+        for pattern, iso in _REORDERED:
+            result = result.when(c.rlike(pattern), F.regexp_replace(c, pattern, iso).try_cast("timestamp_ntz"))
+        for pattern, day, month in ((_DAY_MONTH, 1, 2), (_MONTH_DAY, 2, 1)):
+            result = result.when(c.rlike(pattern), _with_month_name(c, pattern, day, month).try_cast("timestamp_ntz"))
+        return result
+
+    # An array of one element names the text with its 24-hour time; written out in every branch it is too much code to compile.
+    return F.element_at(F.transform(F.array(_in_24_hours(text)), read), 1)
 
 
 def to_ts(df: DataFrame, name: str) -> Column:

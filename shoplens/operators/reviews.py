@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens.functions.grams import contained
+from shoplens.functions.grams import FEW, contained
 from shoplens.functions.text import (
     NEGATIVE,
     NEUTRAL,
@@ -37,9 +38,15 @@ def category_of(text: Column, taxonomy: Taxonomy) -> Column:
     for number, (_, keywords) in enumerate(taxonomy):
         for word in keywords:
             first.setdefault(word, number)
+    if len(first) <= FEW:
+        # Generated code, which stops at the first category that fits.
+        result = F.when(is_blank(text), UNCLASSIFIED)
+        for category, keywords in taxonomy:
+            result = result.when(reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in keywords], F.lit(False)), category)
+        return result.otherwise(UNCLASSIFIED)
     # Keywords in the order of their categories: the least place found is one of the first category.
     ends = list(accumulate(Counter(first.values())[n] for n in range(len(taxonomy))))
-    least = F.get(contained(text, list(first)), 0) if first else F.lit(None).cast("int")
+    least = F.get(contained(text, list(first)), 0)
     result = F.when(is_blank(text) | least.isNull(), UNCLASSIFIED)
     for (category, _), end in zip(taxonomy, ends):
         result = result.when(least < end, category)
