@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,16 +138,57 @@ def _column_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def _typed(df: DataFrame, counted: Sequence[str]) -> DataFrame:
-    """Counts plus distinct values of the ``counted`` columns plus the role."""
-    stats = _column_counts(df)
-    if counted:
-        distinct = value_counts(df, counted).groupBy("column").agg(F.count("*").alias("n_unique"))
-        # One row per column on both sides.
-        stats = stats.join(F.broadcast(distinct), "column", "left")
-    else:
-        stats = stats.withColumn("n_unique", F.lit(0).cast("long"))
-    stats = stats.withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """``_column_counts`` with the exact ``n_unique`` of every column."""
+    distinct = value_counts(df, df.columns).groupBy("column").agg(F.count("*").alias("n_unique"))
+    # One row per column on both sides.
+    return _column_counts(df).join(F.broadcast(distinct), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
+
+
+def _open_counts(df: DataFrame, limit: int = HIGH_CARDINALITY_MAX + 1) -> DataFrame:
+    """``_column_counts`` with ``n_unique`` up to ``limit`` of the columns whose type leaves the role open, 0 for others.
+
+    One scan: each task keeps a set of at most ``limit`` values a column, and sends these
+    and its counts; what is shuffled grows with columns and tasks, not with rows.
+    """
+    clean, cells, sets = nan_to_null(df), [], []
+    for i, field in enumerate(df.schema):
+        is_open = not is_numeric(field.dataType) and not is_datetime(field.dataType)
+        sets.append(is_open)
+        cells.append((distinct_key(df, field.name) if is_open else F.when(quoted(field.name).isNotNull(), F.lit(""))).alias(f"k{i}"))
+        dates = to_ts(df, field.name).isNotNull() if isinstance(field.dataType, T.StringType) else F.lit(False)
+        cells.append(dates.alias(f"d{i}"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, valid, dates, found = 0, [0] * len(sets), [0] * len(sets), [set() for _ in sets]
+        for batch in batches:
+            rows += batch.num_rows
+            for i, is_open in enumerate(sets):
+                keys = batch.column(2 * i)
+                valid[i] += len(keys) - keys.null_count
+                dates[i] += pc.sum(batch.column(2 * i + 1)).as_py() or 0
+                if is_open and len(found[i]) < limit:
+                    found[i].update(pc.unique(keys.drop_null()).slice(0, 2 * limit).to_pylist())
+        out = [(i, None, rows, valid[i], dates[i]) for i in range(len(sets))]
+        out += [(i, value, 0, 0, 0) for i, own in enumerate(found) for value in sorted(own)[:limit]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), kind) for c, kind in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+            ["place", "value", "n_rows", "n_valid", "n_dates"])
+
+    sent = clean.select(*cells).mapInArrow(count, "place int, value string, n_rows long, n_valid long, n_dates long")
+    counts = ("n_rows", "n_valid", "n_dates")
+    values = sent.groupBy("place", "value").agg(*[F.sum(c).alias(c) for c in counts])
+    totals = values.groupBy("place").agg(
+        *[F.sum(c).alias(c) for c in counts], F.least(F.count("value"), F.lit(limit)).alias("n_unique"))
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "place int, column string, dtype string")
+    numbers = (*counts, "n_unique")
+    return names.join(F.broadcast(totals), "place", "left").select(
+        "column", "dtype", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers])
+
+
+def _typed(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Counts and distinct values plus the role."""
     numeric = [f.name for f in df.schema if is_numeric(f.dataType)]
     datetime = [f.name for f in df.schema if is_datetime(f.dataType)]
     role = (
@@ -160,8 +203,8 @@ def _typed(df: DataFrame, counted: Sequence[str]) -> DataFrame:
 
 
 def open_types(df: DataFrame) -> DataFrame:
-    """Counts and roles; distinct values are counted only where the type does not decide."""
-    return _typed(df, [f.name for f in df.schema if not is_numeric(f.dataType) and not is_datetime(f.dataType)])
+    """Counts and roles; distinct values are counted only where the type does not decide, up to 101."""
+    return _typed(df, _open_counts(df))
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -175,7 +218,7 @@ PROFILE_SCHEMA = "column string, dtype string, role string, n_null bigint, null_
 def profile(df: DataFrame) -> DataFrame:
     """``(column, dtype, role, n_null, null_pct, n_unique)``."""
     missing = F.col("n_rows") - F.col("n_valid")
-    return _typed(df, df.columns).select(
+    return _typed(df, _distinct_counts(df)).select(
         "column",
         "dtype",
         "role",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +18,7 @@ from shoplens.operators.columns import (
     roles_by_column,
     unstack,
 )
+from shoplens.operators.moments import correlations
 from shoplens.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -54,6 +54,15 @@ def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes (``low``, ``high``) of a row's cells, each marked as NULL or preceded by its length."""
+    cells = []
+    for name in df.columns:
+        key = distinct_key(df, name)
+        cells.append(F.coalesce(F.concat(F.length(key).cast("string"), F.lit(":"), key), F.lit("-")))
+    return [F.xxhash64(F.lit(""), *cells).alias("low"), F.xxhash64(F.lit("high"), *cells).alias("high")]
+
+
 def overview(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
     """One row: size, missing cells, repeated rows, number of columns per role.
 
@@ -69,11 +78,9 @@ def overview(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame
         role_counts = F.struct(*[F.lit(n).cast("long").alias(name) for name, n in counts.items()])
     clean = nan_to_null(df)
     nulls = sum((F.when(quoted(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
-    # Rows are compared by short keys; equal keys are combined before the shuffle.
-    keys = clean.select(*[distinct_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)], nulls.alias("nulls"))
-    per_row = keys.groupBy(*[f"k{i}" for i in range(len(df.columns))]).agg(
-        F.count("*").alias("n"), F.sum("nulls").alias("nulls")
-    )
+    # Rows are compared by a digest of 128 bits, however many columns they have; equal ones are combined before the shuffle.
+    keys = clean.select(*row_digest(df), nulls.alias("nulls"))
+    per_row = keys.groupBy("low", "high").agg(F.count("*").alias("n"), F.sum("nulls").alias("nulls"))
     totals = per_row.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("n_missing"),
@@ -214,17 +221,8 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         return _rows(df, [], "x string, y string, r double")
-    pairs = list(combinations_with_replacement(columns, 2))
-    cells = [c for x, y in pairs for c in (F.lit(x), F.lit(y), _number(x), _number(y))]
-    long = nan_to_null(df).select(F.stack(F.lit(len(pairs)), *cells).alias("x", "y", "a", "b"))
-    both = long.where("a IS NOT NULL AND b IS NOT NULL")
-    # One row per pair; constant columns have no correlation.
-    spread = F.stddev_pop("a") * F.stddev_pop("b")
-    found = both.groupBy("x", "y").agg(F.round(F.try_divide(F.covar_pop("a", "b"), spread), 4).alias("r"))
-    names = _rows(df, pairs, "x string, y string").join(F.broadcast(found), ["x", "y"], "left")
-    return names.unionByName(
-        names.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    )
+    found = correlations(nan_to_null(df), columns, [_number(c) for c in columns])
+    return found.withColumn("r", F.round("r", 4))
 
 
 def iqr_fences(known: Quartiles) -> dict[str, tuple[float, float, float, float]]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,14 +15,30 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def save_results(results: Mapping[str, DataFrame], root: str, job_id: str) -> DataFrame:
-    """Write every table under ``root/job_id/name``; returns ``(job_id, name, n_rows, path)``."""
-    rows, spark = [], None
-    for name, df in results.items():
-        spark, path = df.sparkSession, f"{root}/{job_id}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((job_id, name, spark.read.parquet(path).count(), path))
-    if spark is None:
+    """Write every table under ``root/job_id/name``; returns ``(job_id, name, n_rows, path)``.
+
+    Rows are counted while they are written. Tables are first written beside the job's
+    folder; only when all are there do they take the place of an earlier run's, whose
+    manifest goes first. The manifest is written last: without it the tables are not whole.
+    """
+    if not results:
         raise ValueError("no results to save")
+    job, rows, spark = f"{root}/{job_id}", [], next(iter(results.values())).sparkSession
+    staged = f"{job}/_staged-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(job).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        for name, df in results.items():
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.parquet(f"{staged}/{name}")
+            rows.append((job_id, name, seen.get["n_rows"], f"{job}/{name}"))
+        files.delete(path(f"{job}/_manifest"), True)
+        for name in results:
+            files.delete(path(f"{job}/{name}"), True)
+            if not files.rename(path(f"{staged}/{name}"), path(f"{job}/{name}")):
+                raise OSError(f"{job}/{name}: could not be put in place")
+    finally:
+        files.delete(path(staged), True)
     manifest = spark.createDataFrame(rows, "job_id string, name string, n_rows long, path string")
-    manifest.write.mode("overwrite").parquet(f"{root}/{job_id}/_manifest")
+    manifest.write.parquet(f"{job}/_manifest")
     return manifest

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoplens.functions.text import strip_html
-from shoplens.operators import eda
+from shoplens.operators import eda, moments
 from shoplens.operators.columns import column_types, detect_text_column, profile, text_column_stats
 from shoplens.plans.reports import analyze_table
 
@@ -118,3 +120,56 @@ def test_report(spark):
     tables = analyze_table(df, "id")
     assert {"overview", "profile", "describe", "histogram", "outliers", "correlation", "daily_counts"} <= set(tables)
     assert tables["daily_counts"].count() == 20
+
+
+def test_correlation_equals_brute_force_with_missing_values(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 6)) * [1, 1e-3, 1e6, 1, 1, 1] + [0, 5, 1e9, 0, 0, 0]
+    values[:, 3] = values[:, 0] * 2 + rng.normal(size=400) * 0.1
+    values[:, 4] = 0.1  # constant
+    values[:, 5] = np.nan
+    values[:1, 5] = 3
+    values[rng.random(values.shape) < 0.2] = np.nan
+    names = list("abcdef")
+    rows = [tuple(None if i % 2 and x != x else float(x) for x in row) for i, row in enumerate(values)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    got = {(r.x, r.y): r.r for r in eda.correlation(df).collect()}
+    assert len(got) == 36
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            a, b = values[:, i], values[:, j]
+            both = ~np.isnan(a) & ~np.isnan(b)
+            flat = both.sum() < 2 or np.ptp(a[both]) == 0 or np.ptp(b[both]) == 0
+            assert got[x, y] is None if flat else got[x, y] == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-4)
+
+
+def test_moments_merge_in_any_order():
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(90, 4)) + 1e6
+    present = rng.random((90, 4)) < 0.7
+    whole = moments.batch_moments(values, present)
+    parts = [moments.batch_moments(values[a:b], present[a:b]) for a, b in ((0, 1), (1, 30), (30, 30), (30, 90))]
+    for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)):
+        total = np.zeros((4, 4, 4))
+        for i in order:
+            total = moments.merged_moments(total, parts[i])
+        assert np.allclose(total, whole, rtol=1e-9, atol=1e-6)
+
+
+def test_hundred_columns_add_no_rows(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) % 7).alias(f"c{i}") for i in range(100)])
+    found = eda.correlation(df)
+    assert found.count() == 10_000 and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("distinct, role", [(20, "categorical"), (21, "high_cardinality"), (100, "high_cardinality"), (101, "text"), (5000, "text")])
+def test_roles_at_the_limits_over_many_tasks(spark, distinct, role):
+    df = spark.range(0, 20_000, 1, 16).select(F.concat(F.lit("v"), F.col("id") % distinct).alias("v"), F.lit(None).cast("string").alias("none"))
+    assert [tuple(r) for r in column_types(df).collect()] == [("v", "string", role), ("none", "string", "categorical")]
+    assert [r.role for r in column_types(df.limit(0)).collect()] == ["categorical", "categorical"]
+
+
+def test_rows_differ_where_their_cells_do(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", "a"), ("", "a"), ("1:a", ""), ("1", ":a"), ("a", "a")], "x string, y string")
+    assert eda.overview(df).first().n_duplicates == 1
+    assert df.select(*eda.row_digest(df)).distinct().count() == 6

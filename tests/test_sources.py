@@ -1,6 +1,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from shoplens.sources.office import read_office_lines, read_xlsx
 from shoplens.sources.readers import read_any, read_lexicon, read_lines, read_table, read_words
@@ -134,3 +135,18 @@ def test_result_store(spark, tmp_path, rows):
     assert spark.read.parquet(f"{tmp_path}/job1/_manifest").count() == 2
     with pytest.raises(ValueError):
         save_results({}, str(tmp_path), "job2")
+
+
+def test_result_store_commits_whole_runs(spark, tmp_path, rows):
+    save_results({"a": spark.range(3)}, str(tmp_path), "job")
+    broken = spark.range(2).select(F.raise_error(F.lit("stopped")).alias("x"))
+    with pytest.raises(Exception, match="stopped"):
+        save_results({"a": spark.range(5), "b": broken}, str(tmp_path), "job")
+    # The run that was stopped has replaced nothing.
+    assert spark.read.parquet(f"{tmp_path}/job/a").count() == 3 and spark.read.parquet(f"{tmp_path}/job/_manifest").count() == 1
+    with pytest.raises(Exception, match="stopped"):
+        save_results({"a": spark.range(5), "b": broken}, str(tmp_path), "new")
+    assert not (tmp_path / "new" / "_manifest").exists()
+    assert rows(save_results({"a": spark.range(7)}, str(tmp_path), "job"), "n_rows") == [(7,)]
+    assert spark.read.parquet(f"{tmp_path}/job/a").count() == 7
+    assert sorted(p.name for p in (tmp_path / "job").iterdir()) == ["_manifest", "a"]
