@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks.parameters import EXTRA_STOPWORDS, LEXICON, TAXONOMY, TOKEN_LEXICON, TURNS
+from checks.parameters import CHINESE, EXTRA_STOPWORDS, JAPANESE, LATIN, LEXICON, TAXONOMY, TOKEN_LEXICON, TURNS
 from shoplens.functions.text import BLANK
-from shoplens.functions.words import ENGLISH_STOPWORDS
+from shoplens.functions.words import ENGLISH_STOPWORDS, NOUN_TAGS
 
 ORACLES: dict[str, str] = {}
 
@@ -489,3 +489,37 @@ ORACLES["last_turns"] = f"WITH {TURN_ROWS} SELECT conv_id, turn, role, text, bac
 ORACLES["conversation_context"] = f"""WITH {TURN_ROWS},
 lines AS (SELECT conv_id, back, concat(role, ': ', {plain('text')}) AS line FROM kept)
 SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY back DESC) AS context FROM lines GROUP BY conv_id"""
+
+ORACLES["page_context"] = f"""WITH parts AS (
+    SELECT page_id, 1 AS place, {plain('html')} AS line FROM pages
+    UNION ALL SELECT page_id, 2, 'Source: ' || {plain('url')} FROM pages WHERE {plain('url')} <> ''
+    UNION ALL SELECT page_id, 3, 'page note' FROM pages WHERE page_id % 3 <> 0)
+SELECT page_id, string_agg(line, chr(10) || chr(10) ORDER BY place) FILTER (trim(line) <> '') AS context FROM parts GROUP BY page_id"""
+
+# -- tokens of other kinds -----------------------------------------------------------
+
+LISTED = "SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM lists"
+ORACLES["tokenize_lemmas"] = f"""WITH lists AS (
+    SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda t:
+        CASE WHEN t LIKE '%ing' AND length(t) BETWEEN 6 AND 8 THEN left(t, length(t) - 3) ELSE t END), lambda t: t NOT IN ({STOP})) AS tokens
+    FROM documents) {LISTED}"""
+
+
+def script_tokens(letters: str, run: str) -> str:
+    return f"""WITH lists AS (
+    SELECT doc_id, list_filter(regexp_extract_all(translate(lower(text), '{LATIN}', '{letters}'), '{run}'), lambda t: t <> '{letters[:2]}') AS tokens
+    FROM documents) {LISTED}"""
+
+
+ORACLES["tokenize_zh"] = script_tokens(CHINESE, r"[\x{4e00}-\x{9fff}]{2,}")
+ORACLES["tokenize_ja"] = script_tokens(JAPANESE, r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}]{2,}")
+NOUN_LETTER = "right(t, 1) IN ('n', 't')"
+ORACLES["tokenize_analyzed"] = f"""WITH lists AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t:
+        {NOUN_LETTER} AND length(t) >= 2 AND t NOT IN ({quoted(EXTRA_STOPWORDS)})) AS tokens
+    FROM documents) {LISTED}"""
+ORACLES["filter_tokens"] = f"""WITH words AS (
+    SELECT doc_id, unnest(forms) AS form, generate_subscripts(forms, 1) - 1 AS pos
+    FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS forms FROM documents))
+SELECT doc_id, pos, form, CASE right(form, 1) WHEN 'n' THEN '{NOUN_TAGS[0]}' ELSE '{NOUN_TAGS[1]}' END AS tag
+FROM words WHERE right(form, 1) IN ('n', 't') AND length(form) >= 4 AND form NOT IN ('then', 'that')"""

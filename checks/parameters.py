@@ -27,3 +27,7 @@ LEXICON = (
 TOKEN_LEXICON = tuple({**dict(scored(PAIRS)), "best": 2, "thing": 1, "rest": 1, "threat": -1, "then": -1, "hand": -2}.items())
 EXTRA_STOPWORDS = ("les", "und", "que")
 TURNS = 3
+# Letters for which others are put, to have texts in other scripts.
+LATIN = "etaoinsr"
+CHINESE = "的一是不了人我在"
+JAPANESE = "のにはをたがデ一"

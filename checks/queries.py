@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.parameters import EXTRA_STOPWORDS, LEXICON, TAXONOMY, TOKEN_LEXICON, TURNS
+from checks.parameters import CHINESE, EXTRA_STOPWORDS, JAPANESE, LATIN, LEXICON, TAXONOMY, TOKEN_LEXICON, TURNS
 from shoplens.functions.coercion import calendar
 from shoplens.functions.text import language_of, strip_html
+from shoplens.functions.words import NOUN_TAGS
 from shoplens.operators import columns, context, eda, graph, mining, rfm, sales, topics
 from shoplens.operators import reviews as rv
 from shoplens.operators import tokens as tk
@@ -443,3 +444,62 @@ def last_turns(spark, folder):
 @query
 def conversation_context(spark, folder):
     return context.conversation_context(load_table(spark, folder, "conversations"), TURNS)
+
+
+@query
+def page_context(spark, folder):
+    """Three parts a page: its text, its address under a label, and a note that is blank on every third page."""
+    pages = load_table(spark, folder, "pages")
+    note = F.when(F.col("page_id") % 3 == 0, "<p> </p>").otherwise("<i>page</i> note")
+    cells = F.array(*[F.struct(F.lit(x).alias("part"), c.alias("html")) for x, c in (("summary", F.col("url")), ("note", note), ("analysis", F.col("html")))])
+    parts = pages.select("page_id", F.inline(cells))
+    return context.build_context(parts, by="page_id", labels={"summary": "Source: "})
+
+
+# -- tokens of other kinds -----------------------------------------------------------
+
+
+def listed(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def tokenize_lemmas(spark, folder):
+    """English words with the lemmas of a table made from the words themselves: those of six to eight letters lose "ing"."""
+    texts = reviews(spark, folder)
+    words = texts.select(F.explode(tk.english_words(F.col("text"))).alias("token")).distinct()
+    lemmas = words.where("token LIKE '%ing' AND length(token) BETWEEN 6 AND 8").withColumn("lemma", F.expr("left(token, length(token) - 3)"))
+    return listed(tk.tokenize(texts, "text", stopwords=EXTRA_STOPWORDS, lemmas=lemmas))
+
+
+def in_script(df: DataFrame, letters: str) -> DataFrame:
+    """Texts whose commonest Latin letters are put into another script."""
+    return df.withColumn("text", F.translate(F.lower("text"), LATIN, letters))
+
+
+@query
+def tokenize_zh(spark, folder):
+    return listed(tk.tokenize(in_script(reviews(spark, folder), CHINESE), "text", "zh", stopwords=[CHINESE[:2]]))
+
+
+@query
+def tokenize_ja(spark, folder):
+    return listed(tk.tokenize(in_script(reviews(spark, folder), JAPANESE), "text", "ja", stopwords=[JAPANESE[:2]]))
+
+
+def tagged(text: Column) -> Column:
+    """Words as (form, tag), tagged by their last letter: a stand-in for a morphological analyzer."""
+    return F.transform(F.split(F.lower(text), "[^a-z]+"), lambda w: F.struct(
+        w.alias("form"), F.when(w.endswith("n"), NOUN_TAGS[0]).when(w.endswith("t"), NOUN_TAGS[1]).otherwise("JKS").alias("tag")))
+
+
+@query
+def tokenize_analyzed(spark, folder):
+    return listed(tk.tokenize(reviews(spark, folder), "text", "ko", stopwords=EXTRA_STOPWORDS, analyzer=tagged))
+
+
+@query
+def filter_tokens(spark, folder):
+    words = reviews(spark, folder).select("doc_id", F.posexplode(tagged(F.col("text"))).alias("pos", "word"))
+    rows = words.select("doc_id", F.col("pos").cast("long").alias("pos"), "word.form", "word.tag")
+    return tk.filter_tokens(rows, NOUN_TAGS[:2], min_len=4, stopwords=["then", "that"])
