@@ -239,9 +239,21 @@ def _outside(v: Column, lower: float, upper: float) -> Column:
     return (v < F.lit(lower)) | (v > F.lit(upper))
 
 
+def _outside_per_column(clean: DataFrame, fences: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+    """``(column, n_outliers, n_rows)``: one aggregate over long rows, however many columns there are."""
+    limits = _rows(clean, [(c, f[2], f[3]) for c, f in fences.items()], "column string, lower double, upper double")
+    numbers = clean.select(*[_number(c).alias(c) for c in fences])
+    cells = numbers.unpivot([], list(fences), "column", "value")
+    # One row per column is joined.
+    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    counts = cells.join(F.broadcast(limits), "column").groupBy("column").agg(F.count_if(outside).alias("n_outliers"), F.count("*").alias("n_rows"))
+    names = limits.select("column")
+    return names.join(F.broadcast(counts), "column", "left").select(
+        "column", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_outliers", "n_rows")])
+
+
 def _outlier_counts(clean: DataFrame, fences: dict[str, tuple[float, float, float, float]]) -> dict[str, int]:
-    tests = [F.count_if(_outside(_number(c), *f[2:])).alias(f"n_{i}") for i, (c, f) in enumerate(fences.items())]
-    return dict(zip(fences, clean.agg(*tests).first()))
+    return {c: n for c, n, _ in _outside_per_column(clean, fences).collect()}
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, known: Quartiles | None = None) -> DataFrame:
@@ -253,11 +265,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, known: Qua
     if not fences:
         schema = "column string, q1 double, q3 double, lower double, upper double, n_outliers bigint, pct double"
         return _rows(df, [], schema)
-    aggs = []
-    for i, (c, f) in enumerate(fences.items()):
-        n = F.count_if(_outside(_number(c), *f[2:]))
-        aggs += [n.alias(f"n_outliers_{i}"), F.round(F.try_divide(n * 100.0, F.count("*")), 2).alias(f"pct_{i}")]
-    table = unstack(clean.agg(*aggs), list(fences), ("n_outliers", "pct"), "n_outliers:bigint,pct:double")
+    pct = F.round(F.try_divide(F.col("n_outliers") * 100.0, F.col("n_rows")), 2).alias("pct")
+    table = _outside_per_column(clean, fences).select("column", "n_outliers", pct)
     names = ("q1", "q3", "lower", "upper")
     return _with_quantiles(table, {c: list(f) for c, f in fences.items()}, names, 4).select("column", *names, "n_outliers", "pct")
 
