@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from shoplens.llm.cover_tree import Best, CoverTree, dual_search, top_k
+from shoplens.llm.cover_tree import BASE, Best, CoverTree, _blocks, _placed, block_pairs, dual_search, surviving_pairs, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, block string, vector string"
 
@@ -53,3 +53,45 @@ def test_pruning_keeps_the_best():
     # A ball covers its rows.
     for b, e, c, r in zip(tree.begin, tree.end, tree.centre, tree.radius):
         assert np.linalg.norm(tree.rows[b:e] - c, axis=1).max() <= r + 1e-9
+
+
+@pytest.mark.parametrize("shape", ["spread", "outlier", "copies", "one", "few"])
+def test_levels_are_nested_separated_and_cover(shape):
+    rng = np.random.default_rng(8)
+    rows = np.floor(rng.normal(size=(2000, 3)) * 300)
+    if shape == "outlier":
+        rows[7] = 1e6
+    if shape == "copies":
+        rows[100:] = rows[:19].repeat(100, axis=0)
+    if shape == "one":
+        rows[:] = 5
+    if shape == "few":
+        rows = rows[:3]
+    tree = CoverTree.build(np.arange(len(rows)), rows)
+    assert sorted(tree.ids) == list(range(len(rows))) and (tree.rows == rows[tree.ids]).all()
+    assert (tree.begin[0], tree.end[0]) == (0, len(rows))
+    for level in set(tree.level.tolist()):
+        net = tree.rows[sorted({int(a) for a, n in zip(tree.at, tree.level) if n >= level})]
+        apart = np.linalg.norm(net[:, None] - net[None], axis=2)[~np.eye(len(net), dtype=bool)]
+        assert (apart > BASE**level).all()
+    for node, below in enumerate(tree.children):
+        if below:
+            assert tree.at[node] in tree.at[below]
+            assert (np.linalg.norm(tree.centre[below] - tree.centre[node], axis=1) <= BASE ** (tree.level[below] + 1.0)).all()
+            assert tree.begin[below].tolist() == [tree.begin[node], *tree.end[below][:-1]] and tree.end[below][-1] == tree.end[node]
+    if shape in ("spread", "outlier"):
+        assert len(set(tree.level.tolist())) > 3
+    again = CoverTree.unpacked(tree.packed())
+    assert (again.rows == tree.rows).all() and again.children == tree.children
+
+
+def test_blocks_that_cannot_hold_a_best_score_are_not_sent(spark):
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(8, 8)))[0] * 10
+    rows = [(i, (centres[i % 8] + rng.normal(scale=0.05, size=8)).astype(np.float32).tolist()) for i in range(1600)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 8) for i, v in rows], "id long, vector array<double>, dims int")
+    placed = _placed(df)
+    queries, data = _blocks(placed.filter("id % 20 = 0"), 50, "q"), _blocks(placed, 100, "d")
+    every, kept = block_pairs(queries, data).count(), surviving_pairs(queries, data, 5).count()
+    assert 0 < kept < every / 2
+    assert found(spark, rows, k=5, every=20, query_block=50, data_block=100) == brute(rows, 5, 20)
