@@ -247,8 +247,8 @@ def _whole(vectors: pa.Array, dims: int) -> np.ndarray:
     return np.floor(64 * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(len(vectors), dims)
 
 
-def _placed(vectors: DataFrame) -> DataFrame:
-    """``vectors`` with ``cell``, the nearest coarse centre of their length (0 where there is none)."""
+def _placed(vectors: DataFrame, cells: int) -> DataFrame:
+    """``vectors`` with ``cell``, the nearest of up to ``cells`` coarse centres of their length (0 where there is none)."""
     sample: dict[int, list[list[float]]] = {}
     for row in vectors.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).select("dims", "vector").collect():
         sample.setdefault(row["dims"], []).append(row["vector"])
@@ -256,7 +256,7 @@ def _placed(vectors: DataFrame) -> DataFrame:
     for dims, rows in sample.items():
         whole = np.floor(64 * np.array(rows, np.float64)).reshape(len(rows), dims)
         if dims and np.abs(whole).max() < 1e100:
-            centres[dims] = whole[_farthest_first(whole, COARSE)[0]]
+            centres[dims] = whole[_farthest_first(whole, cells)[0]]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,7 +382,10 @@ def top_k(
     finite = F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 64) < float("inf")))
     valid = vectors.filter(F.col(id).isNotNull() & F.coalesce(finite, F.lit(False))).select(
         F.col(id).cast("long").alias("id"), double.alias("vector"), F.size(vector).alias("dims")).distinct()
-    placed = written(_placed(written(valid, "vectors")), "placed")
+    valid = written(valid, "vectors")
+    # As many cells as full blocks: smaller ones would only make more pairs.
+    cells = min(COARSE, max(1, -(-valid.count() // data_block)))
+    placed = written(_placed(valid, cells), "placed")
     data = _blocks(placed, data_block, "data-trees")
     queries = _blocks(placed.filter(F.col("id") % every == 0), query_block, "query-trees")
     kept = surviving_pairs(queries, data, k)

@@ -90,7 +90,7 @@ def test_blocks_that_cannot_hold_a_best_score_are_not_sent(spark):
     centres = np.linalg.qr(rng.normal(size=(8, 8)))[0] * 10
     rows = [(i, (centres[i % 8] + rng.normal(scale=0.05, size=8)).astype(np.float32).tolist()) for i in range(1600)]
     df = spark.createDataFrame([(i, [float(x) for x in v], 8) for i, v in rows], "id long, vector array<double>, dims int")
-    placed = _placed(df)
+    placed = _placed(df, 16)
     queries, data = _blocks(placed.filter("id % 20 = 0"), 50, "q"), _blocks(placed, 100, "d")
     every, kept = block_pairs(queries, data).count(), surviving_pairs(queries, data, 5).count()
     assert 0 < kept < every / 2
