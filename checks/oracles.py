@@ -424,6 +424,8 @@ FROM c"""
 
 
 ORACLES["bigrams"], ORACLES["trigrams"] = ngrams(2), ngrams(3)
+ORACLES["frequent_words"] = f"WITH {FREQ} SELECT word, n FROM freq ORDER BY n DESC, word LIMIT 1000"
+ORACLES["frequent_trigrams"] = ngrams(3)
 
 PAIRS = f"""{FREQ},
 top AS (SELECT word FROM freq ORDER BY n DESC, word LIMIT 20),

@@ -373,6 +373,16 @@ def trigrams(spark, folder):
     return mining.ngrams(tokens(spark, folder), 3)
 
 
+@query
+def frequent_words(spark, folder):
+    return mining.word_freq(tokens_twice(spark, folder), 1000, two_phase=True)
+
+
+@query
+def frequent_trigrams(spark, folder):
+    return mining.ngrams(tokens_twice(spark, folder), 3, two_phase=True)
+
+
 @query
 def lda_topics(spark, folder):
     return topics.lda_topics(topics.fit_topics(tokens_twice(spark, folder), "doc_id"))

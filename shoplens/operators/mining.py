@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.text import NEGATIVE, NEUTRAL, POSITIVE, as_text, detect_language
 from shoplens.operators.columns import detect_text_column
+from shoplens.operators.frequent import most_frequent
 from shoplens.operators.reviews import label_counts
 
 VOCABULARY = 1000
 
 
-def word_freq(tok: DataFrame, k: int | None = None) -> DataFrame:
-    """``(word, n)``, most frequent first; the counts are combined before the shuffle."""
-    counts = tok.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def word_freq(tok: DataFrame, k: int | None = None, two_phase: bool = False) -> DataFrame:
+    """``(word, n)``, most frequent first; the counts are combined before the shuffle.
+
+    ``two_phase`` reads the tokens two or three times, but does not shuffle all words;
+    it pays where tasks hold many distinct words. The result is the same.
+    """
+    words = tok.select(F.explode("tokens").alias("word"))
+    if two_phase and k is not None:
+        return most_frequent(words, k)
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
     ordered = counts.orderBy(F.desc("n"), "word")
     return counts if k is None else ordered.limit(k)
 
@@ -72,18 +80,19 @@ def _grams(n: int) -> Column:
     return F.filter(grams, lambda g: g.isNotNull())
 
 
-def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 0) -> DataFrame:
-    """``(n, rank, ngram, count)``; with ``min_tokens``, empty for a corpus of fewer tokens."""
+def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 0, two_phase: bool = False) -> DataFrame:
+    """``(n, rank, ngram, count)``; with ``min_tokens``, empty for a corpus of fewer tokens.
+
+    ``two_phase`` as for ``word_freq``.
+    """
     total = tok.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).scalar()
     enough = total >= min_tokens if min_tokens else F.lit(True)
-    top = (
-        tok.select(F.explode(_grams(n)).alias("ngram"))
-        .groupBy("ngram")
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "ngram")
-        .limit(k)
-        .where(enough)
-    )
+    grams = tok.select(F.explode(_grams(n)).alias("ngram"))
+    if two_phase:
+        top = most_frequent(grams, k).withColumnRenamed("n", "count")
+    else:
+        top = grams.groupBy("ngram").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "ngram").limit(k)
+    top = top.where(enough)
     # A window over k rows.
     rank = F.row_number().over(W.orderBy(F.desc("count"), "ngram"))
     return top.select(F.lit(n).alias("n"), rank.alias("rank"), "ngram", "count")
