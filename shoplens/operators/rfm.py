@@ -11,17 +11,7 @@ from shoplens.operators.quantiles import exact_quantiles, global_rank
 from shoplens.operators.sales import money
 from shoplens.session import reuse
 
-# Lowest and highest score of R, F and M per segment; the first fit names a customer.
-SEGMENT_RULES = (
-    ("champion", (4, 5), (4, 5), (4, 5)),
-    ("loyal", (1, 5), (3, 5), (3, 5)),
-    ("potential", (3, 5), (2, 5), (1, 5)),
-    ("new", (4, 5), (1, 1), (1, 5)),
-    ("at_risk", (1, 2), (2, 5), (1, 5)),
-    ("lost", (1, 2), (1, 2), (1, 5)),
-    ("general", (1, 5), (1, 5), (1, 5)),
-)
-SEGMENTS = tuple(rule[0] for rule in SEGMENT_RULES)
+SEGMENTS = ("champion", "loyal", "potential", "new", "at_risk", "lost", "general")
 CHAMPION, AT_RISK, LOST = "champion", "at_risk", "lost"
 FIFTHS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -95,9 +85,17 @@ def rfm_scores(sales: DataFrame) -> DataFrame:
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
     """Segment of one score triple; the last one if a score is missing."""
-    return F.coalesce(*[
-        F.when(r.between(*rs) & f.between(*fs) & m.between(*ms), segment) for segment, rs, fs, ms in SEGMENT_RULES
-    ], F.lit(SEGMENT_RULES[-1][0]))
+    # Thresholds of the segments; the first that fits names a customer.
+    return (
+        F.when(r.isNull() | f.isNull() | m.isNull(), "general")
+        .when((r >= 4) & (f >= 4) & (m >= 4), "champion")
+        .when((f >= 3) & (m >= 3), "loyal")
+        .when((r >= 3) & (f >= 2), "potential")
+        .when((r >= 4) & (f == 1), "new")
+        .when((r <= 2) & (f >= 2), "at_risk")
+        .when((r <= 2) & (f <= 2), "lost")
+        .otherwise("general")
+    )
 
 
 def rfm_segments(sales: DataFrame) -> DataFrame:
