@@ -249,6 +249,10 @@ def describe(table: str, columns) -> str:
 ORACLES["eda_describe"] = f"WITH {EVENTS} {describe('gaps', EVENT_NUMBERS)}"
 ORACLES["eda_describe_lineitem"] = describe("lineitem", LINE_NUMBERS)
 
+ORACLES["quartiles_of_parts"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median,
+  round(quantile_cont({c}, 0.75), 4) AS q3 FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
 VARIANCE = "v AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round(var_samp({c}), 2) AS variance FROM lineitem" for c in LINE_NUMBERS) + ")"
 ORACLES["top_variance"] = f'WITH {VARIANCE} SELECT * FROM v ORDER BY variance DESC, "column" LIMIT 3'

@@ -14,6 +14,7 @@ from shoplens.functions.words import NOUN_TAGS
 from shoplens.operators import columns, context, eda, graph, mining, rfm, sales, topics
 from shoplens.operators import reviews as rv
 from shoplens.operators import tokens as tk
+from shoplens.operators.quantiles import quantile_sketches
 from shoplens.plans.views import load_table, purchases_view, raw_sales, sales_view, spread
 from shoplens.session import reuse
 
@@ -220,6 +221,17 @@ def eda_describe_lineitem(spark, folder):
     return eda.describe(lineitem(spark, folder))
 
 
+@query
+def quartiles_of_parts(spark, folder):
+    """Quartiles of all line items, bracketed by one sketch per ship year and column."""
+    lines = lineitem(spark, folder)
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    sketches = quantile_sketches(lines.withColumn("year", F.year("l_shipdate")), numbers, ["year"])
+    known = eda.quartiles(lines, numbers, sketches)
+    table = spark.createDataFrame([(c, *q) for c, q in known.items()], "column string, q1 double, median double, q3 double")
+    return table.select("column", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")])
+
+
 @query
 def top_variance(spark, folder):
     return eda.top_variance(lineitem(spark, folder))

@@ -97,9 +97,14 @@ def overview(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame
     ).select("*", "roles.*").drop("roles")
 
 
-def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, list[float | None]]:
-    """Exact quartiles per column; the operators below share them through ``known``."""
-    return exact_quantiles(nan_to_null(df), list(columns or numeric_columns(df)), QUARTILES)
+def quartiles(
+    df: DataFrame, columns: Sequence[str] | None = None, sketches: DataFrame | None = None
+) -> dict[str, list[float | None]]:
+    """Exact quartiles per column; the operators below share them through ``known``.
+
+    ``sketches`` of the table's parts (``quantile_sketches``) save a scan.
+    """
+    return exact_quantiles(nan_to_null(df), list(columns or numeric_columns(df)), QUARTILES, sketches)
 
 
 def _with_quantiles(table: DataFrame, q: Quartiles, names: Sequence[str], digits: int) -> DataFrame:

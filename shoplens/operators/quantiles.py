@@ -13,6 +13,8 @@ from shoplens.session import reuse
 ACCURACY = 10_000
 SLACK = 3 / ACCURACY
 FINAL_VALUES = 100_000
+SKETCH_SIZE = 4096
+SKETCH_SLACK = 0.002
 
 
 @dataclass
@@ -102,31 +104,125 @@ def _finish(values: DataFrame, intervals: list[_Interval], known: dict) -> None:
                 start += n
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+
+
+def quantile_sketches(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``(*by, column, n, sketch)``: number of values and KLL sketch of each column in each part of the table.
+
+    A part is what arrives together, as a day; ``by`` names it. Rows of later parts are
+    added by ``unionByName``: earlier parts are not read again. A sketch takes some
+    75 kB whatever the size of its part, and is merged in the tasks before the shuffle.
+    """
+    keys = [F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)]
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)]
+    sketched = df.select(*keys, *values).groupBy(*[f"_by{i}" for i in range(len(by))]).agg(*[
+        F.struct(
+            F.lit(c).alias("column"), F.count(f"_v{i}").alias("n"),
+            F.kll_sketch_agg_double(f"_v{i}", F.lit(SKETCH_SIZE)).alias("sketch"),
+        ).alias(f"_s{i}") for i, c in enumerate(columns)
+    ])
+    parts = sketched.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)],
+                            F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("_s"))
+    return parts.select(*[f"`{c}`" for c in by], "_s.*")
+
+
+def _ranks(n: int, probs: list[float]) -> set[int]:
+    """The order statistics (0-based) of ``n`` values that interpolation at ``probs`` reads."""
+    below = {math.floor(p * (n - 1)) for p in probs}
+    return below | {min(k + 1, n - 1) for k in below}
+
+
+def _interpolated(known: dict, c: str, n: int, p: float) -> float | None:
+    if not n:
+        return None
+    at = p * (n - 1)
+    k = math.floor(at)
+    low, frac = known[c, k], at - k
+    return low if frac == 0 else low + (known[c, k + 1] - low) * frac
+
+
+def _merged(sketches: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, dict]:
+    """Column -> number of values, and column -> approximate values on both sides of each quantile."""
+    # Unlike an approximate percentile, a KLL sketch is off by some 0.0007 of the ranks in most cases.
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_SLACK, SKETCH_SLACK)]
+    merged = sketches.where(F.col("column").isin(columns)).groupBy("column").agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+    near = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(ends)))
+    found = {r["column"]: r for r in merged.select("column", "n", near.alias("near")).collect()}
+    missing = [c for c in columns if c not in found]
+    if missing and found:
+        raise ValueError(f"no sketches of {', '.join(missing)}")
+    sizes = {c: found[c]["n"] if c in found else 0 for c in columns}
+    return sizes, {c: list(zip(found[c]["near"][::2], found[c]["near"][1::2])) for c in columns if sizes[c]}
+
+
+def _count_and_read(
+    values: DataFrame, sizes: dict[str, int], brackets: dict[str, list[tuple[float, float]]], probs: list[float], known: dict
+) -> list[_Interval]:
+    """One pass that counts around the brackets and, where they are expected to hold few
+    values, brings these too; returns the intervals of ranks still open.
+    """
+    expected = sum(min(1, 2 * SKETCH_SLACK * len(b)) * sizes[c] for c, b in brackets.items())
+    cells, cuts, read = [], {}, {}
+    for c, pairs in brackets.items():
+        edges = cuts[c] = sorted({e for pair in pairs for e in pair})
+        # Even places lie between cuts; those inside a bracket may hold a wanted rank.
+        read[c] = [2 * i for i in range(1, len(edges)) if any(lo <= edges[i - 1] and edges[i] <= hi for lo, hi in pairs)]
+        if expected > FINAL_VALUES:
+            read[c] = []
+        v = F.col(f"`{c}`")
+        place = sum(((v > e).cast("int") + (v >= e).cast("int") for e in edges), F.lit(0))
+        cells.append(F.struct(F.lit(c).alias("c"), place.alias("place"), F.when(place.isin(read[c]), v).alias("v")))
+    long = values.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("place IS NOT NULL")
+    counts = sorted(((r["c"], r["place"], r["v"], r["count"]) for r in long.groupBy("c", "place", "v").count().collect()),
+                    key=lambda r: (r[0], r[1], r[2] is not None, r[2]))
+    open_ = []
+    for c, edges in cuts.items():
+        ranks, start = _ranks(sizes[c], probs), 0
+        for _, place, v, n in (r for r in counts if r[0] == c):
+            here = {k for k in ranks if start <= k < start + n}
+            if here and (place % 2 or v is not None):
+                known.update({(c, k): edges[place // 2] if place % 2 else v for k in here})
+            elif here:
+                low = edges[place // 2 - 1] if place else None
+                high = edges[place // 2] if place // 2 < len(edges) else None
+                open_.append(_Interval(c, start, n, here, low, high))
+            start += n
+        if start != sizes[c]:
+            raise ValueError(f"the sketches count {sizes[c]} values of {c}, the table {start}")
+    return open_
+
+
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], sketches: DataFrame | None = None
+) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, per column, in a few column scans.
 
     Runs jobs when called: an approximate sketch brackets each rank, exact counts
     confirm the bracket, and only values inside it are read. Every pass cuts the open
     intervals to about 1/1000, so 10^12 rows need three. The driver receives at most
     FINAL_VALUES values at a time, for all intervals together.
+
+    ``sketches`` (of ``quantile_sketches``, for exactly the rows of ``df``) save the first
+    scan; up to about FINAL_VALUES / (2 * SKETCH_SLACK) / len(probs) rows the counting
+    pass also brings the values, so that it is the only one. Their counts are checked
+    against the table's. The result is the same with and without them.
     """
-    values = df.select(
-        *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
-    )
-    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
-    first = values.agg(
-        F.struct(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).alias("n"),
-        F.struct(*[F.percentile_approx(F.col(f"`{c}`"), near, ACCURACY).alias(c) for c in columns]).alias("near"),
-    ).first()
-    n, brackets = first["n"].asDict(), first["near"].asDict()
+    values = _numbers(df, columns)
     known: dict[tuple[str, int], float] = {}
-    waiting = []
-    for c in columns:
-        if n[c]:
-            below = {math.floor(p * (n[c] - 1)) for p in probs}
-            ranks = below | {min(k + 1, n[c] - 1) for k in below}
-            waiting.append(_Interval(c, 0, n[c], ranks))
-    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES // len(waiting)}
+    if sketches is not None:
+        n, pairs = _merged(sketches, columns, probs)
+        if not pairs:
+            # Nothing is sketched: an empty table, or one that the sketches do not cover.
+            counted = values.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first()
+            if any(counted):
+                raise ValueError("the sketches hold no values, the table does")
+        waiting = _count_and_read(values, n, pairs, probs, known) if pairs else []
+        cuts = None
+    else:
+        n, waiting, cuts = _bracketed(values, columns, probs)
     while waiting:
         most = FINAL_VALUES // len(waiting)
         small = [t for t in waiting if t.inside <= most]
@@ -136,16 +232,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
         if waiting:
             waiting = _narrow(values, waiting, cuts or _brackets(values, waiting), known)
         cuts = None
+    return {c: [_interpolated(known, c, n[c], p) for p in probs] for c in columns}
 
-    def value(c: str, p: float) -> float | None:
-        if not n[c]:
-            return None
-        at = p * (n[c] - 1)
-        k = math.floor(at)
-        low, frac = known[c, k], at - k
-        return low if frac == 0 else low + (known[c, k + 1] - low) * frac
 
-    return {c: [value(c, p) for p in probs] for c in columns}
+def _bracketed(values: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, list[_Interval], dict]:
+    """One scan: the number of values per column, an interval around all ranks, first cuts of large columns."""
+    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
+    first = values.agg(
+        F.struct(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).alias("n"),
+        F.struct(*[F.percentile_approx(F.col(f"`{c}`"), near, ACCURACY).alias(c) for c in columns]).alias("near"),
+    ).first()
+    n, brackets = first["n"].asDict(), first["near"].asDict()
+    waiting = [_Interval(c, 0, n[c], _ranks(n[c], probs)) for c in columns if n[c]]
+    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES // len(waiting)}
+    return n, waiting, cuts
 
 
 def global_rank(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
