@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from shoplens.functions.coercion import nan_to_null
 from shoplens.functions.text import strip_blanks
 from shoplens.sources.office import read_office_lines, read_xlsx
+from shoplens.sources.records import csv_records
 
 # Cell texts that mean "missing" in a CSV file.
 NA_TOKENS = (
@@ -42,17 +43,34 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*typed)
 
 
+def _split_cells(spark: SparkSession, path: str) -> DataFrame | None:
+    """String columns of CSV files with line breaks in cells, read by many tasks a file."""
+    records = csv_records(spark, path)
+    if records is None:
+        return None
+    options = {"multiLine": "true", "escape": '"'}
+    # Only the first record is read for this.
+    names = spark.read.options(header="true", **options).csv(path).columns
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
+    body = records.where(~F.col("first")).select(cells.alias("cells"))
+    return body.select(*[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool | str = False
 ) -> DataFrame:
     """CSV with a header row; NA tokens become NULL and types are inferred after that.
 
     Inference reads the files once more; give ``schema`` to avoid it on large inputs.
     Large files are split at line ends. Cells with line breaks inside quotes need
-    ``multiline``, which reads a file in one task.
+    ``multiline="split"``, which finds the records by a scan that counts quotes (see
+    ``records.csv_records`` for what it asks of the files) and then splits files as well, or
+    ``multiline=True``, which reads a file in one task.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    raw = reader.option("inferSchema", False).csv(path)
+    raw = _split_cells(spark, path) if multiline == "split" else None
+    if raw is None:
+        reader = spark.read.option("header", True).option("multiLine", multiline is True).option("escape", '"')
+        raw = reader.option("inferSchema", False).csv(path)
     raw = raw.select(*[_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is None:
         return infer_types(raw)
@@ -72,13 +90,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("text != ''")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A file or pattern by its extension: csv and xlsx as tables, txt, docx and pptx as
-    one row ``(path, text)`` per line.
+def read_any(spark: SparkSession, path: str, multiline: bool | str = False) -> DataFrame:
+    """A file or pattern by its extension: csv (``multiline`` as in ``read_table``) and xlsx
+    as tables, txt, docx and pptx as one row ``(path, text)`` per line.
     """
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return read_table(spark, path)
+        return read_table(spark, path, multiline=multiline)
     if kind == "xlsx":
         sheet = read_xlsx(spark, path)
         return infer_types(sheet.select(*[_missing(F.col(f"`{c}`")).alias(c) for c in sheet.columns]))
