@@ -7,7 +7,8 @@ import io
 import re
 import sys
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplens.session import reuse
+
 # Task functions travel with the job: executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,11 +32,29 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 DAY_ZERO = dt.datetime(1899, 12, 30)
 
+# Rows or lines that leave a task at a time.
+BATCH = 1000
+
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
     return ElementTree.fromstring(archive.read(name))
 
 
+def _elements(archive: zipfile.ZipFile, name: str, parent: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The ``tag`` elements right below ``parent``, unpacked one by one; those read before are dropped."""
+    above: list[ElementTree.Element] = []
+    with archive.open(name) as stream:
+        for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if above and above[-1].tag == parent:
+                if element.tag == tag:
+                    yield element
+                above[-1].clear()
+
+
 def _targets(archive: zipfile.ZipFile, folder: str, part: str) -> dict[str, str]:
     """Relation id -> archive path, as listed next to ``folder/part``."""
     found = {}
@@ -49,8 +70,7 @@ def _text(paragraph: ElementTree.Element, ns: str) -> str:
 
 
 def _document_lines(archive: zipfile.ZipFile) -> Iterator[str]:
-    body = _xml(archive, "word/document.xml").find(f"{WORD}body")
-    for paragraph in body.findall(f"{WORD}p"):
+    for paragraph in _elements(archive, "word/document.xml", f"{WORD}body", f"{WORD}p"):
         yield _text(paragraph, WORD)
 
 
@@ -63,6 +83,11 @@ def _slide_lines(archive: zipfile.ZipFile) -> Iterator[str]:
                 yield _text(paragraph, DRAWING)
 
 
+def _batches(path: str, numbered: Iterable[tuple], number: str, value: str) -> Iterator[pd.DataFrame]:
+    for some in batched(numbered, BATCH):
+        yield pd.DataFrame({"path": path, number: [n for n, _ in some], value: [x for _, x in some]})
+
+
 def read_office_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, line_no, text)`` of docx and pptx files: stripped, non-blank paragraphs."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -72,8 +97,8 @@ def read_office_lines(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     found = _slide_lines(archive) if name.lower().endswith(".pptx") else _document_lines(archive)
-                    kept = [s for s in (line.strip() for line in found) if s]
-                yield pd.DataFrame({"path": name, "line_no": range(1, len(kept) + 1), "text": kept})
+                    kept = enumerate((s for s in (line.strip() for line in found) if s), 1)
+                    yield from _batches(name, kept, "line_no", "text")
 
     wanted = files.where(F.lower("path").rlike(r"\.(docx|pptx)$"))
     return wanted.mapInPandas(lines, "path string, line_no long, text string")
@@ -118,12 +143,12 @@ def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[int]) ->
 def _sheet_rows(archive: zipfile.ZipFile) -> Iterator[list[str | None]]:
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
-        for item in _xml(archive, "xl/sharedStrings.xml").findall(f"{SHEET}si"):
+        for item in _elements(archive, "xl/sharedStrings.xml", f"{SHEET}sst", f"{SHEET}si"):
             shared.append("".join(t.text or "" for t in item.iter(f"{SHEET}t")))
     dates = _date_styles(archive)
     first = _xml(archive, "xl/workbook.xml").find(f"{SHEET}sheets/{SHEET}sheet")
     path = _targets(archive, "xl", "workbook.xml")[first.get(f"{RELATION}id")]
-    for row in _xml(archive, path).iter(f"{SHEET}row"):
+    for row in _elements(archive, path, f"{SHEET}sheetData", f"{SHEET}row"):
         cells: list[str | None] = []
         for cell in row.findall(f"{SHEET}c"):
             at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
@@ -149,6 +174,8 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
     The result has the columns of all files, in the order of the files by path. Cells
     beyond the first row are columns too (``column_<number>``); a repeated name gets a number.
+    A task holds the packed file and its shared texts; the sheet is unpacked row by row.
+    Files are read twice, for the names and for the rows.
     """
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx"))
 
@@ -156,17 +183,25 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    cells = list(_sheet_rows(archive))
-                names = _names(cells[0] if cells else [], max(map(len, cells), default=0))
-                yield pd.DataFrame({"path": name, "row_no": range(len(cells)), "names": [names] * len(cells),
-                                    "cells": [c + [None] * (len(names) - len(c)) for c in cells]})
-
-    sheets = files.select("path", "content").mapInPandas(
-        rows, "path string, row_no long, names array<string>, cells array<string>")
-    first = sheets.where("row_no = 0").select("path", F.posexplode("names").alias("place", "name"))
+                    yield from _batches(name, enumerate(_sheet_rows(archive)), "row_no", "cells")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = [_names(list(first), width) for first, width in zip(batch["first"], batch["width"])]
+            yield pd.DataFrame({"path": batch["path"], "names": names})
+
+    sheets = files.select("path", "content").mapInPandas(rows, "path string, row_no long, cells array<string>")
+    heads = sheets.groupBy("path").agg(
+        F.max(F.when(F.col("row_no") == 0, F.col("cells"))).alias("first"), F.max(F.size("cells")).alias("width")
+    ).mapInPandas(named, "path string, names array<string>")
+    # One row per file.
+    heads = reuse(heads)
     # One row per column name.
-    found = first.groupBy("name").agg(F.min(F.struct("path", "place")).alias("at")).orderBy("at").collect()
+    places = heads.select("path", F.posexplode("names").alias("place", "name"))
+    found = places.groupBy("name").agg(F.min(F.struct("path", "place")).alias("at")).orderBy("at").collect()
     if not found and files.isEmpty():
         raise ValueError(f"no spreadsheets under {path}")
-    body = sheets.where("row_no > 0").select(F.map_from_arrays("names", "cells").alias("row"))
-    return body.select(*[F.col("row")[r["name"]].alias(r["name"]) for r in found])
+    body = sheets.where("row_no > 0").join(heads, "path")
+    return body.select(*[
+        F.get("cells", F.array_position("names", F.lit(r["name"])).cast("int") - 1).alias(r["name"]) for r in found
+    ])

@@ -1,8 +1,10 @@
+import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from shoplens.sources import office
 from shoplens.sources.office import read_office_lines, read_xlsx
 from shoplens.sources.readers import read_any, read_lexicon, read_lines, read_table, read_words
 from shoplens.sources.writers import save_results, write_csv
@@ -99,6 +101,31 @@ def test_spreadsheets_are_joined_by_column_name(spark, tmp_path, rows):
     assert rows(df) == [("fig", "7", "9", "8", "x"), ("pear", "3", None, None, None)]
 
 
+def test_a_sheet_is_unpacked_row_by_row(spark, tmp_path):
+    """The unpacked sheet takes many times the memory that reading it may take."""
+    n = 30_000
+    row = '<row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>' + "x" * 1000 + "</t></is></c><c><v>{}</v></c></row>"
+    pack(tmp_path / "t.xlsx", **{
+        "xl/workbook.xml": f'<workbook {S} {R}><sheets><sheet name="x" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": relations(("rId1", "worksheets/sheet1.xml")),
+        "xl/sharedStrings.xml": f"<sst {S}><si><t>shared</t></si></sst>"})
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "a", zipfile.ZIP_DEFLATED) as z, z.open("xl/worksheets/sheet1.xml", "w") as f:
+        f.write(f"<worksheet {S}><sheetData>".encode())
+        for i in range(n):
+            f.write(row.format(i).encode())
+        f.write(b"</sheetData></worksheet>")
+    with zipfile.ZipFile(tmp_path / "t.xlsx") as archive:
+        unpacked = archive.getinfo("xl/worksheets/sheet1.xml").file_size
+        tracemalloc.start()
+        read = sum(1 for _ in office._sheet_rows(archive))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert read == n and peak * 10 < unpacked
+    df = read_xlsx(spark, str(tmp_path / "t.xlsx"))
+    assert df.columns == ["shared", "x" * 1000, "0"]
+    assert df.agg(F.count("*"), F.countDistinct("0"), F.min("shared")).first()[:] == (n - 1, n - 1, "shared")
+
+
 def test_typed_cells_of_a_spreadsheet(spark, tmp_path, rows):
     styles = (f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>'
               '<numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
