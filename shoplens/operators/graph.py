@@ -7,6 +7,7 @@ import sys
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -35,65 +36,82 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 # -- betweenness ---------------------------------------------------------------------
 
 
-def _shortest_path_loads(source: str, neighbours: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
-    """Share of the shortest paths from ``source`` that run through each node."""
-    best, paths, parents, settled = {source: 0}, {source: 1}, {source: []}, []
-    heap, done = [(0, source)], set()
-    while heap:
-        length, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        settled.append(node)
-        for other, step in neighbours[node]:
-            reach = length + step
-            if other not in best or reach < best[other]:
-                best[other], paths[other], parents[other] = reach, paths[node], [node]
-                heapq.heappush(heap, (reach, other))
-            elif reach == best[other] and other not in done:
-                paths[other] += paths[node]
-                parents[other].append(node)
-    load = dict.fromkeys(settled, 0.0)
-    for node in reversed(settled):
-        for parent in parents[node]:
-            load[parent] += paths[parent] / paths[node] * (1 + load[node])
-    load.pop(source)
-    return load
+MAX_EDGES = 10_000_000
+
+
+class _Arcs:
+    """Both directions of all edges, sorted by their first node: those of node i stand at ``start[i]:start[i + 1]``."""
+
+    def __init__(self, edges: pd.DataFrame):
+        ends = np.concatenate([edges["w1"].to_numpy(object), edges["w2"].to_numpy(object)])
+        self.names, numbers = np.unique(ends, return_inverse=True)
+        first, second = numbers, np.roll(numbers, len(edges))
+        order = np.lexsort((second, first))
+        self.to = second[order]
+        self.step = np.tile(edges["step"].to_numpy(float), 2)[order]
+        self.start = np.searchsorted(first[order], np.arange(len(self.names) + 1))
+
+    def around(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(self.start[node], self.start[node + 1])
+        return self.to[here], self.step[here]
+
+    def loads(self, source: int) -> np.ndarray:
+        """Share of the shortest paths from ``source`` that run through each node."""
+        n = len(self.names)
+        best, paths, done, settled = np.full(n, np.inf), np.zeros(n), np.zeros(n, bool), []
+        best[source], paths[source] = 0, 1
+        heap = [(0.0, source)]
+        while heap:
+            length, node = heapq.heappop(heap)
+            if done[node]:
+                continue
+            done[node] = True
+            settled.append(node)
+            others, reach = self.around(node)
+            reach = length + reach
+            closer, equal = reach < best[others], (reach == best[others]) & ~done[others]
+            paths[others[equal]] += paths[node]
+            found = others[closer]
+            best[found], paths[found] = reach[closer], paths[node]
+            for item in zip(reach[closer].tolist(), found.tolist()):
+                heapq.heappush(heap, item)
+        load = np.zeros(n)
+        for node in reversed(settled[1:]):
+            others, step = self.around(node)
+            parents = others[(best[others] + step == best[node]) & (best[others] < best[node])]
+            load[parents] += paths[parents] / paths[node] * (1 + load[node])
+        load[source] = 0
+        return load
 
 
 def betweenness(edges: DataFrame, distance: str = "weight") -> DataFrame:
     """``(node, betweenness)``: share of shortest paths between other nodes that pass a node.
 
-    The weight is the length of an edge (``distance="inverse"``: 1 / weight). The source
-    nodes are spread over tasks, each of which holds the edges: of a keyword graph over
-    ``top_n`` words at most top_n * (top_n - 1) / 2.
+    The weight, above 0, is the length of an edge (``distance="inverse"``: 1 / weight). The source
+    nodes are dealt to batches. Every batch is sent all edges by the shuffle, holds them as
+    sorted arrays (some 30 bytes a direction) and returns one sum per node; the driver sees
+    a number of rows. Shortest paths need the graph at random, so a graph must fit a task:
+    above MAX_EDGES edges it is an error.
     """
-    step = F.lit(1.0) / F.col("weight") if distance == "inverse" else F.col("weight")
-    rows = edges.select("w1", "w2", step.alias("step")).collect()
-    neighbours: dict[str, list[tuple[str, float]]] = {}
-    for w1, w2, length in rows:
-        neighbours.setdefault(w1, []).append((w2, length))
-        neighbours.setdefault(w2, []).append((w1, length))
-    spark, n = edges.sparkSession, len(neighbours)
-    schema = "node string, betweenness double"
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(neighbours)
-
-    def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source in batch["node"]:
-                found = _shortest_path_loads(source, shared.value)
-                yield pd.DataFrame({"node": list(found), "betweenness": list(found.values())})
-
-    nodes = spark.createDataFrame([(x,) for x in sorted(neighbours)], "node string")
-    tasks = min(n, spark.sparkContext.defaultParallelism)
-    summed = nodes.repartition(tasks, "node").mapInPandas(loads, schema).groupBy("node").agg(F.sum("betweenness").alias("load"))
-    scale = (n - 1) * (n - 2) if n > 2 else 1
-    # Both tables have one row per node.
-    return nodes.join(summed, "node", "left").select(
-        "node", (F.coalesce("load", F.lit(0.0)) / scale).alias("betweenness")
-    )
+    step = F.lit(1.0) / F.col("weight") if distance == "inverse" else F.col("weight").cast("double")
+    links = reuse(edges.select("w1", "w2", step.alias("step")))
+    if links.count() > MAX_EDGES:
+        raise ValueError(f"betweenness of more than {MAX_EDGES} edges")
+    batches = edges.sparkSession.sparkContext.defaultParallelism
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given = list(frames)
+        if given:
+            arcs = _Arcs(pd.concat(given, ignore_index=True))
+            n, batch = len(arcs.names), int(given[0]["batch"].iloc[0])
+            total = sum((arcs.loads(source) for source in range(batch, n, batches)), np.zeros(n))
+            scale = (n - 1) * (n - 2) if n > 2 else 1
+            yield pd.DataFrame({"node": arcs.names, "betweenness": total / scale})
+
+    sent = links.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    # Partition i holds batch i and nothing else.
+    shares = sent.repartitionById(batches, "batch").mapInPandas(summed, "node string, betweenness double")
+    return shares.groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
 
 
 # -- communities ---------------------------------------------------------------------

@@ -146,6 +146,34 @@ def test_betweenness_against_all_paths(spark, seed):
     assert got == pytest.approx(brute_betweenness(used, weights))
 
 
+def test_betweenness_of_two_hundred_thousand_edges(spark, monkeypatch):
+    """A hub joins two dense halves: all paths between them pass it, no other node lies on a shortest path."""
+    half = 448
+    pairs = spark.range(half).select(F.col("id").alias("i")).join(spark.range(half).select(F.col("id").alias("j")), F.expr("i < j"))
+    sides = pairs.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"), "i", "j")
+    inner = sides.select(F.format_string("%s%03d", "side", "i").alias("w1"), F.format_string("%s%03d", "side", "j").alias("w2"))
+    outer = inner.select(F.explode(F.array("w1", "w2")).alias("w1")).distinct().select("w1", F.lit("hub").alias("w2"))
+    edges = inner.unionByName(outer).withColumn("weight", F.lit(2)).persist()
+    assert edges.count() > 200_000
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(edges), name, lambda *a, **k: pytest.fail("rows reached the driver"))
+    found = graph.betweenness(edges)
+    monkeypatch.undo()
+    got = {r.node: r.betweenness for r in found.collect()}
+    n = 2 * half + 1
+    assert len(got) == n and got.pop("hub") == pytest.approx(2 * half * half / ((n - 1) * (n - 2)))
+    assert set(got.values()) == {0.0}
+    edges.unpersist()
+
+
+def test_betweenness_bounds(spark, monkeypatch):
+    schema = "w1 string, w2 string, weight long"
+    assert graph.betweenness(spark.createDataFrame([], schema)).collect() == []
+    monkeypatch.setattr(graph, "MAX_EDGES", 1)
+    with pytest.raises(ValueError, match="more than 1 edges"):
+        graph.betweenness(spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], schema))
+
+
 def modularity(pairs, groups):
     m = len(pairs)
     degree = {x: sum(x in p for p in pairs) for p in pairs for x in p}
