@@ -118,6 +118,10 @@ scored AS (
 labels AS (
   SELECT *, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' ELSE 'neutral' END AS label
   FROM scored)"""
+ORACLES["vector_terms"] = r"""
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t, ' ') AS terms
+FROM (SELECT doc_id, regexp_extract_all(lower(translate(replace(text, 'er ', '-'), 'aeiou', 'AEIOU')), '[\p{L}\p{N}_]{2,}') AS t FROM documents)"""
+
 ORACLES["token_sentiment"] = f"WITH {TOKEN_SCORES} SELECT doc_id, score, label FROM labels"
 
 

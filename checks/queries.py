@@ -106,6 +106,14 @@ def tokenize_en(spark, folder):
     return tok.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
+@query
+def vector_terms(spark, folder):
+    """Terms of tokens with capitals, joined words and single letters."""
+    pieces = F.split(F.translate(F.replace("text", F.lit("er "), F.lit("-")), "aeiou", "AEIOU"), " ")
+    terms = tk.vector_terms(reviews(spark, folder).select("doc_id", pieces.alias("tokens")))
+    return terms.select("doc_id", F.size("tokens").alias("n_terms"), F.array_join("tokens", " ").alias("terms"))
+
+
 @query
 def token_sentiment(spark, folder):
     return tk.token_sentiment(tokens(spark, folder), TOKEN_LEXICON).select("doc_id", "score", "label")

@@ -17,6 +17,9 @@ MAX_LEMMAS = 1_000_000
 CHINESE_RUN = r"[\x{4e00}-\x{9fff}]{2,}"
 JAPANESE_RUN = r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}]{2,}"
 
+# Fixed value: what counts as a term of a weight or topic.
+TERM = r"[\p{L}\p{N}_]{2,}"
+
 
 def _without(tokens: Column, words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(list(words))) if words else tokens
@@ -96,6 +99,16 @@ def tokenize(
     return df.withColumn("tokens", tokens)
 
 
+def vector_terms(df: DataFrame) -> DataFrame:
+    """``df`` with the ``tokens`` that weights and topics count: lower-case runs of two and more letters, digits and "_".
+
+    A token with other characters inside becomes several; a mark that is no letter ends a
+    run. English tokens without lemmas are such runs already. Row-local; null stays null.
+    """
+    joined = F.lower(F.array_join("tokens", " "))
+    return df.withColumn("tokens", F.regexp_extract_all(joined, F.lit(TERM), F.lit(0)))
+
+
 def filter_tokens(
     tokens: DataFrame,
     pos_tags: Sequence[str] = NOUN_TAGS,

@@ -12,7 +12,7 @@ from shoplens.operators import reviews as rv
 from shoplens.operators.columns import PROFILE_SCHEMA, detect_text_column, profile, resolve_roles
 from shoplens.functions.text import detect_language
 from shoplens.functions.words import NOUN_TAGS
-from shoplens.operators.tokens import token_sentiment, tokenize
+from shoplens.operators.tokens import token_sentiment, tokenize, vector_terms
 from shoplens.session import reuse
 
 DIMENSIONS = ("time", "customer", "product")
@@ -125,6 +125,7 @@ def analyze_text(
 ) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
     """Result tables and ``(part, message)`` for parts that failed; the others still run.
 
+    A part that fails only when its table is computed is kept apart by ``save_results(..., isolate=True)``.
     The tokens are kept for all parts; ``session.release`` frees them once the tables are written.
     """
     text = text or detect_text_column(df)
@@ -132,6 +133,8 @@ def analyze_text(
     shown = F.substring(text, 1, 120).alias(text)
     tokens = tokenize(df.select(id, text), text, lang, stopwords, lemmas, analyzer, pos_tags)
     tok = reuse(tokens.select(id, shown, "tokens"))
+    # English words are terms as they are; forms of an analyzer or a lemma table may not be.
+    terms = tok if lang == "en" and lemmas is None else reuse(vector_terms(tok.select(id, "tokens")))
     result = {
         "word_freq": mining.word_freq(tok),
         "overview": mining.corpus_overview(df, tok, text),
@@ -145,7 +148,7 @@ def analyze_text(
             errors.append((name, str(error)))
 
     def lda() -> dict[str, DataFrame]:
-        fitted = topics.fit_topics(tok, id, n_topics)
+        fitted = topics.fit_topics(terms, id, n_topics)
         return {
             "topics": topics.lda_topics(fitted),
             "doc_topics": topics.lda_doc_topics(fitted, id),
@@ -166,7 +169,7 @@ def analyze_text(
         }
 
     builders = {
-        "tfidf": lambda: {"tfidf": mining.tfidf_keywords(tok, k=top_n)},
+        "tfidf": lambda: {"tfidf": mining.tfidf_keywords(terms, k=top_n)},
         "lda": lda,
         "network": network,
         "wordcloud": lambda: {"cloud": mining.cloud_weights(mining.word_freq(tok), ())},

@@ -1,12 +1,13 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shoplens.operators import graph, mining, topics
-from shoplens.operators.tokens import filter_tokens, token_sentiment, tokenize
+from shoplens.operators.tokens import filter_tokens, token_sentiment, tokenize, vector_terms
 from shoplens.plans.reports import analyze_text
 
 
@@ -275,3 +276,25 @@ def test_a_failing_part_leaves_the_others(spark):
     tables, errors = analyze_text(texts(spark, "red apple"), "id", analyses=["tfidf", "lda", "network", "sentiment"])
     assert [name for name, _ in errors] == ["lda", "network", "sentiment"]
     assert tables["tfidf"].count() == 2 and tables["bigrams"].count() == 1
+
+
+def test_vector_terms(spark):
+    """What a word-count vectorizer with its usual token pattern makes of the joined tokens."""
+    given = [["USB케이블", "Wi-Fi", "a", "한_글", "x1"], ["ÉTÉ", "3.5인치", "가"], [], None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "id long, tokens array<string>")
+    got = [r.tokens for r in vector_terms(df).orderBy("id").collect()]
+    assert got == [re.findall(r"(?u)\b\w\w+\b", " ".join(t).lower()) if t is not None else None for t in given]
+    assert got[0] == ["usb케이블", "wi", "fi", "한_글", "x1"]
+
+
+def test_report_counts_terms_of_analyzed_tokens(spark):
+    """Forms that differ in case are one term of the weights, and two tokens of the frequencies."""
+    df = spark.createDataFrame([(i, f"{w} 케이블 연결") for i, w in enumerate(("USB", "usb", "Wi-Fi"))], "id long, text string")
+
+    def analyzer(body):
+        return F.transform(F.split(body, " "), lambda t: F.struct(t.alias("form"), F.lit("NNG").alias("tag")))
+
+    tables, errors = analyze_text(df, "id", "text", lang="ko", analyses=("tfidf",), analyzer=analyzer)
+    assert errors == []
+    assert {"USB", "usb", "Wi-Fi"} < {r.word for r in tables["word_freq"].collect()}
+    assert {r.term for r in tables["tfidf"].collect()} == {"usb", "wi", "fi", "케이블", "연결"}

@@ -177,3 +177,17 @@ def test_result_store_commits_whole_runs(spark, tmp_path, rows):
     assert rows(save_results({"a": spark.range(7)}, str(tmp_path), "job"), "n_rows") == [(7,)]
     assert spark.read.parquet(f"{tmp_path}/job/a").count() == 7
     assert sorted(p.name for p in (tmp_path / "job").iterdir()) == ["_manifest", "a"]
+
+
+def test_a_failing_table_does_not_stop_the_others(spark, tmp_path, rows):
+    broken = spark.range(2).select(F.raise_error(F.lit("stopped")).alias("x"))
+    save_results({"a": spark.range(3), "b": spark.range(2)}, str(tmp_path), "job")
+    manifest = save_results({"b": broken, "a": spark.range(5)}, str(tmp_path), "job", isolate=True)
+    assert rows(manifest, "name", "n_rows", "path") == [("a", 5, f"{tmp_path}/job/a"), ("b", None, None)]
+    assert "stopped" in manifest.where("name = 'b'").first().error
+    assert spark.read.parquet(f"{tmp_path}/job/a").count() == 5
+    # No table of the run before stands under the failed name.
+    assert sorted(p.name for p in (tmp_path / "job").iterdir()) == ["_manifest", "a"]
+    with pytest.raises(Exception, match="stopped"):
+        save_results({"a": broken, "b": broken}, str(tmp_path), "job", isolate=True)
+    assert spark.read.parquet(f"{tmp_path}/job/a").count() == 5
