@@ -120,18 +120,19 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, known: Quartil
     columns = list(columns or numeric_columns(df))
     clean = nan_to_null(df)
     known = known or quartiles(df, columns)
-    v = F.col("value")
-    summary = _unpivot(clean, columns).groupBy("column").agg(
-        F.count(v).alias("n"),
-        half_even(F.avg(v), 2).alias("mean"),
-        half_even(F.stddev_samp(v), 2).alias("std"),
-        half_even(F.min(v), 2).alias("min"),
-        half_even(F.max(v), 2).alias("max"),
-    )
+    wide = clean.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)]).agg(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(v).alias("n"),
+            half_even(F.avg(v), 2).alias("mean"),
+            half_even(F.stddev_samp(v), 2).alias("std"),
+            half_even(F.min(v), 2).alias("min"),
+            half_even(F.max(v), 2).alias("max"),
+        ).alias(v) for v, c in ((f"v{i}", c) for i, c in enumerate(columns))
+    ])
+    summary = wide.select(F.inline(F.array(*[f"v{i}" for i in range(len(columns))])))
     names = ("p25", "p50", "p75")
-    return _with_quantiles(_per_column(summary, columns), known, names, 2).select(
-        "column", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min", *names, "max",
-    )
+    return _with_quantiles(summary, known, names, 2).select("column", "n", "mean", "std", "min", *names, "max")
 
 
 def top_variance(df: DataFrame, k: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from shoplens.session import reuse
 ACCURACY = 10_000
 SLACK = 3 / ACCURACY
 FINAL_VALUES = 100_000
+BINS = 1 << 15  # of all intervals together
+EVEN = 16  # an interval is cut into equal widths again while a bin holds at most this part of it
 SKETCH_SIZE = 4096
 SKETCH_SLACK = 0.002
 
@@ -27,6 +30,9 @@ class _Interval:
     ranks: set[int]
     low: float | None = None
     high: float | None = None
+    # Finite values around all finite values inside, if equal widths between them are expected to cut the interval well.
+    least: float | None = None
+    most: float | None = None
 
     def holds(self, v: Column) -> Column:
         found = v.isNotNull()
@@ -64,44 +70,98 @@ def _narrow(
     cannot keep one large.
     """
     # Place of a value among the sorted cuts: 2i between cuts i and i + 1, 2i + 1 on cut i + 1.
-    places = []
-    for c, edges in cuts.items():
-        v = F.col(f"`{c}`")
-        place = sum(((v > e).cast("int") + (v >= e).cast("int") for e in edges), F.lit(0))
-        places.append(place.alias(c))
-    long = values.select(*places).unpivot([], list(cuts), "c", "place").where("place IS NOT NULL")
-    counts = long.groupBy("c", "place").count().collect()
+    names, width = list(cuts), 2 * max(map(len, cuts.values())) + 1
+    cells = [F.when(F.col(f"`{c}`").isNotNull(), _place(F.col(f"`{c}`"), cuts[c], i * width)) for i, c in enumerate(names)]
+    long = values.select(F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL")
+    counts = [(names[r["cell"] // width], r["cell"] % width, r["count"]) for r in long.groupBy("cell").count().collect()]
     smaller: dict[tuple, _Interval] = {}
     for c, edges in cuts.items():
         ranks = sorted({k for t in intervals if t.column == c for k in t.ranks})
         start = 0
-        for place, n in sorted((r["place"], r["count"]) for r in counts if r["c"] == c):
+        for place, n in sorted(x[1:] for x in counts if x[0] == c):
             here = [k for k in ranks if start <= k < start + n]
             if here and place % 2:
                 known.update({(c, k): edges[place // 2] for k in here})
             elif here:
                 low = edges[place // 2 - 1] if place else None
                 high = edges[place // 2] if place // 2 < len(edges) else None
-                smaller[c, place] = _Interval(c, start, n, set(here), low, high)
+                ends = (low, high) if None not in (low, high) and math.isfinite(low) and math.isfinite(high) else (None, None)
+                smaller[c, place] = _Interval(c, start, n, set(here), low, high, *ends)
             start += n
     return list(smaller.values())
 
 
+def _place(v: Column, edges: list[float], first: int) -> Column:
+    """The place of ``v`` among sorted edges, counted from ``first``; halving needs few comparisons."""
+    if not edges:
+        return F.lit(first)
+    i = len(edges) // 2
+    below, above = _place(v, edges[:i], first), _place(v, edges[i + 1 :], first + 2 * i + 2)
+    return F.when(v < edges[i], below).when(v == edges[i], F.lit(first + 2 * i + 1)).otherwise(above)
+
+
+def _inside(values: DataFrame, intervals: list[_Interval], cell: Callable[[int, _Interval, Column], Column]) -> DataFrame:
+    """``(cell, v)`` of the values inside the intervals, of which those of one column do not overlap."""
+    cells: dict[str, Column] = {}
+    for i, t in enumerate(intervals):
+        v = F.col(f"`{t.column}`")
+        found = F.struct(cell(i, t, v).alias("cell"), v.alias("v"))
+        cells[t.column] = cells[t.column].when(t.holds(v), found) if t.column in cells else F.when(t.holds(v), found)
+    return values.select(F.explode(F.array(*cells.values())).alias("x")).select("x.*").where("cell IS NOT NULL")
+
+
 def _finish(values: DataFrame, intervals: list[_Interval], known: dict) -> None:
-    """Read the few values left inside each interval; intervals of a column do not overlap."""
-    column, v = F.col("c"), F.col("v")
-    wanted = F.lit(False)
-    for t in intervals:
-        wanted = wanted | ((column == t.column) & t.holds(v))
-    names = list(dict.fromkeys(t.column for t in intervals))
-    long = values.select(*[F.col(f"`{c}`") for c in names]).unpivot([], names, "c", "v").where(wanted)
-    counts = sorted(tuple(r) for r in long.groupBy("c", "v").count().collect())
-    for t in intervals:
+    """Read the few values left inside each interval."""
+    counts: dict[int, list[tuple]] = {}
+    for r in _inside(values, intervals, lambda i, t, v: F.lit(i)).groupBy("cell", "v").count().collect():
+        counts.setdefault(r["cell"], []).append((r["v"], r["count"]))
+    for i, t in enumerate(intervals):
         start = t.before
-        for c, value, n in counts:
-            if c == t.column and (t.low is None or value > t.low) and (t.high is None or value < t.high):
-                known.update({(c, k): value for k in t.ranks if start <= k < start + n})
-                start += n
+        for value, n in sorted(counts.get(i, [])):
+            known.update({(t.column, k): value for k in t.ranks if start <= k < start + n})
+            start += n
+
+
+def _scale(t: _Interval, bins: int) -> float | None:
+    """Bins per half unit between an interval's ends, or None if these cannot be told apart or are not known."""
+    if t.least is None or not t.most / 2 - t.least / 2 > 0:
+        return None
+    scale = bins / (t.most / 2 - t.least / 2)
+    return scale if math.isfinite(scale) else None
+
+
+def _binned(values: DataFrame, intervals: list[_Interval], known: dict) -> list[_Interval]:
+    """One pass that counts bins of equal width in each interval; returns the bins of ranks still open.
+
+    A bin's bounds are its own least and greatest value, so that rounding in its number
+    does not matter: the number never falls as the value grows. A bin of one value is
+    settled, a bin with much of its interval is left to the sketches.
+    """
+    bins = max(2, BINS // len(intervals))
+
+    def cell(i: int, t: _Interval, v: Column) -> Column:
+        # Halves: the distance between two numbers may not be one.
+        at = (v / 2 - F.lit(t.least / 2)) * F.lit(_scale(t, bins))
+        return F.least(F.greatest(at, F.lit(0.0)), F.lit(bins - 1.0)).cast("int") + F.lit(i * bins)
+
+    found: dict[int, list[tuple]] = {}
+    counted = _inside(values, intervals, cell).groupBy("cell").agg(F.count("*"), F.min("v"), F.max("v"))
+    for number, n, least, most in sorted(map(tuple, counted.collect())):
+        found.setdefault(number // bins, []).append((n, least, most))
+    open_ = []
+    for i, t in enumerate(intervals):
+        start, own = t.before, found.get(i, [])
+        for j, (n, least, most) in enumerate(own):
+            here = {k for k in t.ranks if start <= k < start + n}
+            if here and least == most:
+                known.update({(t.column, k): least for k in here})
+            elif here:
+                low = own[j - 1][2] if j else t.low
+                high = own[j + 1][1] if j + 1 < len(own) else t.high
+                even = n * EVEN <= t.inside and math.isfinite(least) and math.isfinite(most)
+                open_.append(_Interval(t.column, start, n, here, low, high, *((least, most) if even else (None, None))))
+            start += n
+    return open_
 
 
 def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -200,10 +260,11 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, per column, in a few column scans.
 
-    Runs jobs when called: an approximate sketch brackets each rank, exact counts
-    confirm the bracket, and only values inside it are read. Every pass cuts the open
-    intervals to about 1/1000, so 10^12 rows need three. The driver receives at most
-    FINAL_VALUES values at a time, for all intervals together.
+    Runs jobs when called: counts in bins of equal width between the extremes cut the
+    interval of each rank, again and again, until it holds few values, which are read.
+    Where the values are not spread evenly enough for that, an approximate sketch cuts the
+    interval to about 1/1000 and exact counts confirm it; it costs several times as much.
+    The driver receives at most FINAL_VALUES values or BINS bins at a time, for all intervals together.
 
     ``sketches`` (of ``quantile_sketches``, for exactly the rows of ``df``) save the first
     scan; up to about FINAL_VALUES / (2 * SKETCH_SLACK) / len(probs) rows the counting
@@ -220,32 +281,30 @@ def exact_quantiles(
             if any(counted):
                 raise ValueError("the sketches hold no values, the table does")
         waiting = _count_and_read(values, n, pairs, probs, known) if pairs else []
-        cuts = None
     else:
-        n, waiting, cuts = _bracketed(values, columns, probs)
+        n, waiting = _bracketed(values, columns, probs)
     while waiting:
         most = FINAL_VALUES // len(waiting)
         small = [t for t in waiting if t.inside <= most]
         waiting = [t for t in waiting if t.inside > most]
         if small:
             _finish(values, small, known)
-        if waiting:
-            waiting = _narrow(values, waiting, cuts or _brackets(values, waiting), known)
-        cuts = None
+        even = [t for t in waiting if _scale(t, BINS)]
+        uneven = [t for t in waiting if not _scale(t, BINS)]
+        waiting = _binned(values, even, known) if even else []
+        if uneven:
+            waiting += _narrow(values, uneven, _brackets(values, uneven), known)
     return {c: [_interpolated(known, c, n[c], p) for p in probs] for c in columns}
 
 
-def _bracketed(values: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, list[_Interval], dict]:
-    """One scan: the number of values per column, an interval around all ranks, first cuts of large columns."""
-    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
-    first = values.agg(
-        F.struct(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).alias("n"),
-        F.struct(*[F.percentile_approx(F.col(f"`{c}`"), near, ACCURACY).alias(c) for c in columns]).alias("near"),
-    ).first()
-    n, brackets = first["n"].asDict(), first["near"].asDict()
-    waiting = [_Interval(c, 0, n[c], _ranks(n[c], probs)) for c in columns if n[c]]
-    cuts = {t.column: sorted(set(brackets[t.column])) for t in waiting if t.inside > FINAL_VALUES // len(waiting)}
-    return n, waiting, cuts
+def _bracketed(values: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict, list[_Interval]]:
+    """One scan: the number of values per column, and an interval around all ranks."""
+    finite = {c: F.when(F.abs(F.col(f"`{c}`")) < math.inf, F.col(f"`{c}`")) for c in columns}
+    row = values.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.min(finite[c]).alias(f"least{i}"), F.max(finite[c]).alias(f"most{i}"))]).first()
+    n = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    return n, [_Interval(c, 0, n[c], _ranks(n[c], probs), None, None, row[f"least{i}"], row[f"most{i}"])
+               for i, c in enumerate(columns) if n[c]]
 
 
 def global_rank(df: DataFrame, order_by: list[str], name: str) -> DataFrame:

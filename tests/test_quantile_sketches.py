@@ -70,3 +70,31 @@ def test_columns_without_values_and_odd_names(spark):
     assert exact_quantiles(df, ["n", "_v0"], [0.5], sketches) == {"n": [None], "_v0": [3.0]}
     empty = df.where(F.lit(False))
     assert exact_quantiles(empty, ["n"], [0.5], quantile_sketches(empty, ["n"], ["a part"])) == {"n": [None]}
+
+
+def test_even_columns_are_cut_without_sketches(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FINAL_VALUES", 20)
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011 / 3).alias("a"), (F.col("id") % 11).alias("b"))
+    want = expected(df)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: pytest.fail("a sketch of evenly spread values"))
+    assert exact_quantiles(df, ["a", "b"], PROBS) == want
+
+
+@pytest.mark.parametrize("odd", [
+    [1e308, -1e308], [float("inf"), float("-inf")], [5e-324, 0.0, -0.0], [1e300] * 3, [2.0**i for i in range(900)],
+    [1 + i * 2.0**-52 for i in range(300)], [None, float("nan")],
+])
+def test_uneven_columns_stay_exact(spark, monkeypatch, odd):
+    monkeypatch.setattr(quantiles, "FINAL_VALUES", 20)
+    rng = random.Random(4)
+    for values in (odd * 40, odd + [rng.gauss(0, 1) for _ in range(1000)], odd):
+        df = spark.createDataFrame([(v,) for v in values], "a double")
+        kept = sorted(v for v in values if v is not None and v == v)
+        at = [p for p in (0.0, 0.2, 0.5, 0.75, 1.0)]
+        exact = [kept[0], kept[-1]] if kept else [None, None]
+        got = exact_quantiles(df, ["a"], at)["a"]
+        assert [got[0], got[-1]] == exact
+        for p, g in zip(at, got):
+            k = p * (len(kept) - 1) if kept else 0
+            if kept and k == int(k):
+                assert g == kept[int(k)]
