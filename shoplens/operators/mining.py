@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,13 +71,13 @@ def tfidf_keywords(tok: DataFrame, vocab: int = VOCABULARY, k: int = 20) -> Data
     return best.select(F.row_number().over(W.orderBy(F.desc("score"), "term")).alias("rank"), "term", "score")
 
 
-def _grams(n: int) -> Column:
-    """Adjacent tokens joined by " + "; shorter documents give none."""
-    grams = F.col("tokens")
-    for i in range(1, n):
-        following = F.slice(F.col("tokens"), i + 1, F.greatest(F.size("tokens"), F.lit(1)))
-        grams = F.zip_with(grams, following, lambda a, b: F.concat(a, F.lit(" + "), b))
-    return F.filter(grams, lambda g: g.isNotNull())
+def _grams(tok: DataFrame, n: int) -> DataFrame:
+    """``ngram``: adjacent tokens joined by " + "; shorter documents give none."""
+    tokens, names = F.col("tokens"), [f"w{i}" for i in range(n)]
+    following = [F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))) for i in range(1, n)]
+    words = tok.select(F.inline(F.arrays_zip(tokens, *following))).toDF(*names)
+    parts = [x for name in names for x in (F.lit(" + "), F.col(name))][1:]
+    return words.select(F.concat(*parts).alias("ngram")).where("ngram IS NOT NULL")
 
 
 def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 0, two_phase: bool = False) -> DataFrame:
@@ -87,7 +87,7 @@ def ngrams(tok: DataFrame, n: int = 2, k: int = 50, min_tokens: int = 0, two_pha
     """
     total = tok.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).scalar()
     enough = total >= min_tokens if min_tokens else F.lit(True)
-    grams = tok.select(F.explode(_grams(n)).alias("ngram"))
+    grams = _grams(tok, n)
     if two_phase:
         top = most_frequent(grams, k).withColumnRenamed("n", "count")
     else:

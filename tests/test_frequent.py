@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoplens.operators.frequent import bounded_counts, most_frequent
 
@@ -41,3 +42,12 @@ def test_rare_values_are_not_counted_one_by_one(spark):
     assert (best, left) == ([("often", 300), ("also", 200)], [])
     # Buckets that hold more than the kth candidate are looked into.
     assert bounded_counts(values, 2, buckets=4, tracked=64)[3] != []
+
+
+def test_many_open_buckets_do_not_become_as_many_conditions(spark, rows, monkeypatch):
+    # Most buckets reach the 50th count, which is 1.
+    values = [f"once {i}" for i in range(20000)] + [f"hot {i:02}" for i in range(49)] * 9
+    own, longest = type(F.col("x")).isin, [0]
+    monkeypatch.setattr(type(F.col("x")), "isin", lambda c, *v: (longest.append(len(v[0])), own(c, *v))[1])
+    assert rows(most_frequent(frame(spark, values), 50), ordered=True) == brute(values, 50)
+    assert max(longest) <= 200
