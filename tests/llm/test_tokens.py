@@ -103,3 +103,16 @@ def test_read_back(spark, odd, tmp_path, library):
     files = spark.read.parquet(f"file://{tmp_path}/x")
     got = {r.doc_id: bytes(r.ids) for r in token_files.read_token_files(files).collect()}
     assert got[7] == np.array([*library.encode("1234 --- 5678", add_special_tokens=False).ids, 1], "<u4").tobytes()
+
+
+def test_words_are_remembered_without_their_marks_and_case(library):
+    rng = random.Random(3)
+    marks = "'s 've ''re .,;:!? <|x|> \t\n\x0b\x0c\x1c\x1d\x1f\x00\x7f '' 's's 12 </w> __ -- <|STARTOFTEXT|> I'M "
+    texts = ["".join(rng.choice(marks + "abstIDLLvem") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [*strings(500), "", " ", "a" * 70 + ". " + "a" * 70, "</w> a</w>b", "'s's ''s '", "A DE, È 'S 12 à", "a de, 's 12"]
+    encoder = token_files._Encoder(word_bpe())
+    for text, ids in zip(texts, encoder.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    encoder = token_files._Encoder(word_bpe())
+    list(encoder.ids(["Thanor, thanor. THANOR! (thanor)"]))
+    assert sorted(encoder.cache) == ["!", "(", ")", ",", ".", "thanor"]
