@@ -110,6 +110,9 @@ def test_words_are_remembered_without_their_marks_and_case(library):
     marks = "'s 've ''re .,;:!? <|x|> \t\n\x0b\x0c\x1c\x1d\x1f\x00\x7f '' 's's 12 </w> __ -- <|STARTOFTEXT|> I'M "
     texts = ["".join(rng.choice(marks + "abstIDLLvem") for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += [*strings(500), "", " ", "a" * 70 + ". " + "a" * 70, "</w> a</w>b", "'s's ''s '", "A DE, È 'S 12 à", "a de, 's 12"]
+    latin = "".join(map(chr, range(0x250)))
+    texts += [x + "a" + y + " " + x + y for x in latin for y in ("", "é", "'s")] + ["".join(rng.choice(latin) for _ in range(30)) for _ in range(500)]
+    texts += ["\u212a\u212b \u1e9e", "e\u0301 a\u0307"]
     encoder = token_files._Encoder(word_bpe())
     for text, ids in zip(texts, encoder.ids(texts)):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
