@@ -3,7 +3,9 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
 from shoplens.operators import graph, mining, topics
@@ -257,6 +259,51 @@ def test_topics_separate_disjoint_words(spark, two_themes):
     assert topics.lda_topics(again, 4).collect() == topics.lda_topics(fitted, 4).collect()
 
 
+def test_topics_of_many_documents_are_those_of_each_alone():
+    """Documents inferred at once, drawn twice or slow to settle get what one by one gives."""
+    rng = np.random.default_rng(5)
+    shares = rng.gamma(0.3, 1.0, (3, 60)) + 1e-6
+    sizes = np.concatenate([[0, 1, 60], rng.integers(0, 40, 700)])
+    words = np.concatenate([rng.choice(60, n, replace=False) for n in sizes])
+    counts = rng.integers(1, 50, len(words)).astype(float)
+    times = rng.integers(1, 4, len(sizes))
+    start = rng.gamma(100, 0.01, (3, len(sizes)))
+    weights, theta = topics.infer(shares, sizes, words, counts, start)
+    found = topics.word_shares(shares, sizes, words, counts, theta, times)
+    total, ends = np.zeros_like(shares), np.cumsum(sizes)
+    for d, (begin, end) in enumerate(zip(ends - sizes, ends)):
+        own, n, now = shares[:, words[begin:end]], counts[begin:end], start[:, d]
+        change = 1.0 if len(n) else 0.0
+        while change > 1e-3:
+            mixed = topics._expected(now)
+            last, now = now, mixed * (own @ (n / (mixed @ own))) + 1 / 3
+            change = np.abs(now - last).mean()
+        if len(n):
+            assert np.allclose(weights[:, d], now, rtol=1e-6)
+            mixed = topics._expected(now)
+            np.add.at(total.T, words[begin:end], (times[d] * mixed[:, None] * own * (n / (mixed @ own))).T)
+        else:
+            assert weights[:, d].tolist() == [1 / 3] * 3
+    assert np.allclose(found, total, rtol=1e-6)
+
+
+def test_topics_are_drawn_with_replacement(spark):
+    """As often as Poisson numbers say, of which the mean and the share of rows left out are known."""
+    rows = spark.range(40000).select(topics._times(0.5, 7).alias("times")).groupBy("times").count().collect()
+    drawn = {r.times: r["count"] / 40000 for r in rows}
+    assert abs(sum(n * x for n, x in drawn.items()) - 0.5) < 0.02
+    assert abs(drawn[0] - math.exp(-0.5)) < 0.02 and abs(drawn[2] - math.exp(-0.5) / 8) < 0.01
+
+
+def test_topics_are_those_of_sparks_lda(spark, two_themes):
+    fitted = topics.fit_topics(two_themes, "id", k=2, passes=20)
+    model = LDA(k=2, optimizer="online", maxIter=40, subsamplingRate=0.5, learningOffset=10.0, learningDecay=0.7, seed=42,
+                docConcentration=[0.5, 0.5], topicConcentration=0.5, optimizeDocConcentration=False).fit(fitted.vectors)
+    known = model.topicsMatrix().toArray().T
+    ours, theirs = (x / x.sum(axis=1, keepdims=True) for x in (fitted.weights, known))
+    assert np.abs(ours - theirs).max() < 0.02
+
+
 def test_topics_need_data(spark):
     with pytest.raises(ValueError):
         topics.fit_topics(docs(spark, "one one"), "id")
