@@ -119,3 +119,23 @@ def test_words_are_remembered_without_their_marks_and_case(library):
     encoder = token_files._Encoder(word_bpe())
     list(encoder.ids(["Thanor, thanor. THANOR! (thanor)"]))
     assert sorted(encoder.cache) == ["!", "(", ")", ",", ".", "thanor"]
+
+
+def test_words_of_latin_texts_are_looked_up_once(library, monkeypatch):
+    encoder = token_files._Encoder(word_bpe())
+    monkeypatch.setattr(encoder.cache, "unknown", lambda chunks: [] if not chunks else pytest.fail("a second lookup"))
+    texts = ["Thanor, thanor. THANOR!", "l'été ÀÉ 12\x1cx", "", "thanor été"]
+    for text, ids in zip(texts, encoder.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_order0_ids_of_unordered_values():
+    rng = np.random.default_rng(2)
+    for alphabet, lanes in ((1, 1), (7, 40), (3000, 5000)):
+        model = token_files._Model(alphabet, lanes)
+        model.counts += rng.integers(0, 50, alphabet) ** 2
+        model.rebuild()
+        values = np.concatenate([rng.integers(0, 1 << 24, lanes), [0, (1 << 24) - 1]])
+        bounds = model.bounds.astype(np.int64)
+        ids = model.ids_at(values)
+        assert (bounds[ids] <= values).all() and (values < bounds[ids + 1]).all()
