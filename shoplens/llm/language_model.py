@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplens.llm.store import mounted, new_folder, remove, small_batches, written
+from shoplens.llm.store import mounted, new_folder, remove, shuffles_dropped, small_batches, written
 from shoplens.llm.words import mix, slices, word_hashes
 
 ORDER = 3
@@ -198,8 +198,11 @@ def _merge(blocks: DataFrame, level: int, folder: Path, name: str, placing: Plac
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             stats = np.stack([np.add.reduceat(x.astype(np.uint64), first) for x in (by, by == 1, by == 2, by >= 3)], axis=1)
             heavy = placing.is_heavy(context[first])
-            _save(folder / f"{name}-{shard}-contexts.npy", context[first][~heavy])
-            _save(folder / f"{name}-{shard}-stats.npy", _narrow(stats[~heavy]))
+            # Few contexts need more than a byte a number; they are kept apart.
+            wide = stats.max(axis=1, initial=0) > 255
+            for kind, kept in (("", ~heavy & ~wide), ("wide", ~heavy & wide)):
+                _save(folder / f"{name}-{shard}-{kind}contexts.npy", context[first][kept])
+                _save(folder / f"{name}-{shard}-{kind}stats.npy", _narrow(stats[kept]))
             if heavy.any():
                 rows.append((shard, "heavy", np.column_stack([context[first], stats])[heavy].tobytes()))
             # What begins a text has no word on its left to be counted by.
@@ -318,7 +321,7 @@ class Model:
         """Total and numbers of continuations with counts 1, 2, more of each context."""
         context = gram_hash(columns[:-1])
         shard = (context % np.uint64(self.placing.shards)).astype(np.int64)
-        out = self._found(f"order{level}", "contexts", "stats", context, shard, 4)
+        out = sum(self._found(f"order{level}", f"{kind}contexts", f"{kind}stats", context, shard, 4) for kind in ("", "wide"))
         if self.levels[level]["heavy"] is not None:
             keys, stats = self.levels[level]["heavy"]
             at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
@@ -397,7 +400,7 @@ def score_held_out(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "language-model")
-    with small_batches(spark):
+    with small_batches(spark), shuffles_dropped(spark):
         train(docs.filter(~held_out(F.col(id))), text, folder, order)
         result = written(score(docs, folder, id, text).withColumn("held_out", held_out(F.col(id))), "scores")
     remove(spark, folder)

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from shoplens.llm import language_model as lm
-from shoplens.llm.store import new_folder
+from shoplens.llm.store import new_folder, shuffles_dropped
 from shoplens.llm.words import one_hash, word_hashes
 
 END = "\n"
@@ -156,3 +157,37 @@ def test_held_out_scores_use_two_words_of_context(spark):
     rows = [(i, "x a b" if n % 2 else "y a c") for n, i in enumerate(learnt)] + list(zip(other, ("x a b", "x a c")))
     got = {r.doc_id: r.score for r in lm.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[other[0]] > got[other[1]] + 1  # word pairs alone give both the same score
+
+
+def test_frequent_contexts_are_kept_apart_from_small_ones(spark):
+    """Contexts of more than 255 take wide numbers, the others one byte each; scores are the same."""
+    texts = ["a b c d e f g h i j k l m n o p"] * 300 + ["a x", "b a y z w", "c a", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    folder = new_folder(spark, "model")
+    lm.train(docs, "text", folder, 2, 1 << 20)
+    path = lm.mounted(folder)
+    assert all(np.load(x).dtype == np.uint8 for x in path.glob("order2-*-stats.npy"))
+    assert sum(len(np.load(x)) for x in path.glob("order2-*-widecontexts.npy")) >= 2
+    plain = Plain(texts)
+    for r in lm.score(docs, folder).collect():
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]), abs=1e-9)
+
+
+def test_shuffled_blocks_leave_the_disk_with_their_query(spark, tmp_path):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    kept = spark.range(1000).repartition(3, "id")
+    with shuffles_dropped(spark):
+        kept.write.parquet(str(tmp_path / "dropped"))
+        for _ in range(100):
+            if not shuffled() - before:
+                break
+            time.sleep(0.1)
+        assert not shuffled() - before
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "kept"))
+    assert shuffled() - before
