@@ -50,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without passages that an earlier document holds; rows whose whole text went are dropped."""
-    found = dedup_substrings(packed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    found = dedup_substrings(packed(docs, "text", doc_id=F.col("doc_id"), text=F.col("text")))
     changed = F.col("removed_bytes") > 0
     length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return unpacked(found.filter(~changed | (F.trim("text") != "")), docs, text=F.col("text"), n_chars=length)

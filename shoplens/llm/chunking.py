@@ -12,9 +12,11 @@ cuts there are whole words apart, so that its chunks are alike wherever it begin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ LONGEST = 1024  # a chunk without a cut for so long is cut there
 MIN_WORDS = 51  # words of a passage that is removed
 AROUND = 75  # bytes of a passage on either side that need not lie in repeated chunks
 STEP = 64  # bytes between cuts where windows are equal, at least
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20  # text whose chunks one task settles at once
 BLOCK_CHUNKS = 500_000
 _GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, 256, np.uint32)
 _DIGEST = 16
@@ -136,18 +138,19 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
             bodies = np.repeat(np.array([x[1] for x in held], np.int64), counts)
             place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
             first = _in_first(digest, ids, bodies)
-            shard = (digest["a"] % np.uint64(shards)).astype(np.int64)
-            for number in range(shards):
-                rows = np.flatnonzero(first & (shard == number))
-                if len(rows):
-                    yield _sent(number, digest[rows], ids[rows], bodies[rows], place[rows])
+            rows = np.flatnonzero(first)
+            shard = (digest["a"][rows] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                own = rows[some]
+                yield _sent(int(shard[some[0]]), digest[own], ids[own], bodies[own], place[own])
             rows = np.flatnonzero(~first)
             if len(rows):
                 yield _sent(int(ids[rows[0]] % shards), digest[:0], ids[rows], bodies[rows], place[rows])
 
-        for batch in batches:
-            data, starts = text_bytes(batch.column(2))
-            for i, (one, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for few in chain.from_iterable(slices(batch, 2) for batch in batches):
+            data, starts = text_bytes(few.column(2))
+            for i, (one, other) in enumerate(zip(few.column(0).to_pylist(), few.column(1).to_pylist())):
                 own = data[starts[i] : starts[i + 1] - 1]
                 ends = chunk_ends(own, window)
                 held.append((one, other, len(ends), _digests(own, ends)))
@@ -161,10 +164,11 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     blocks = bodies.mapInArrow(send, "shard int, digests binary, ids binary, bodies binary, places binary")
 
     def settle(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        repeated = pc.equal(pc.binary_length(table.column("digests")), 0).to_pylist()
 
         def whole(name: str, kind: np.dtype | str, known: bool) -> np.ndarray:
-            return np.frombuffer(b"".join(x[name] for x in rows if known == (not x["digests"])), kind)
+            parts = [np.frombuffer(x.as_buffer(), kind) for x, y in zip(table.column(name), repeated) if y == known]
+            return np.concatenate([np.zeros(0, kind), *parts])
 
         ids, bodies, place = (whole(*x, False) for x in _PLACED)
         later = np.flatnonzero(~_in_first(whole("digests", _PAIR, False), ids, bodies))
@@ -213,7 +217,7 @@ def dedup_substrings(
     """
     key, body = _key(id, text)
     found = repeats(docs, id, text, window).groupBy("id", "body").agg(F.collect_list("places").alias("places"))
-    rows = packed(docs, key=key, hash=body, value=F.col(text).cast("string"))
+    rows = packed(docs, text, key=key, hash=body, value=F.col(text).cast("string"))
     marked = rows.join(found, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("body")), "left").select("row", "value", "places")
     schema = T.StructType([marked.schema["row"], marked.schema["value"], *(
         T.StructField(n, T.LongType()) for n in ("n_chunks", "n_repeats", "removed_bytes"))])

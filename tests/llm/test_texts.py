@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm import chunking, language_id, licences
 from shoplens.llm.decontamination import MASKS, find_overlaps, longest_overlap, patterns
+from shoplens.llm.store import packed
 
 
 def words(rng, n, letters="abcdefghij"):
@@ -92,6 +93,14 @@ def test_a_repeated_word_goes_like_any_passage(spark):
     assert all(got[i] > 300 for i in range(1, 100, 2)) and not any(got[i] for i in range(0, 100, 2))
 
 
+def test_a_text_is_passed_once_and_shards_are_small(spark, odd, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chunking, "packed", lambda *x, **y: seen.append(packed(*x, **y)) or seen[-1])
+    assert chunking.dedup_substrings(odd).columns[: len(odd.columns)] == odd.columns
+    assert seen[0].schema["row"].dataType.names == [c for c in odd.columns if c != "text"]
+    assert chunking.SHARD_BYTES <= 16 << 20  # some 36 bytes for each 34 of text, held several times by a task
+
+
 def test_chunks_of_odd_rows(odd, none):
     got = chunking.dedup_substrings(odd).collect()
     assert len(got) == odd.count()
