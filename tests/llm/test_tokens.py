@@ -129,6 +129,23 @@ def test_words_of_latin_texts_are_looked_up_once(library, monkeypatch):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_letters_are_encoded_many_at_once(library, monkeypatch):
+    encoder = token_files._Encoder(word_bpe())
+    monkeypatch.setattr(encoder, "piece", lambda word: pytest.fail(word) if word.isalpha() else encoder.one(word))
+    texts = ["Thanor, ÀÉ été queci | zzxqv (other) l'an", "", "  ", "x\x1cy straße. a1b", "ſs Ĳ ǆ ñandú\tqueci\n"]
+    for text, ids in zip(texts, encoder.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_blocks_take_few_steps():
+    lanes, steps = token_files._shape(1 << 20)
+    assert steps == 16 and lanes * steps == 1 << 20
+    assert token_files._shape(20_000)[1] > 250
+    ids = np.random.default_rng(4).zipf(1.3, 1 << 18).clip(0, 49_000).astype(np.uint32)
+    _, parts = token_files.read_block(token_files.write_block([1], [ids]))
+    assert (parts[0] == ids).all()
+
+
 def test_order0_ids_of_unordered_values():
     rng = np.random.default_rng(2)
     for alphabet, lanes in ((1, 1), (7, 40), (3000, 5000)):
