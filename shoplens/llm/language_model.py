@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import pickle
-import zlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -99,15 +99,26 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def _block(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """N-grams as places in the list of their words, and their counts, compressed."""
-    words, places = np.unique(np.concatenate(columns), return_inverse=True)
-    head = np.array([len(words), len(counts)], "<u8").tobytes() + words.astype("<u8").tobytes()
-    return zlib.compress(head + b"".join(map(_planes, [*places.reshape(len(columns), -1).astype(np.uint64), counts])), 1)
+    """N-grams as places in the list of their words, the most frequent first, and their counts, compressed.
+
+    N-grams are sorted by their first places, of which the steps are kept; so most bytes are zero.
+    """
+    words, places, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    by = np.argsort(-often, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[by] = np.arange(len(words))
+    ranks = rank[places].reshape(len(columns), -1)
+    order = np.argsort(ranks[0] * len(words) + ranks[min(1, len(ranks) - 1)])
+    ranks = ranks[:, order]
+    ranks[0] = np.diff(ranks[0], prepend=0)
+    head = np.array([len(words), len(counts)], "<u8").tobytes() + words[by].astype("<u8").tobytes()
+    raw = head + b"".join(map(_planes, [*ranks.astype(np.uint64), counts[order]]))
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unblock(data: bytes, order: int) -> np.ndarray:
     """A row of words for each place of the n-grams, and one of counts."""
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True), np.uint8)
     known, n = raw[:16].view("<u8").tolist()
     words, at, rows = raw[16 : 16 + 8 * known].view("<u8"), 16 + 8 * known, []
     for _ in range(order + 1):
@@ -115,13 +126,14 @@ def _unblock(data: bytes, order: int) -> np.ndarray:
         planes = raw[at + 1 : at + 1 + width * n].reshape(width, n)
         rows.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
         at += 1 + width * n
+    rows[0] = np.cumsum(rows[0], dtype=np.uint64)
     return np.stack([*(words[x.astype(np.int64)] for x in rows[:-1]), rows[-1]])
 
 
 def _packed(columns: list[np.ndarray], counts: np.ndarray, placing: Placing) -> Iterator[tuple[int, bytes]]:
-    """Blocks of n-grams by shard, sorted by their words, which makes them small once compressed."""
+    """Blocks of n-grams by shard."""
     shard = placing.shard(columns)
-    order = np.lexsort([*columns[::-1], shard])
+    order = np.argsort(shard.astype(np.min_scalar_type(placing.shards)), kind="stable")
     shard = shard[order]
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
     for begin, end in zip(edges, [*edges[1:], len(shard)]):

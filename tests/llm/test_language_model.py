@@ -191,3 +191,16 @@ def test_shuffled_blocks_leave_the_disk_with_their_query(spark, tmp_path):
         assert not shuffled() - before
     spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "kept"))
     assert shuffled() - before
+
+
+def test_blocks_of_grams_round_trip_and_are_small():
+    rng = np.random.default_rng(6)
+    drawn = [lm.mix(x.astype(np.uint64)) for x in rng.zipf(1.2, (3, 50_000)).clip(0, 3000)]
+    for order in (3, 2, 1):
+        keys, columns, counts = lm.summed(drawn[:order])
+        ((_, data),) = lm._packed(columns, counts, lm.Placing(1))
+        got = lm.summed(*lm._unpacked([data], order))
+        assert (got[0] == keys).all() and (got[2] == counts).all() and all((a == b).all() for a, b in zip(got[1], columns))
+        if order == 3:
+            assert len(data) < 2.9 * len(counts)  # 3.2 with words in the order of their hashes
+    assert lm._unpacked([lm._block([np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint64))], 2)[1].size == 0
