@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens.llm.store import packed, unpacked
-from shoplens.llm.words import SPACE, slices, text_bytes
+from shoplens.llm.words import SPACE, mix, slices, text_bytes
 
 WINDOW = 16  # bytes on each side: chunks have at least 17 bytes, 34 on average
 LONGEST = 1024  # a chunk without a cut for so long is cut there
@@ -118,7 +118,7 @@ _MARKS = "id long, body long, places binary"
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Chunks that an earlier document holds: id, body (hash of the text), places (binary, 32-bit chunk numbers).
 
-    A document may have several rows. A task sends each digest once per block, with its
+    A document with repeats has one row. A task sends each digest once per block, with its
     places in the first document there; places in others are repeats already. So a chunk
     that very many documents hold weighs no more than others in its digest's shard.
     """
@@ -139,11 +139,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
             place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
             first = _in_first(digest, ids, bodies)
             rows = np.flatnonzero(first)
-            shard = (digest["a"][rows] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                own = rows[some]
-                yield _sent(int(shard[some[0]]), digest[own], ids[own], bodies[own], place[own])
+            yield from _dealt(digest["a"][rows] % np.uint64(shards), digest[rows], ids[rows], bodies[rows], place[rows])
             rows = np.flatnonzero(~first)
             if len(rows):
                 yield _sent(int(ids[rows[0]] % shards), digest[:0], ids[rows], bodies[rows], place[rows])
@@ -161,23 +157,29 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
         if size:
             yield from flush()
 
-    blocks = bodies.mapInArrow(send, "shard int, digests binary, ids binary, bodies binary, places binary")
+    sent = "shard int, digests binary, ids binary, bodies binary, places binary"
+    blocks = bodies.mapInArrow(send, sent)
 
-    def settle(table: pa.Table) -> pa.Table:
+    def whole(table: pa.Table, name: str, kind: np.dtype | str, known: bool) -> np.ndarray:
         repeated = pc.equal(pc.binary_length(table.column("digests")), 0).to_pylist()
+        parts = [np.frombuffer(x.as_buffer(), kind) for x, y in zip(table.column(name), repeated) if y == known]
+        return np.concatenate([np.zeros(0, kind), *parts])
 
-        def whole(name: str, kind: np.dtype | str, known: bool) -> np.ndarray:
-            parts = [np.frombuffer(x.as_buffer(), kind) for x, y in zip(table.column(name), repeated) if y == known]
-            return np.concatenate([np.zeros(0, kind), *parts])
+    def settle(table: pa.Table) -> pa.Table:
+        ids, bodies, place = (whole(table, *x, False) for x in _PLACED)
+        later = np.flatnonzero(~_in_first(whole(table, "digests", _PAIR, False), ids, bodies))
+        ids, bodies, place = (np.concatenate([x[later], whole(table, *y, True)]) for x, y in zip((ids, bodies, place), _PLACED))
+        # Repeats go by document from here on, many documents in a row.
+        part = mix(ids.astype(np.uint64) ^ mix(bodies.astype(np.uint64))) % np.uint64(shards)
+        return pa.Table.from_batches(list(_dealt(part, None, ids, bodies, place)), _SENT)
 
-        ids, bodies, place = (whole(*x, False) for x in _PLACED)
-        later = np.flatnonzero(~_in_first(whole("digests", _PAIR, False), ids, bodies))
-        found = [np.concatenate([x[later], whole(*y, True)]) for x, y in zip((ids, bodies, place), _PLACED)]
-        return pa.Table.from_batches([_marked(*found)])
+    def gather(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_marked(*(whole(table, *x, True) for x in _PLACED))])
 
-    return blocks.groupBy("shard").applyInArrow(settle, _MARKS)
+    return blocks.groupBy("shard").applyInArrow(settle, sent).groupBy("shard").applyInArrow(gather, _MARKS)
 
 
+_SENT = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in ("digests", "ids", "bodies", "places"))])
 _PLACED = (("ids", "<i8"), ("bodies", "<i8"), ("places", "<u4"))
 
 
@@ -189,6 +191,14 @@ def _sent(shard: int, digests: np.ndarray, ids: np.ndarray, bodies: np.ndarray,
         ["shard", "digests", "ids", "bodies", "places"])
 
 
+def _dealt(shard: np.ndarray, digests: np.ndarray | None, ids: np.ndarray, bodies: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block for each shard that has rows."""
+    order = np.argsort(shard, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+        found = np.zeros(0, _PAIR) if digests is None else digests[rows]
+        yield _sent(int(shard[rows[0]]), found, ids[rows], bodies[rows], place[rows])
+
+
 def _marked(ids: np.ndarray, bodies: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """A row per document."""
     order = np.lexsort([place, bodies, ids])
@@ -216,7 +226,7 @@ def dedup_substrings(
     gives an empty result.
     """
     key, body = _key(id, text)
-    found = repeats(docs, id, text, window).groupBy("id", "body").agg(F.collect_list("places").alias("places"))
+    found = repeats(docs, id, text, window).withColumn("places", F.array("places"))
     rows = packed(docs, text, key=key, hash=body, value=F.col(text).cast("string"))
     marked = rows.join(found, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("body")), "left").select("row", "value", "places")
     schema = T.StructType([marked.schema["row"], marked.schema["value"], *(

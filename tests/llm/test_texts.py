@@ -48,6 +48,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     texts = [" ".join([words(rng, 40), shared[i % 5], words(rng, 40)]) if i % 2 else words(rng, 90) for i in range(60)] + [shared[0], None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy("text")
     places = {r.id: r.places for r in chunking.repeats(docs).groupBy("id").agg(F.flatten(F.collect_list(F.array("places"))).alias("places")).collect()}
+    assert len(places) == chunking.repeats(docs).count()  # a row per document, whatever the number of shards
     got = {r.doc_id: r for r in chunking.dedup_substrings(docs).collect()}
     seen = {}
     for i, text in enumerate(texts):
