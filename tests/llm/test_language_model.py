@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from shoplens.llm import language_model as lm
-from shoplens.llm.store import new_folder, shuffles_dropped
+from shoplens.llm.store import mounted, new_folder, shared_dir, shuffles_dropped
 from shoplens.llm.words import one_hash, word_hashes
 
 END = "\n"
@@ -204,3 +204,44 @@ def test_blocks_of_grams_round_trip_and_are_small():
         if order == 3:
             assert len(data) < 2.9 * len(counts)  # 3.2 with words in the order of their hashes
     assert lm._unpacked([lm._block([np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint64))], 2)[1].size == 0
+
+
+def test_blocks_of_numbered_grams_carry_no_list_of_words():
+    rng = np.random.default_rng(7)
+    drawn = [(x % 1_000_000 + 2).astype(np.uint32) for x in rng.zipf(1.2, (3, 50_000)).astype(np.uint64)]
+    keys, columns, counts = lm.summed(drawn)
+    blocks = [data for _, data in lm._packed(columns, counts, lm.Placing(40))]
+    got = lm.summed(*lm._unpacked(blocks, 3))
+    assert (got[0] == keys).all() and (got[2] == counts).all() and all((a == b).all() for a, b in zip(got[1], columns))
+    assert sum(map(len, blocks)) < 4.5 * len(counts)  # 5.1 with a list of words in each block
+
+
+def test_a_model_keeps_a_context_once_and_leaves_nothing_else(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60).clip(0, 5000)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = new_folder(spark, "model")
+    lm.train(docs, "text", folder, 3, 4 << 10)
+    path = mounted(folder)
+    assert not [x for x in path.iterdir() if x.is_dir()]
+    grams = lm.Model(folder).levels[3]["sums"][0]
+    contexts = sum(len(np.load(x)) for x in path.glob("order3-*contexts.npy"))
+    assert grams > 10_000 and contexts > 5000
+    held = sum(np.load(x).nbytes for x in path.glob("order3-*.npy"))
+    assert held < 15 * contexts + 5.5 * grams  # n-grams by hashes of 8 bytes: 12 a context and 9 an n-gram
+    plain = PlainOrder(texts, 3)
+    for r in lm.score(docs.limit(5), folder).collect():
+        assert r.score == pytest.approx(plain.score(texts[r.doc_id]), abs=1e-9)
+    before = {x.name for x in mounted(shared_dir(spark)).iterdir()}
+    lm.score_held_out(docs).count()
+    assert {x.name.split("-")[0] for x in mounted(shared_dir(spark)).iterdir() if x.name not in before} == {"scores"}
+
+
+def test_words_are_numbered_by_frequency(spark):
+    texts = ["a " * 50 + "b " * 20 + "c"] * 4 + ["d e"]
+    folder = new_folder(spark, "model")
+    lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text", folder, 2, 1 << 20)
+    hashes = np.array([*(one_hash(w) for w in "abcd"), lm.BEGIN, one_hash("unseen")], np.uint64)
+    numbers, counts = lm.Model(folder).numbers.find(hashes)
+    assert numbers.tolist()[:2] == [lm.FIRST_NUMBER, lm.FIRST_NUMBER + 1] and numbers.tolist()[4:] == [lm.BEGIN_NUMBER, lm.UNKNOWN]
+    assert counts.tolist() == [200, 80, 4, 1, 0, 0]
