@@ -156,3 +156,41 @@ def test_order0_ids_of_unordered_values():
         bounds = model.bounds.astype(np.int64)
         ids = model.ids_at(values)
         assert (bounds[ids] <= values).all() and (values < bounds[ids + 1]).all()
+
+
+def test_new_latin_words_go_to_the_library_in_short_lines(library):
+    encoder, lines = token_files._Encoder(word_bpe()), []
+
+    class Recorded:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    encoder.model_alone = Recorded(encoder.model_alone)
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdeéßŧıķ"), rng.integers(1, 9))) for _ in range(6000)]
+    texts = [" ".join(words), words[0] + "," + words[1] + "! " + words[2].upper() + ".", ""]
+    seen = []
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.ids(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+        seen.append(len(lines))
+    assert seen[0] == seen[1] > 1 and max(len(x.split()) for x in lines) <= 1000
+
+
+def test_letters_that_leave_latin_in_lower_case_go_to_the_library_whole():
+    encoder = token_files._Encoder(word_bpe())
+    for letter in map(chr, [*range(0x80, 0x300), 0x1E9E, 0x212A, 0x4E2D, 0x1F600]):
+        stays = max(map(ord, letter + letter.lower())) < 0x250
+        assert encoder.lower_latin(f"a{letter}B") == (f"a{letter}B".lower() if stays else None)
+
+
+def test_long_blocks_learn_their_rates_from_a_part_of_the_lanes():
+    rng = np.random.default_rng(10)
+    ids = rng.zipf(1.3, 1 << 19).clip(0, 40_000).astype(np.uint32)
+    block = token_files.write_block([1, 2], [ids[:1000], ids[1000:]])
+    assert (np.concatenate(token_files.read_block(block)[1]) == ids).all()
+    assert token_files._Model(10, token_files._shape(len(ids))[0]).told.step == 4
+    assert token_files._Model(10, token_files._shape(1000)[0]).told.step == 1
