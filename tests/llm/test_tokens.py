@@ -187,10 +187,17 @@ def test_letters_that_leave_latin_in_lower_case_go_to_the_library_whole():
         assert encoder.lower_latin(f"a{letter}B") == (f"a{letter}B".lower() if stays else None)
 
 
-def test_long_blocks_learn_their_rates_from_a_part_of_the_lanes():
+def test_long_blocks_learn_from_a_part_of_the_lanes_in_turn():
     rng = np.random.default_rng(10)
     ids = rng.zipf(1.3, 1 << 19).clip(0, 40_000).astype(np.uint32)
     block = token_files.write_block([1, 2], [ids[:1000], ids[1000:]])
     assert (np.concatenate(token_files.read_block(block)[1]) == ids).all()
-    assert token_files._Model(10, token_files._shape(len(ids))[0]).told.step == 4
-    assert token_files._Model(10, token_files._shape(1000)[0]).told.step == 1
+    assert len(block) < 1.3 * len(ids)
+    lanes = token_files._shape(len(ids))[0]
+    model, told = token_files._Model(10, lanes), []
+    for _ in range(8):
+        told += range(lanes)[model.told]
+        model.predict()
+        model.learn(rng.integers(0, 10, lanes))
+    assert len(told) == lanes and set(told) == set(range(lanes))  # in turn all of them
+    assert token_files._Model(10, token_files._shape(1000)[0]).told == slice(0, None, 1)
